@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MIN_SUPPORT = 0.002
+#: Fewer labelled URLs than this never make a rule, however small the sample.
+MIN_URLS = 25
 MIN_CONFIDENCE = 0.6
 BROADCAST_RULES = 100_000
 _PARTS = r"://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
@@ -70,7 +72,8 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "bloc
     scratch = Scratch(labelled.sparkSession, "rules")
     baskets = labelled.select(F.array_append(tokens(F.col(url_col)), F.when(F.col(block_col), "label:block").otherwise("label:allow")).alias("items"))
     baskets = scratch.keep(baskets, "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, MIN_URLS / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", "label:block")).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = scratch.keep(rules, "mined")
     inner = rules.select(F.posexplode("antecedent"), "antecedent", F.col("confidence").alias("c")).select("antecedent", "c", F.array_remove(F.col("antecedent"), F.col("col")).alias("shorter"))
