@@ -70,7 +70,12 @@ def events_grouped_by_year(events: DataFrame) -> DataFrame:
 
 def taxonomy_term_counts(items: DataFrame, taxonomies: dict[str, str]) -> DataFrame:
     """(taxonomy, term, n) over array columns: one pass, all taxonomies together."""
-    pairs = [F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda t, k=k: F.struct(F.lit(k).alias("taxonomy"), t.alias("term"))) for k, c in taxonomies.items()]
+
+    def named(taxonomy: str, column: str) -> Column:
+        terms = F.array_distinct(F.coalesce(column, F.array().cast("array<string>")))
+        return F.transform(terms, lambda t: F.struct(F.lit(taxonomy).alias("taxonomy"), t.alias("term")))
+
+    pairs = [named(k, c) for k, c in taxonomies.items()]
     return items.select(F.explode(F.concat(*pairs)).alias("x")).groupBy("x.taxonomy", "x.term").agg(F.count("*").alias("n"))
 
 
@@ -105,7 +110,11 @@ def related_events(items: DataFrame, asked: DataFrame, weights: dict[str, float]
     """
     arrays = {t: F.array_sort(F.array_distinct(F.coalesce(t, F.array().cast("array<string>")))) for t in weights}
     terms = lambda df: df.select("id", *(a.alias(t) for t, a in arrays.items()))
-    flat = F.concat(*(F.transform(t, lambda x, t=t, w=w: F.struct(F.lit(t).alias("taxonomy"), x.alias("term"), F.lit(float(w)).alias("weight"))) for t, w in weights.items()))
+
+    def weighted(taxonomy: str, weight: float) -> Column:
+        return F.transform(taxonomy, lambda x: F.struct(F.lit(taxonomy).alias("taxonomy"), x.alias("term"), F.lit(float(weight)).alias("weight")))
+
+    flat = F.concat(*(weighted(t, w) for t, w in weights.items()))
     keyed = terms(items).withColumn("set", F.xxhash64(*weights))
     sets = keyed.groupBy("set", *weights).agg(F.min("id").alias("any"))
     a = terms(asked).select("id", F.explode(flat).alias("x")).select("id", "x.*")

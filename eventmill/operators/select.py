@@ -50,13 +50,14 @@ def select_events(events: DataFrame, rules: R.SelectionRules, as_of: Column) ->
     the date check unless a date is required.
     """
     negative, kind, place, date = R.first_hit(event_text(), rules.negative), R.first_hit(event_text(), rules.exclude_types), excluded_location(rules), date_fault(rules, as_of)
+    fault = lambda criterion, detail: F.struct(criterion.alias("criterion"), detail.alias("detail"))
     failed = (
-        F.when(F.size(missing_fields(rules)) > 0, F.struct(F.lit("required_fields").alias("criterion"), F.array_join(missing_fields(rules), ", ").alias("detail")))
-        .when(negative.isNotNull(), F.struct(F.lit("negative_keyword"), negative))
-        .when(kind.isNotNull(), F.struct(F.lit("excluded_type"), kind))
-        .when(place.isNotNull(), F.struct(F.lit("excluded_location"), place))
-        .when(date.isNotNull(), F.struct(date, F.lit("")))
-        .when(~included_type(rules), F.struct(F.lit("no_included_type"), F.lit("")))
+        F.when(F.size(missing_fields(rules)) > 0, fault(F.lit("required_fields"), F.array_join(missing_fields(rules), ", ")))
+        .when(negative.isNotNull(), fault(F.lit("negative_keyword"), negative))
+        .when(kind.isNotNull(), fault(F.lit("excluded_type"), kind))
+        .when(place.isNotNull(), fault(F.lit("excluded_location"), place))
+        .when(date.isNotNull(), fault(date, F.lit("")))
+        .when(~included_type(rules), fault(F.lit("no_included_type"), F.lit("")))
     )
     positive = F.array_join(R.hits(event_text(), rules.positive), ", ")
     judged = events.withColumn("__failed", failed)
