@@ -26,6 +26,8 @@ from . import buffers as B
 
 #: Pieces whose ids a worker remembers; the cache starts afresh when it is full.
 CACHE = 400_000
+#: Pieces of more bytes than this are merged one by one.
+LONG = 256
 #: Bytes of pieces that are merged in step.
 STEP_BYTES = 1 << 20
 _NONE = np.int64(1 << 62)
@@ -58,6 +60,7 @@ class Vocabulary:
         self.length = np.array([len(x) for x in self.bytes], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.rank_of = dict(zip(self.pairs.tolist(), self.ranks.tolist()))
         self.cache: dict[str, bytes] = {}
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,6 +125,47 @@ class Vocabulary:
         ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids of one long piece: the same tree without arrays, which pay off for many rows only."""
+        n = len(piece)
+        leaves = 1 << (n - 1).bit_length()
+        ids: list[int] = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        none, rank_of, width = int(_NONE), self.rank_of, self.width
+        tree = [none] * (2 * leaves)
+        for i in range(n - 1):
+            rank = rank_of.get(ids[i] * width + ids[i + 1])
+            if rank is not None:
+                tree[leaves + i] = rank * leaves + i
+        for k in range(leaves - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+        def put(leaf: int) -> None:
+            """Rank the pair that starts at ``leaf`` and climb while an inner node changes."""
+            after = following[leaf] if ids[leaf] >= 0 else n
+            rank = rank_of.get(ids[leaf] * width + ids[after]) if after < n else None
+            node, value = leaf + leaves, none if rank is None else rank * leaves + leaf
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                value = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == value:
+                    break
+                tree[node] = value
+
+        while tree[1] < none:
+            at, rank = tree[1] % leaves, tree[1] // leaves
+            gone = following[at]
+            after = following[gone]
+            ids[at], ids[gone], following[at] = rank, -1, after
+            if after < n:
+                before[after] = at
+            put(gone)
+            put(at)
+            if before[at] >= 0:
+                put(before[at])
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
+
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of all ``pieces`` into the cache."""
         new = [p for p in pieces if p not in self.cache]
@@ -129,6 +173,11 @@ class Vocabulary:
             self.cache.clear()
             new = list(pieces)
         raw = sorted(((p.encode(), p) for p in new), key=lambda x: len(x[0]))
+        at = len(raw)
+        while at and len(raw[at - 1][0]) > LONG:
+            at -= 1
+            self.cache[raw[at][1]] = self.merge_long(raw[at][0])
+        del raw[at:]
         at = 0
         while at < len(raw):
             leaves, end = 1 << (len(raw[at][0]) - 1).bit_length(), at
