@@ -21,9 +21,9 @@ import bisect
 import gzip
 import hashlib
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,23 +126,33 @@ def _entries(path: str, content: bytes) -> Iterator[tuple]:
 
 
 _NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
 
-def _read_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for path, content in zip(frame["path"], frame["content"]):
-            rows = pd.DataFrame(_entries(path, content), columns=_NAMES)
-            yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+def _schema(fields: str) -> pa.Schema:
+    return pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in fields.split(", "))])
+
+
+def _columns(rows: list[tuple], fields: str) -> pa.Table:
+    schema = _schema(fields)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1)):
+            yield from _columns(list(_entries(path.as_py(), content.as_py())), _ENTRY).to_batches()
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Index entries of all records, payloads checked against their digests."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInPandas(_read_batches, _ENTRY)
+    return files.mapInArrow(_read_batches, _ENTRY)
 
 
 class LoserTree:
-    """Merges k sorted runs: inner nodes hold the losers of their matches, and a step replays one path."""
+    """Merges k sorted runs of tuples by their first part: inner nodes hold the losers of their matches, and a step replays one path."""
 
     def __init__(self, runs: list[Iterator[tuple]]):
         self.runs = [iter(r) for r in runs]
@@ -154,7 +164,7 @@ class LoserTree:
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
-        return y is None or (x is not None and (x, a) < (y, b))
+        return y is None or (x is not None and (x[0], a) < (y[0], b))
 
     def _replay(self, i: int, fill: bool = False) -> None:
         node = (i + self.k) // 2
@@ -176,27 +186,32 @@ class LoserTree:
 
 
 def _key(row: tuple) -> tuple:
-    return (row[0], row[1], -1 if row[2] is None or row[2] is pd.NA else int(row[2]), row[7], int(row[8]))
+    return (row[0], row[1], -1 if row[2] is None else row[2], row[7], row[8])
+
+
+_PIECE = f"{_ENTRY}, part int, run string, nth int"
+_MERGED = f"{_ENTRY}, part int, position int"
 
 
 def _run_batches(bounds: list[tuple]):
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sort each batch of entries into a run and deal its pieces to the ranges."""
-        for frame in batches:
-            keyed = sorted(((_key(r), i) for i, r in enumerate(frame[_NAMES].itertuples(index=False, name=None))), key=lambda x: x[0])
-            frame = frame.iloc[[i for _, i in keyed]]
-            part = [bisect.bisect_right(bounds, k) for k, _ in keyed]
-            run = f"{frame['archive'].iloc[0]}:{frame['offset'].iloc[0]}" if len(frame) else ""
-            yield frame.assign(part=part, run=run, nth=range(len(frame)))
+        for batch in batches:
+            run = sorted(zip(*(batch.column(n).to_pylist() for n in _NAMES)), key=_key)
+            name = f"{run[0][7]}:{run[0][8]}" if run else ""
+            yield from _columns([(*row, bisect.bisect_right(bounds, _key(row)), name, nth) for nth, row in enumerate(run)], _PIECE).to_batches()
 
     return cut
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    runs = [list(g.sort_values("nth")[_NAMES].itertuples(index=False, name=None)) for _, g in group.groupby("run", sort=True)]
-    merged = [row for _, row in LoserTree([((_key(r), r) for r in run) for run in runs])]
-    out = pd.DataFrame(merged, columns=_NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
-    return out.assign(part=int(group["part"].iloc[0]), position=range(len(out)))
+def _merge(group: pa.Table) -> pa.Table:
+    part = group.column("part")[0].as_py()
+    runs: dict[str, list[tuple]] = {}
+    for name, nth, *row in zip(*(group.column(n).to_pylist() for n in ("run", "nth", *_NAMES))):
+        runs.setdefault(name, []).append((nth, tuple(row)))
+    sorted_runs = [[row for _, row in sorted(run, key=lambda x: x[0])] for _, run in sorted(runs.items())]
+    merged = LoserTree([((_key(row), row) for row in run) for run in sorted_runs])
+    return _columns([(*row, part, k) for k, (_, row) in enumerate(merged)], _MERGED)
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
@@ -209,8 +224,8 @@ def merge_index(entries: DataFrame) -> DataFrame:
         drawn = entries.where(F.pmod(F.xxhash64("page_id", "archive", "offset"), F.lit(1_000_000)) < int(1_000_000 * share)).select(*_NAMES).limit(4 * SAMPLES * parts)
         sample = sorted(_key(tuple(r)) for r in drawn.collect())
         bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
-    runs = entries.mapInPandas(_run_batches(bounds), f"{_ENTRY}, part int, run string, nth int")
-    return runs.groupBy("part").applyInPandas(_merge, f"{_ENTRY}, part int, position int")
+    runs = entries.select(*_NAMES).mapInArrow(_run_batches(bounds), _PIECE)
+    return runs.groupBy("part").applyInArrow(_merge, _MERGED)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
