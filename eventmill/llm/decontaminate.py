@@ -30,6 +30,8 @@ UNITS = (
 ).split()
 #: Rows up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Documents whose open spans are broadcast; a document has some kilobytes of them.
+BROADCAST_DOCS = 20_000
 
 _NAME, _NUMBER, _UNIT, _INNER = "\ue000", "\ue001", "\ue002", "\ue003"
 _SPLIT = r"[^\p{L}\p{M}\p{N}\x{E000}-\x{E003}]+"
@@ -97,15 +99,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spans = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)))).alias("at")
     )
-    spans = scratch.keep(spans, "spans")
-    wanted = scratch.keep(spans.select("doc_id").distinct(), "ids")
-    few = wanted.count() <= BROADCAST_ROWS
-    values = source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", surface_tokens(F.col("text")).alias("found"))
-    sides = spans.join(values, "doc_id").join(bench.select("item_id", "tokens", F.col("values").alias("asked")), "item_id")
-    slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), F.get("found", i + F.col("shift")).alias("found"))
-    slots = F.array_distinct(F.transform(F.filter("at", lambda i: _is_slot(F.get("tokens", i))), slot))
+    asked = bench.select("item_id", "tokens", F.col("values").alias("asked"))
+    slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), (i + F.col("shift")).alias("pos"))
+    slots = F.transform(F.filter("at", lambda i: _is_slot(F.get("tokens", i))), slot)
+    spans = scratch.keep(spans.join(asked, "item_id").select("doc_id", "item_id", "windows", slots.alias("slots")), "spans")
+    # only spans with slots need the document's own words, which are read once for all of its spans
+    open_spans = spans.where(F.size("slots") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "slots")).alias("spans"))
+    open_spans = scratch.keep(open_spans, "open-spans")
+    few = open_spans.count() <= BROADCAST_DOCS
+    joined = source.join(F.broadcast(open_spans) if few else open_spans, "doc_id")
     # a mapping is consistent if it has as many pairs as values on either side
     count = lambda s, name: F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["kind"], x[name]))))
-    judged = sides.select("doc_id", "item_id", "windows", let(slots, lambda s: F.struct(F.size(s).alias("slots"), ((F.size(s) == count(s, "asked")) & (F.size(s) == count(s, "found"))).alias("ok"))).alias("s"))
-    kept = judged.where("s.ok").groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("s.slots").cast("long").alias("slots"))
+
+    def judge(found: Column) -> Column:
+        def one(span: Column) -> Column:
+            pairs = F.array_distinct(F.transform(span["slots"], lambda x: F.struct(x["kind"].alias("kind"), x["asked"].alias("asked"), F.get(found, x["pos"]).alias("found"))))
+            ok = lambda s: F.struct(F.size(s).alias("slots"), ((F.size(s) == count(s, "asked")) & (F.size(s) == count(s, "found"))).alias("ok"))
+            return F.struct(span["item_id"].alias("item_id"), span["windows"].alias("windows"), let(pairs, ok).alias("s"))
+
+        return F.transform("spans", one)
+
+    judged = joined.select("doc_id", F.explode(let(surface_tokens(F.col("text")), judge)).alias("x")).where("x.s.ok").select("doc_id", "x.item_id", "x.windows", F.col("x.s.slots").alias("slots"))
+    plain = spans.where(F.size("slots") == 0).select("doc_id", "item_id", "windows", F.lit(0).alias("slots"))
+    kept = plain.unionByName(judged).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
     return kept.withColumn("contaminated", F.lit(True))
