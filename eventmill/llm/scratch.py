@@ -33,6 +33,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows than by default, unless the session already says how many.
+
+    Rows here are whole documents, of which the default of 10,000 is tens of MB, several times over
+    in each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10000:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """One operator call's tables.
 

@@ -72,9 +72,10 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "bloc
     scratch = Scratch(labelled.sparkSession, "rules")
     baskets = labelled.select(F.array_append(tokens(F.col(url_col)), F.when(F.col(block_col), "label:block").otherwise("label:allow")).alias("items"))
     baskets = scratch.keep(baskets, "baskets")
-    support = min(1.0, max(min_support, MIN_URLS / max(1, baskets.count())))
+    n = max(1, baskets.count())
+    support = min(1.0, max(min_support, MIN_URLS / n))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", "label:block")).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = model.associationRules.where(F.array_contains("consequent", "label:block") & (F.col("support") * n >= MIN_URLS - 0.5)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = scratch.keep(rules, "mined")
     inner = rules.select(F.posexplode("antecedent"), "antecedent", F.col("confidence").alias("c")).select("antecedent", "c", F.array_remove(F.col("antecedent"), F.col("col")).alias("shorter"))
     better = inner.join(rules.select(F.col("antecedent").alias("shorter"), "confidence"), "shorter").where("confidence >= c").select("antecedent").distinct()
