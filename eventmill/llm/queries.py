@@ -51,7 +51,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
     index = archive_round_trip(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +105,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
 
+_AZ = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4 = rf"""
+with h as (select page_id, coalesce(html, '') as p, url, {_AZ.format("regexp_extract(url, '://([^/?#]*)', 1)")} as host from pages),
+d as (select *, octet_length(encode(p)) as n, sha1(p) as x from h),
+b as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(x, 1 + 5 * (i // 4), 5) as integer) >> (5 * (3 - i % 4))) & 31 as integer), 1)), '') as digest from d),
+k as (select *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || coalesce(regexp_extract(url, '://[^/?#]*([^#]*)', 1), '') as url_key, strftime(timestamp '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') as captured, min(page_id) over (partition by digest) as origin from b)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id > origin then 'revisit' else 'response' end as record_type,
+  case when page_id > origin then origin end as refers_to, url_key, captured, row_number() over (order by url_key, captured, page_id) - 1 as place from k"""
+
+_OP8 = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_AZ.format("text")}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as c from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 85 * (nx.c + ny.c - i)),
+e as (select x as a, y as b from l union all select y, x from l),
+r(doc, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.doc)
+select d.doc_id, coalesce(n.c, 0) as n_shingles, m.root as component_id, d.doc_id = m.root as kept
+from documents d left join n on n.doc_id = d.doc_id join (select doc, min(root) as root from r group by 1) m on m.doc = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't say the others: trained models, merges by rank, byte windows, mined rules and tree cuts."""
+    return {"op4_warc": _OP4, "op8_near_dedup": _OP8}

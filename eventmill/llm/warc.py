@@ -24,7 +24,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -215,7 +215,8 @@ def _merge(group: pa.Table) -> pa.Table:
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
-    """``entries`` in global order: by part, then by position within it."""
+    """``entries`` with ``place``, their place in the global order by URL key, time and page."""
+    scratch = Scratch(entries.sparkSession, "index")
     rows = entries.count()
     parts = max(1, -(-rows // RANGE_ROWS))
     bounds: list[tuple] = []
@@ -225,7 +226,11 @@ def merge_index(entries: DataFrame) -> DataFrame:
         sample = sorted(_key(tuple(r)) for r in drawn.collect())
         bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     runs = entries.select(*_NAMES).mapInArrow(_run_batches(bounds), _PIECE)
-    return runs.groupBy("part").applyInArrow(_merge, _MERGED)
+    merged = scratch.keep(runs.groupBy("part").applyInArrow(_merge, _MERGED), "merged")
+    # one row a range, so that a single window over them stays small
+    sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return merged.join(scratch.keep(starts, "starts"), "part").select(*_NAMES, "part", (F.col("start") + F.col("position")).alias("place"))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -69,6 +69,7 @@ def _repeats(texts, length):
 def test_remove_repeats(docs, contexts, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 500_000 if contexts > 2 else 0)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_PLACES", 100_000 if contexts > 2 else 0)
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect()}
     want = _repeats([(i, t.encode()) for i, t in samples.corpus()], 400)
     assert got == want
@@ -265,7 +266,7 @@ def test_archives(spark, monkeypatch):
     rows = [(i, r.choice(["http://b.example.org/x?y=1", "https://a.example.org/", None, "http://a.example.org/\nq"]), r.choice([*htmls, f"page {i}"])) for i in range(120)]
     rows += [(5, "http://dup.example.org/", rows[5][2])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    got = warc.archive_round_trip(df).orderBy("part", "position").collect()
+    got = warc.archive_round_trip(df).orderBy("place").collect()
     first = {}
     for i, _, h in rows:
         first[h or ""] = min(i, first.get(h or "", i))
@@ -276,5 +277,6 @@ def test_archives(spark, monkeypatch):
         assert x["payload_bytes"] == len(raw) and x["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         origin = first[payload[x["page_id"]]]
         assert (x["record_type"], x["refers_to"]) == (("response", None) if x["page_id"] == origin else ("revisit", origin))
+    assert [x["place"] for x in got] == list(range(len(rows)))
     keys = [(x["url_key"], x["captured"]) for x in got]
     assert keys == sorted(keys)
