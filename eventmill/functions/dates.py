@@ -6,6 +6,8 @@ wall-clock time at the place of the event.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def _number(c: Column) -> Column:
     return F.nullif(c, F.lit("")).cast("int")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once for a row however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def month_number(name: Column) -> Column:
     """1 to 12, null for what is no month's name, accents or not."""
     place = lambda values: F.array_position(F.array(*map(F.lit, values)), F.lower(name))
@@ -89,42 +96,50 @@ def parse_french_date(c: Column, as_of: Column, default_minutes: int = DEFAULT_H
 
     Of each pattern only the first hit counts. The time is the first in the text, else the default.
     """
-    text = F.lower(F.trim(c))
-    minutes = F.coalesce(parse_french_time(text), F.lit(default_minutes))
-
-    def at(pattern: str, year: Column | None) -> Column:
-        day, month = _number(F.regexp_extract(text, pattern, 1)), month_number(F.regexp_extract(text, pattern, 2))
-        found = _number(F.regexp_extract(text, pattern, 3)) if year is None else infer_year(month, day, as_of, year)
-        return make_ts(found, month, day, F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
-
     ranged = rf"du\s+([0-9]{{1,2}})\s+({_W})(?:\s+au\s+[0-9]{{1,2}}\s+{_W})?\s+([0-9]{{4}})"
     dated = rf"([0-9]{{1,2}})\s+({_W})\s+([0-9]{{4}})"
     bare = rf"([0-9]{{1,2}})\s+({_W})"
-    return F.coalesce(at(ranged, None), at(dated, None), at(bare, year_of(as_of)))
+
+    def read(s: Column) -> Column:
+        def at(pattern: str, reference: Column | None) -> Column:
+            part = lambda i: F.regexp_extract(s["text"], pattern, i)
+            found = F.struct(_number(part(1)).alias("day"), month_number(part(2)).alias("month"), (_number(part(3)) if reference is None else reference).alias("year"))
+
+            def make(d: Column) -> Column:
+                year = d["year"] if reference is None else infer_year(d["month"], d["day"], as_of, d["year"])
+                return make_ts(year, d["month"], d["day"], F.floor(s["minutes"] / 60).cast("int"), (s["minutes"] % 60).cast("int"))
+
+            return _let(found, make)
+
+        return F.coalesce(at(ranged, None), at(dated, None), at(bare, year_of(as_of)))
+
+    text = F.lower(F.trim(c))
+    return _let(text, lambda t: _let(F.struct(t.alias("text"), F.coalesce(parse_french_time(t), F.lit(default_minutes)).alias("minutes")), read))
 
 
 def expand_french_dates(c: Column, as_of: Column) -> Column:
     """All dates of a range in one month, of a list, of an end (``Jusqu'au``), or of a single date; at the default hour."""
-    text = F.regexp_replace(F.lower(F.trim(c)), r"^[àa]\s+venir\s*", "")
-    group = lambda p, i: F.regexp_extract(text, p, i)
-    year = lambda p, i: F.coalesce(_number(group(p, i)), year_of(as_of))
     hour = F.lit(DEFAULT_HOUR)
-
-    def valid(days: Column, month: Column, y: Column) -> Column:
-        return F.filter(F.transform(days, lambda d: make_ts(y, month, d, hour)), lambda t: t.isNotNull())
-
     ranged = rf"du\s+([0-9]{{1,2}})\s+(?:{_W}\s+)?au\s+([0-9]{{1,2}})\s+({_W})(?:\s+([0-9]{{4}}))?"
-    first, last = _number(group(ranged, 1)), _number(group(ranged, 2))
-    span = F.when(first <= last, valid(F.sequence(first, last), month_number(group(ranged, 3)), year(ranged, 4)))
     listed = rf"((?:[0-9]{{1,2}}\s*,\s*)*[0-9]{{1,2}})\s+et\s+([0-9]{{1,2}})\s+({_W})(?:\s+([0-9]{{4}}))?"
-    days = F.array_append(F.transform(F.regexp_extract_all(group(listed, 1), F.lit("([0-9]{1,2})"), 1), _number), _number(group(listed, 2)))
-    several = valid(days, month_number(group(listed, 3)), year(listed, 4))
     until = rf"jusqu['’‘]?\s*au\s+([0-9]{{1,2}})\s+({_W})(?:\s+([0-9]{{4}}))?"
-    end = make_ts(year(until, 3), month_number(group(until, 2)), _number(group(until, 1)), hour)
-    single = parse_french_date(c, as_of)
-    some = lambda a: F.when(F.size(a) > 0, a)
-    one = lambda t: F.when(t.isNotNull(), F.array(t))
-    return F.coalesce(some(span), some(several), one(end), one(single), F.array().cast("array<timestamp_ntz>"))
+
+    def read(text: Column) -> Column:
+        group = lambda p, i: F.regexp_extract(text, p, i)
+
+        def dates(days: Column, pattern: str, month: int) -> Column:
+            when = F.struct(month_number(group(pattern, month)).alias("m"), F.coalesce(_number(group(pattern, month + 1)), year_of(as_of)).alias("y"))
+            made = _let(when, lambda w: F.filter(F.transform(days, lambda d: make_ts(w["y"], w["m"], d, hour)), lambda t: t.isNotNull()))
+            return _let(made, lambda a: F.when(F.size(a) > 0, a))
+
+        first, last = _number(group(ranged, 1)), _number(group(ranged, 2))
+        span = F.when(first <= last, F.sequence(first, last))
+        several = F.array_append(F.transform(F.regexp_extract_all(group(listed, 1), F.lit("([0-9]{1,2})"), 1), _number), _number(group(listed, 2)))
+        return F.coalesce(dates(span, ranged, 3), dates(several, listed, 3), dates(F.array(_number(group(until, 1))), until, 2))
+
+    single = _let(parse_french_date(c, as_of), lambda t: F.when(t.isNotNull(), F.array(t)))
+    found = _let(F.regexp_replace(F.lower(F.trim(c)), r"^[àa]\s+venir\s*", ""), read)
+    return F.coalesce(found, single, F.array().cast("array<timestamp_ntz>"))
 
 
 def parse_iso_local(c: Column, zone: str = "Europe/Paris") -> Column:

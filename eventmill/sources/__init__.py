@@ -1 +1 @@
-
+"""Readers of page archives, fetch logs, API payloads and published documents."""

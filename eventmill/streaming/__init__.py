@@ -1 +1 @@
-
+"""Incremental ingestion through the batch operators."""
