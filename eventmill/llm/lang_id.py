@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from . import buffers as B
 
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 12
 #: About so many rows of each language are learned from, and never more than twice that in all.
-SAMPLE = 600
+SAMPLE = 400
 ORDERS = (2, 3)
 #: Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -78,7 +78,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def train_machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-3) -> np.ndarray:
     """Weights and offset (last) of a linear machine with squared hinge loss; y is 1 or -1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    scale = 1 / np.maximum(np.sqrt((weight[:, None] * x * x).sum(axis=0)), 1e-4)
+    scale = 1 / np.maximum(np.sqrt(np.einsum("i,ij,ij->j", weight, x, x)), 1e-4)
     scale /= np.sqrt(x.shape[1])
     w = np.zeros(x.shape[1], np.float32)
     offset, ahead, ahead_offset, momentum = 0.0, w, 0.0, 1.0
@@ -102,7 +102,8 @@ class Model:
 
 
 def fit(x: np.ndarray, langs: list[str]) -> Model:
-    x = x / np.maximum(x.sum(axis=1, keepdims=True), 1)
+    """A model of counts ``x``, which become shares in place."""
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     names = np.array(langs)
     families = np.array([family(g) for g in langs])
     contests = {"": sorted(set(families))}
@@ -112,7 +113,8 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
         label = names if contest else families
         for a, b in itertools.combinations(members, 2):
             rows = np.flatnonzero((label == a) | (label == b))
-            machines[contest, a, b] = train_machine(x[rows], np.where(label[rows] == a, 1, -1).astype(np.float32))
+            own = x if len(rows) == len(x) else x[rows]
+            machines[contest, a, b] = train_machine(own, np.where(label[rows] == a, 1, -1).astype(np.float32))
     return Model(contests, machines)
 
 
@@ -179,9 +181,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", row_k
     got = drawn.mapInArrow(_feature_batches, "lang string, at binary, count binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["count"])))
     x = np.zeros((len(got), DIMENSIONS), np.float32)
-    for i, r in enumerate(got):
+    langs = [r["lang"] for r in got]
+    for i in range(len(got)):
+        r, got[i] = got[i], None  # the rows go as the matrix fills
         x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["count"], np.float32)
-    return fit(x, [r["lang"] for r in got])
+    return fit(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
