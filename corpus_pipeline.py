@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmill.llm import byte_bpe, decontaminate, lang_id, near_dedup, suffix_dedup
-from eventmill.llm.scratch import Scratch
+from eventmill.llm.scratch import Scratch, small_batches
 
 #: Ids up to this number are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -27,18 +27,21 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which no language can be told."""
+    small_batches(spark)
     model = lang_id.train(docs, row_key=F.col("doc_id"))
     return lang_id.identify(docs, model).where(F.col("lang_pred") != lang_id.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least id of each group of near duplicates."""
+    small_batches(spark)
     judged = near_dedup.near_duplicates(docs, percent=85)
     return _without(docs, judged.where("not kept").select("doc_id"), "near-stage")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte of a 400-byte string that starts anywhere else, whole characters at a time."""
+    small_batches(spark)
     cut = suffix_dedup.remove_repeats(docs, as_text=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
     return cut.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
@@ -52,6 +55,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, as digests beside those of the text they decode to."""
+    small_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
     back = byte_bpe.decode(encoded.drop("text"), vocabulary)
