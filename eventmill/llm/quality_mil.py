@@ -27,13 +27,14 @@ from . import buffers as B
 PASSAGE = 64
 DIMENSIONS = 512
 CODE, ATTENTION = 32, 16
+PRIOR = 20.0
 #: About so many documents of each label are learned from, and never more than four times that.
 SAMPLE = 1000
 EPOCHS = 12
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Square roots of n-gram shares, one row a passage, and each document's first passage."""
+    """Counts of hashed n-grams, one row a passage, and each document's first passage."""
     starts, ends, first = B.words(data, offsets)
     words = np.diff(first)
     count = -(-words // PASSAGE)
@@ -52,7 +53,12 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     where = np.repeat(np.arange(len(lo)), size)
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - lo, size)
     x = np.bincount(where * DIMENSIONS + code[place], minlength=len(lo) * DIMENSIONS).reshape(len(lo), DIMENSIONS)
-    return np.sqrt(x / size[:, None]).astype(np.float32), at
+    return x.astype(np.float32), at
+
+
+def shares(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Square roots of n-gram shares, drawn towards ``prior`` by ``PRIOR`` n-grams: a few words tell little."""
+    return np.sqrt((counts + PRIOR * prior) / (counts.sum(axis=1, keepdims=True) + PRIOR))
 
 
 def _segment_softmax(e: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -66,6 +72,7 @@ class Model:
     """Encoder, gated attention and output layer."""
 
     def __init__(self, seed: int = 7):
+        self.prior = np.full(DIMENSIONS, 1 / DIMENSIONS, np.float32)
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {
@@ -105,16 +112,22 @@ class Model:
         some = np.flatnonzero(np.diff(at))
         out = np.full(len(offsets) - 1, 1 / (1 + np.exp(-float(self.p["out_0"][0]))))
         if len(some):
-            out[some] = self.forward(x, np.append(at[:-1][some], at[-1]))["y"]
+            out[some] = self.forward(shares(x, self.prior), np.append(at[:-1][some], at[-1]))["y"]
         return out
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adam over small batches of documents; both labels weigh the same in all."""
+    """Adam over small batches of documents; both labels weigh the same in all.
+
+    ``bags`` holds the counts of each document's passages. The prior is the mean passage of label 1.
+    """
     model = Model(seed)
     if not len(bags) or labels.min() == labels.max():
         model.p["out"][:] = 0
         return model
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b, y in zip(bags, labels) if y)
+    model.prior = (mean / mean.sum()).astype(np.float32)
+    bags = [shares(b.astype(np.float32), model.prior).astype(np.float16) for b in bags]
     weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     r = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
