@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer single text stands alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -30,6 +30,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,17 +143,20 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _verifier(percent: int):
-    def links(group: pd.DataFrame) -> pd.DataFrame:
+    def links(group: pa.Table) -> pa.Table:
         """Links between the two sides of a block pair, a spanning forest of them only.
 
         Pairs already in one component are left alone; so are pairs that this block has joined.
         """
-        group = group.drop_duplicates(["rep", "half"])
+        rep, half = group.column("rep").to_numpy(), group.column("half").to_numpy()
+        first = np.unique(np.stack([half, rep]), axis=1, return_index=True)[1]
+        rep, half, comp = rep[first], half[first], group.column("comp").to_numpy()[first]
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").take(pa.array(first)).to_pylist()]
+        one = half.min() == half.max()
         sides = []
-        one = group["half"].nunique() == 1
         for h in (0, 1):
-            g = group if one else group[group["half"] == h]
-            sides.append((g["rep"].to_numpy(), g["comp"].to_numpy(), [np.frombuffer(s, np.uint64) for s in g["shingles"]]))
+            rows = np.flatnonzero(half == h) if not one else np.arange(len(rep))
+            sides.append((rep[rows], comp[rows], [sets[i] for i in rows]))
         (ids_a, comp_a, a), (ids_b, comp_b, b) = sides
         size_a, size_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
         same = intersections(a, b).astype(np.int64)
@@ -174,7 +176,8 @@ def _verifier(percent: int):
             if ru != rv:
                 parent[max(ru, rv)] = min(ru, rv)
                 out.append((u, v))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return links
 
@@ -182,7 +185,7 @@ def _verifier(percent: int):
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links within groups; ``members`` has (key, part, half, rep, comp)."""
     rows = members.join(sets, "rep").select("key", "part", "half", "rep", "comp", "shingles")
-    return rows.groupBy("key", "part").applyInPandas(_verifier(percent), "a long, b long").distinct()
+    return rows.groupBy("key", "part").applyInArrow(_verifier(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
