@@ -39,7 +39,10 @@ BLOCK = 32
 CONTEXTS = 2000
 #: Parts into which the windows of a larger key are split.
 PARTS = 8
+#: Rows of two hashes up to this number are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: The same for documents with the places of their contexts, some hundred bytes each.
+BROADCAST_PLACES = 100_000
 _ROW = "id long, h int, key long, ctx long, lo int, hi int, p int"
 
 
@@ -206,11 +209,13 @@ def _resolve(rows: DataFrame, source: DataFrame, scratch: Scratch, length: int,
     one = F.struct("id", "h", "lo", "hi", "p", *(["bytes"] if depth else []))
     classes = mixed.groupBy("key", "ctx").agg(F.sum("weight").alias("weight"), F.min(one).alias("x")).select("key", "ctx", "weight", "x.*")
     classes = scratch.keep(classes, "classes" + tag)
-    out.append(span(mixed.join(classes.where("weight > 1").select("key", "ctx"), ["key", "ctx"])))
+    repeated = classes.where("weight > 1").select("key", "ctx")
+    few = repeated.count() <= BROADCAST_ROWS
+    out.append(span(mixed.join(F.broadcast(repeated) if few else repeated, ["key", "ctx"])))
     if not depth:
         places = classes.groupBy("id", "h").agg(F.collect_list(F.struct("key", "weight", "lo", "hi", "p")).alias("places"))
         places = scratch.keep(places, "places")
-        small = places.count() <= BROADCAST_ROWS
+        small = places.count() <= BROADCAST_PLACES
         texts = source.join(F.broadcast(places) if small else places, ["id", "h"]).dropDuplicates(["id", "h"]).select("text", "id", "h", "places")
         schema = "id long, h int, key long, weight long, lo int, hi int, p int, bytes binary"
         classes = scratch.keep(texts.mapInPandas(_slice_batches(length), schema), "contexts")
