@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import buffers as B
@@ -188,6 +188,25 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "part").applyInArrow(_verifier(percent), "a long, b long").distinct()
 
 
+def _block_pairs(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, part, half, rep, comp): members (key, rep, comp) of each pair of blocks to compare.
+
+    Members are numbered by component and cut every ``BLOCK`` rows, so that a component of any size
+    fills blocks of its own. A pair of blocks of one and the same component is left out, and where
+    one side is of one component, so are the other side's members of it, before sets are joined.
+    """
+    order = Window.partitionBy("key").orderBy("comp", "rep")
+    placed = placed.select("key", "rep", "comp", F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK)).cast("int").alias("blk"))
+    placed = scratch.keep(placed, "blocked")
+    ends = scratch.keep(placed.groupBy("key", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
+    x, y = (ends.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("blk", "lo", "hi"))) for side in "xy")
+    both = x.join(y, "key").where("blk_x <= blk_y and lo_x < hi_y")
+    part = (F.col("blk_x").cast("long") * 1_000_000 + F.col("blk_y")).alias("part")
+    sides = [both.select("key", part, F.lit(half).alias("half"), F.col(f"blk_{a}").alias("blk"), F.when(F.col(f"lo_{b}") == F.col(f"hi_{b}"), F.col(f"lo_{b}")).alias("only")) for half, a, b in ((0, "x", "y"), (1, "y", "x"))]
+    sides = sides[0].unionByName(sides[1].where("part div 1000000 < part % 1000000"))
+    return placed.join(sides, ["key", "blk"]).where("only is null or comp <> only").select("key", "part", "half", "rep", "comp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -211,9 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("sketches", "classes")
 
     entries = labelled.where("bands is not null and n_shingles > 0").select("rep", F.explode("bands").alias("key"))
-    groups = entries.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFFFF)).alias("sig"), F.min("rep").alias("hub")).where("m > 1")
+    # a hash is summed by halves, since 64-bit sums of whole hashes overflow in large groups
+    h = F.xxhash64("rep")
+    sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2")
+    groups = entries.groupBy("key").agg(F.count("*").alias("m"), *sums, F.min("rep").alias("hub")).where("m > 1")
     # bands often gather the same documents: one group of each membership is enough
-    groups = scratch.keep(groups.groupBy("m", "sig", "hub").agg(F.min("key").alias("key")).select("key", "m", "hub"), "groups")
+    groups = scratch.keep(groups.groupBy("m", "sig1", "sig2", "hub").agg(F.min("key").alias("key")).select("key", "m", "hub"), "groups")
     members = scratch.keep(entries.join(groups, "key").select("key", "m", "hub", "rep"), "members")
     ids = scratch.keep(members.select("rep").distinct(), "ids")
     n = ids.count()
@@ -233,12 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = scratch.keep(placed, "placed")
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         placed = placed.join(scratch.keep(split, "split"), "key", "left_semi")
-        # a block holds neighbours by component, so that most block pairs of one component fall away
-        blocked = placed.select("key", "rep", "comp", "m", F.pmod(F.xxhash64("comp"), blocks).cast("int").alias("blk"))
-        other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-        pairs = blocked.select("key", "rep", "comp", "m", "blk", other).select(
-            "key", (F.least("blk", "other").cast("long") * 1_000_000 + F.greatest("blk", "other")).alias("part"), (F.col("blk") > F.col("other")).cast("int").alias("half"), "rep", "comp"
-        )
+        pairs = _block_pairs(placed, scratch)
         found = scratch.keep(found.unionByName(_links(pairs, sets, percent)), "links-2")
         roots = scratch.keep(components(found, scratch), "roots-2")
 

@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from eventmill.llm import byte_bpe, decontaminate, kd_shard, lang_id, near_dedup, quality_mil, quality_rules, suffix_dedup, url_rules, warc
+from eventmill.llm.scratch import Scratch
 
 from . import samples
 
@@ -53,6 +54,41 @@ def test_near_duplicates(docs, block, monkeypatch):
     assert len({c for _, c in got.values()}) < 36
 
 
+def test_large_groups_of_near_copies_stay_in_blocks(spark, monkeypatch):
+    """Linked variants beside an outlier: no task gets more than two blocks, and one pair of blocks of one component isn't compared."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    verifier = near_dedup._verifier
+
+    def bounded(percent):
+        links = verifier(percent)
+
+        def checked(group):
+            assert group.num_rows <= 64  # blocks of the first pass are dealt by hash, and so vary
+            return links(group)
+
+        return checked
+
+    monkeypatch.setattr(near_dedup, "_verifier", bounded)
+    base = samples.words(random.Random(5), 60)
+    texts = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(200)] + [(200 + k, " ".join(f"x{k}" if i % 15 == 7 else w for i, w in enumerate(base))) for k in range(3)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == _components(texts) and {got[i][1] for i in range(200)} == {0} and got[200][1] == 200
+
+
+def test_block_pairs(spark, monkeypatch):
+    """Every two members of different components meet in a pair of blocks, and none of one component that fills both."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    comp = {r: 0 if r < 20 else r // 3 * 3 for r in range(40)}
+    placed = spark.createDataFrame([(7, r, c) for r, c in comp.items()], "key long, rep long, comp long")
+    rows = near_dedup._block_pairs(placed, Scratch(spark, "test")).collect()
+    sides = defaultdict(lambda: ([], []))
+    for r in rows:
+        sides[r["part"]][r["half"]].append(r["rep"])
+    met = {frozenset((x, y)) for a, b in sides.values() for x in a for y in (b or a) if comp[x] != comp[y]}
+    assert met == {frozenset((x, y)) for x in comp for y in comp if comp[x] != comp[y]}
+    assert all(max(len(a), len(b)) <= 4 and {comp[r] for r in a + b} != {0} for a, b in sides.values())
+
+
 def _repeats(texts, length):
     seen = Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
     out = {}
