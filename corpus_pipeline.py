@@ -33,9 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group of near duplicates."""
+    """Keep the document of the least id of each group of near duplicates, of a similarity of 0.8 or more."""
     small_batches(spark)
-    judged = near_dedup.near_duplicates(docs, percent=85)
+    judged = near_dedup.near_duplicates(docs, percent=80)
     return _without(docs, judged.where("not kept").select("doc_id"), "near-stage")
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
@@ -316,3 +317,12 @@ def test_archives(spark, monkeypatch):
     assert [x["place"] for x in got] == list(range(len(rows)))
     keys = [(x["url_key"], x["captured"]) for x in got]
     assert keys == sorted(keys)
+
+
+def test_near_stage_drops_a_pair_at_0_82(spark):
+    w = samples.words(random.Random(9), 105)
+    texts = [(1, " ".join(w)), (2, " ".join("changed" if i in (30, 70) else x for i, x in enumerate(w)))]
+    a, b = (_shingles(t) for _, t in texts)
+    assert 0.815 < len(a & b) / len(a | b) < 0.825
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(samples.rows(texts), samples.SCHEMA), "")
+    assert [r["doc_id"] for r in kept.collect()] == [1]
