@@ -4,8 +4,9 @@ A text turns into lower-case word tokens. A number becomes one placeholder, a un
 another, and a capitalised word inside a sentence a third. Windows of ``WINDOW`` tokens with at
 least ``LITERALS`` plain words are hash-joined between documents and benchmark items, which also
 finds questions whose numbers or names were changed. The matched windows of a document, an item
-and an offset between the two must then agree on their slots: one value of the item stands for one
-value in the document, and the other way round. Everything is a built-in expression.
+and an offset between the two must then agree on their names: one name of the item stands for one
+name in the document, and the other way round. If they don't, only windows with no changed slot
+count. Everything is a built-in expression.
 
 Defined results: null or short texts match nothing; items of 5 to ``WINDOW`` - 1 tokens are matched
 as a whole, items of fewer never; repeated rows with one id count as one document; null ids are
@@ -97,29 +98,34 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     # windows of one offset overlap: tokens of the item that any of them covers
     spans = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)))).alias("at")
+        F.count("*").alias("windows"), F.min("n").alias("n"), F.collect_list("item_pos").alias("starts"),
+        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)))).alias("at"),
     )
     asked = bench.select("item_id", "tokens", F.col("values").alias("asked"))
-    slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), (i + F.col("shift")).alias("pos"))
+    slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), i.alias("at"), (i + F.col("shift")).alias("pos"))
     slots = F.transform(F.filter("at", lambda i: _is_slot(F.get("tokens", i))), slot)
-    spans = scratch.keep(spans.join(asked, "item_id").select("doc_id", "item_id", "windows", slots.alias("slots")), "spans")
+    spans = scratch.keep(spans.join(asked, "item_id").select("doc_id", "item_id", "windows", "n", "starts", slots.alias("slots")), "spans")
     # only spans with slots need the document's own words, which are read once for all of its spans
-    open_spans = spans.where(F.size("slots") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "slots")).alias("spans"))
+    open_spans = spans.where(F.size("slots") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "n", "starts", "slots")).alias("spans"))
     open_spans = scratch.keep(open_spans, "open-spans")
     few = open_spans.count() <= BROADCAST_DOCS
     joined = source.join(F.broadcast(open_spans) if few else open_spans, "doc_id")
-    # a mapping is consistent if it has as many pairs as values on either side
-    count = lambda s, name: F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["kind"], x[name]))))
+    count = lambda s, name: F.size(F.array_distinct(F.transform(s, lambda x: x[name])))
 
     def judge(found: Column) -> Column:
         def one(span: Column) -> Column:
             pairs = F.array_distinct(F.transform(span["slots"], lambda x: F.struct(x["kind"].alias("kind"), x["asked"].alias("asked"), F.get(found, x["pos"]).alias("found"))))
-            ok = lambda s: F.struct(F.size(s).alias("slots"), ((F.size(s) == count(s, "asked")) & (F.size(s) == count(s, "found"))).alias("ok"))
-            return F.struct(span["item_id"].alias("item_id"), span["windows"].alias("windows"), let(pairs, ok).alias("s"))
+            # numbers and units may change freely; names are consistent if they have as many pairs as values on either side
+            names = F.filter(pairs, lambda x: x["kind"] == _NAME)
+            ok = let(names, lambda s: (F.size(s) == count(s, "asked")) & (F.size(s) == count(s, "found")))
+            # windows whose slots hold the item's own values count whatever the other slots say
+            changed = F.transform(F.filter(span["slots"], lambda x: ~F.get(found, x["pos"]).eqNullSafe(x["asked"])), lambda x: x["at"])
+            same = let(changed, lambda c: F.size(F.filter(span["starts"], lambda p: ~F.exists(c, lambda q: (q >= p) & (q < p + span["n"]))))).cast("long")
+            return F.struct(span["item_id"].alias("item_id"), F.when(ok, span["windows"]).otherwise(same).alias("windows"), F.when(ok, F.size(pairs)).otherwise(0).alias("slots"))
 
         return F.transform("spans", one)
 
-    judged = joined.select("doc_id", F.explode(let(surface_tokens(F.col("text")), judge)).alias("x")).where("x.s.ok").select("doc_id", "x.item_id", "x.windows", F.col("x.s.slots").alias("slots"))
+    judged = joined.select("doc_id", F.explode(let(surface_tokens(F.col("text")), judge)).alias("x")).select("doc_id", "x.*").where("windows > 0")
     plain = spans.where(F.size("slots") == 0).select("doc_id", "item_id", "windows", F.lit(0).alias("slots"))
     kept = plain.unionByName(judged).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
     return kept.withColumn("contaminated", F.lit(True))

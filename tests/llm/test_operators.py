@@ -326,3 +326,18 @@ def test_near_stage_drops_a_pair_at_0_82(spark):
     assert 0.815 < len(a & b) / len(a | b) < 0.825
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(samples.rows(texts), samples.SCHEMA), "")
     assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def _leaks(spark, texts, items):
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_contaminated_with_inconsistent_slots(spark):
+    """A changed name doesn't hide the other windows, and numbers may fall together or apart."""
+    words = samples.words(random.Random(2), 40)
+    item = " ".join([*words[:5], "Marie", *words[5:35], "Marie", *words[35:]])
+    named = "we saw that Marie and Paul sold old chairs to Marie and then Paul left"
+    sums = "a farmer has 3 red apples and then buys 5 more of them while 3 fall down"
+    texts = [(1, "x ".join(item.rsplit("Marie", 1)).replace("x ", "Julie", 1)), (2, named[: named.rindex("Paul")] + "Carol left"), (3, sums.replace("3", "4").replace("5", "4")), (4, sums.replace("3", "7", 1).replace("5", "8"))]
+    assert _leaks(spark, texts, [(1, item), (2, named), (3, sums)]) == {(1, 1), (2, 2), (3, 3), (4, 3)}
