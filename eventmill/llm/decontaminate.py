@@ -6,10 +6,11 @@ least ``LITERALS`` plain words are hash-joined between documents and benchmark i
 finds questions whose numbers or names were changed. The matched windows of a document, an item
 and an offset between the two must then agree on their names: one name of the item stands for one
 name in the document, and the other way round. If they don't, only windows with no changed slot
-count. Everything is a built-in expression.
+count. Items with tokens that no such window covers (short ones, and those full of numbers, units
+or names) are also matched as written. Everything is a built-in expression.
 
-Defined results: null or short texts match nothing; items of 5 to ``WINDOW`` - 1 tokens are matched
-as a whole, items of fewer never; repeated rows with one id count as one document; null ids are
+Defined results: null or empty texts match nothing; items of fewer than ``WINDOW`` tokens are
+matched as a whole, those of fewer than ``LITERALS`` as written only; repeated rows with one id count as one document; null ids are
 left out; other columns are ignored.
 """
 
@@ -60,16 +61,21 @@ def _is_slot(token: Column) -> Column:
     return token.startswith(_NAME) | token.startswith(_NUMBER) | token.startswith(_UNIT)
 
 
-def _windows(tokens: Column, n: int) -> Column:
-    """(hash, position) of the windows of ``n`` tokens with enough plain words."""
+_WINDOWS = "array<struct<hash:bigint,pos:int>>"
+
+
+def _windows(tokens: Column, n: int, exact: bool = False) -> Column:
+    """(hash, position) of the windows of ``n`` tokens: of those with enough plain words, or of all for exact matches."""
 
     def build(t: Column) -> Column:
-        coded = F.transform(t, lambda w: F.struct(F.xxhash64(w).alias("h"), (~_is_slot(w)).cast("int").alias("plain")))
+        coded = F.transform(t, lambda w: F.struct(F.xxhash64(w).alias("h"), (F.lit(exact) | ~_is_slot(w)).cast("int").alias("plain")))
 
         def over(c: Column) -> Column:
-            rows = windows(c, n, lambda w: F.struct(F.xxhash64(F.lit(n), *[x["h"] for x in w]).alias("hash"), sum((x["plain"] for x in w[1:]), w[0]["plain"]).alias("plain")))
+            seed = F.lit(-n if exact else n)
+            rows = windows(c, n, lambda w: F.struct(F.xxhash64(seed, *[x["h"] for x in w]).alias("hash"), sum((x["plain"] for x in w[1:]), w[0]["plain"]).alias("plain")))
             rows = F.transform(rows, lambda r, i: F.struct(r["hash"].alias("hash"), i.alias("pos"), r["plain"].alias("plain")))
-            return F.filter(rows, lambda r: r["plain"] >= min(LITERALS, n))
+            rows = rows if exact else F.filter(rows, lambda r: r["plain"] >= LITERALS)
+            return F.transform(rows, lambda r: F.struct(r["hash"].alias("hash"), r["pos"].alias("pos")))
 
         return let(coded, over)
 
@@ -83,23 +89,41 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     bench = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_id is not null")
     bench = bench.withColumns({"tokens": template_tokens(F.col("item_text")), "values": surface_tokens(F.col("item_text"))})
-    bench = scratch.keep(bench.withColumn("n", F.least(F.size("tokens"), F.lit(WINDOW))).where("n >= 5"), "items")
-    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # 5 to WINDOW, no more
-    picked = F.lit(None)
-    for n in lengths:
-        picked = F.when(F.col("n") == n, _windows(F.col("tokens"), n)).otherwise(picked)
-    keys = bench.select("item_id", "n", F.explode(picked).alias("w")) if lengths else bench.select("item_id", "n", F.struct(F.lit(0).cast("long").alias("hash"), F.lit(0).alias("pos")).alias("w")).limit(0)
-    keys = scratch.keep(keys.select(F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos"), "item_id", "n"), "item-windows")
+    bench = scratch.keep(bench.withColumn("n", F.least(F.size("tokens"), F.lit(WINDOW))).where("n > 0"), "items")
+    none = F.array().cast(_WINDOWS)
+
+    def by_length(lengths: list[int], col: str, exact: bool) -> Column:
+        picked = none
+        for n in lengths:
+            picked = F.when(F.col("n") == n, _windows(F.col(col), n, exact)).otherwise(picked)
+        return picked
+
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # 1 to WINDOW, no more
+    long = [n for n in lengths if n >= LITERALS]
+    templates = scratch.keep(bench.select("item_id", "n", "tokens", "values", by_length(long, "tokens", False).alias("w")), "item-templates")
+    # items with tokens that no template covers are matched as written, too
+    covered = F.flatten(F.transform("w", lambda x: F.sequence(x["pos"], x["pos"] + F.col("n") - 1)))
+    bare = templates.where(F.size(F.array_except(F.sequence(F.lit(0), F.size("tokens") - 1), covered)) > 0)
+    bare = bare.select("item_id", "n", F.filter(by_length(lengths, "values", True), lambda x: ~F.array_contains(F.transform("w", lambda y: y["pos"]), x["pos"])).alias("w"))
+    bare = scratch.keep(bare, "item-exact")
+    written = sorted(r["n"] for r in bare.select("n").distinct().collect())
+    unfold = lambda rows, exact: rows.select("item_id", "n", F.lit(exact).alias("exact"), F.explode("w").alias("w"))
+    keys = unfold(templates, False).unionByName(unfold(bare, True))
+    keys = scratch.keep(keys.select(F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos"), "item_id", "n", "exact"), "item-windows")
     small = keys.count() <= BROADCAST_ROWS
-    own = let(template_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n) for n in lengths])) if lengths else F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(0).alias("pos")))
-    rows = source.select("doc_id", F.explode(own).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"))
-    hits = rows.join(F.broadcast(keys) if small else keys, "hash").select("doc_id", "pos", "item_id", "item_pos", "n").distinct()
+    own = []
+    if long:
+        own.append(let(template_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n) for n in long])))
+    if written:
+        own.append(let(surface_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n, True) for n in written])))
+    rows = source.select("doc_id", F.explode(F.concat(none, *own)).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"))
+    hits = rows.join(F.broadcast(keys) if small else keys, "hash").select("doc_id", "pos", "item_id", "item_pos", "n", "exact").distinct()
     hits = scratch.keep(hits, "hits")
 
     # windows of one offset overlap: tokens of the item that any of them covers
     spans = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.count("*").alias("windows"), F.min("n").alias("n"), F.collect_list("item_pos").alias("starts"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)))).alias("at"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("exact"), F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1))))).alias("at"),
     )
     asked = bench.select("item_id", "tokens", F.col("values").alias("asked"))
     slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), i.alias("at"), (i + F.col("shift")).alias("pos"))

@@ -341,3 +341,9 @@ def test_contaminated_with_inconsistent_slots(spark):
     sums = "a farmer has 3 red apples and then buys 5 more of them while 3 fall down"
     texts = [(1, "x ".join(item.rsplit("Marie", 1)).replace("x ", "Julie", 1)), (2, named[: named.rindex("Paul")] + "Carol left"), (3, sums.replace("3", "4").replace("5", "4")), (4, sums.replace("3", "7", 1).replace("5", "8"))]
     assert _leaks(spark, texts, [(1, item), (2, named), (3, sums)]) == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
+def test_contaminated_by_items_without_templates(spark):
+    items = [(1, "What is 12 + 37 + 45?"), (2, "7 times 8 is?"), (3, "Convert 5 km 300 m to feet"), (4, "the kings Anna, Bert, Carl, Dora, Emil, Fritz, Gustav, Hans, Ida, Karl"), (5, "Really?")]
+    texts = [(i, f"Here it comes: {t} And more of it.") for i, t in items] + [(9, "What is 13 + 37 + 45? 7 times 9 is. Convert 6 km 300 m to feet, kings Anna, Bert, Carl")]
+    assert _leaks(spark, texts, items) == {(i, i) for i in range(1, 6)}
