@@ -62,19 +62,48 @@ def append_venue_stubs(venues: DataFrame, slugs: DataFrame) -> DataFrame:
     return venues.unionByName(stubs, allowMissingColumns=True)
 
 
+def _least_runs(threshold: float) -> list[int]:
+    """For each length up to 40: the longest run of letters, 3 at most, that a text shares with every one alike.
+
+    Of two texts of s letters with m matched, s - 2m stay unmatched and part the matched ones into
+    at most s - 2m + 1 runs.
+    """
+    out = [1]
+    for x in range(1, 41):
+        least = 3
+        for y in range(1, 4 * x):
+            for m in range(1, min(x, y) + 1):
+                if 2 * m >= threshold * (x + y) - 1e-9:
+                    least = min(least, -(-m // (x + y - 2 * m + 1)))
+        out.append(least)
+    return out if threshold >= 0.5 else [1] * 41
+
+
 def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO) -> DataFrame:
     """(a, b, match, score) of venue pairs alike in name, else in address, else in website domain.
 
-    Names and addresses are compared when they share a run of three letters; domains are joined.
+    Distinct names and addresses are compared when they share a run of as many letters, 3 at most,
+    as the threshold implies for their lengths; domains are joined.
     """
     v = venues.select("ord", "slug", T.normalize_venue_text("title").alias("name"), T.normalize_venue_text(F.coalesce("address", F.lit(""))).alias("place"), U.extract_domain(F.coalesce("website", F.lit(""))).alias("domain"))
+    runs = F.array(*map(F.lit, _least_runs(threshold)))
+    beyond = F.lit(3 if threshold > 0.81 else 1)  # from 41 letters on
 
     def alike(col: str, least: int) -> DataFrame:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(col) - 2)), lambda i: F.substring(F.col(col), i, F.lit(3))))
-        g = v.where(F.length(col) > least).select("ord", "slug", col, F.explode(grams).alias("gram"))
-        a, b = g.select(F.col("ord").alias("ord_a"), F.col("slug").alias("a"), F.col(col).alias("x"), "gram"), g.select(F.col("ord").alias("ord_b"), F.col("slug").alias("b"), F.col(col).alias("y"), "gram")
-        pairs = a.join(b, "gram").where("ord_a < ord_b").select("ord_a", "ord_b", "a", "b", "x", "y").distinct()
-        return pairs.withColumn("score", T.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= threshold).select("a", "b", "score")
+        own = v.where(F.length(col) > least).select("ord", "slug", T.normalize_name(col).alias("t"))
+        g = own.select("t").distinct().withColumn("n", F.length("t"))
+        g = g.select("t", "n", F.explode(F.sequence(F.coalesce(F.get(runs, F.col("n")), beyond), F.lit(3))).alias("q")).where("q <= n")
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring(F.col("t"), i, F.col("q"))))
+        g = g.select("t", "n", F.explode(grams).alias("gram"))
+        a, b = g.select(F.col("t").alias("x"), F.col("n").alias("nx"), "gram"), g.select(F.col("t").alias("y"), F.col("n").alias("ny"), "gram")
+        near = F.least("nx", "ny") * 2 >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - 1e-9
+        # both orders are scored, as matching blocks may depend on the order
+        texts = a.join(b, "gram").where("x <> y").where(near).select("x", "y").distinct()
+        texts = texts.withColumn("score", T.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= threshold)
+        l, r = own.select(F.col("ord").alias("ord_a"), F.col("slug").alias("a"), F.col("t").alias("x")), own.select(F.col("ord").alias("ord_b"), F.col("slug").alias("b"), F.col("t").alias("y"))
+        pairs = texts.join(l, "x").join(r, "y").where("ord_a < ord_b").select("a", "b", "score")
+        equal = l.join(r, F.col("x") == F.col("y")).where("ord_a < ord_b").select("a", "b", F.lit(1.0).alias("score"))
+        return pairs.unionByName(equal)
 
     d = v.where("domain <> ''")
     same = d.alias("l").join(d.alias("r"), "domain").where("l.ord < r.ord").select(F.col("l.slug").alias("a"), F.col("r.slug").alias("b"), F.lit(1.0).alias("score"))

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from eventmill.functions import text as T
 from eventmill.operators import calendar as C
 from eventmill.operators import classify, duplicates, extract, html_rows, lifecycle, publish, rules, select, venues
 
@@ -174,3 +175,21 @@ def test_unknown_extractor():
     with pytest.raises(ValueError, match="unknown extractor"):
         html_rows.extractor("none")
     assert html_rows.extractor("microdata") is html_rows.extract_microdata
+
+
+def test_duplicate_venues_against_all_pairs(spark):
+    """Short names share no run of three letters; every pair is compared by brute force."""
+    import difflib
+    import random
+
+    r = random.Random(4)
+    names = ["klap", "kl ap", "zef", "z ef", "abcdef", "ab cd ef", "klap", "salle verte", "la salle verte", "x", "x"]
+    for _ in range(60):
+        w = "".join(r.choice("abcd") for _ in range(r.randint(2, 9)))
+        names += [w, "".join(c + r.choice(["", "", "", " ", "e"]) for c in w).strip()]
+    places = spark.createDataFrame([(i, f"v{i}", n) for i, n in enumerate(names)], "ord long, slug string, title string").selectExpr("*", "'' as address", "'' as website")
+    norm = [r["n"] for r in places.orderBy("ord").select(T.normalize_name(T.normalize_venue_text("title")).alias("n")).collect()]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    expected = {(f"v{i}", f"v{j}") for j in range(len(norm)) for i in range(j) if ratio(norm[i], norm[j]) >= 0.85}
+    got = venues.find_duplicate_venues(places)
+    assert {(r["a"], r["b"]) for r in got.collect()} == expected and {("v0", "v1"), ("v2", "v3"), ("v4", "v5")} <= expected
