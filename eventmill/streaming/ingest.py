@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.duplicates import anti_join_source_id
+from ..operators.venues import first_wins_by_key
 
 
-def stream_ingest_pages(pages: DataFrame, published: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], select: Callable[[DataFrame], DataFrame], time_col: str = "fetched_at", late: str = "1 hour") -> StreamingQuery:
+def stream_ingest_pages(pages: DataFrame, published: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], select: Callable[[DataFrame], DataFrame], time_col: str = "fetched_at") -> StreamingQuery:
     """Start a query that appends the accepted events of new pages to the Parquet table ``published``.
 
     ``extract`` gives events with source_id (and keeps ``time_col``); ``select`` adds accepted. An
-    event seen again within the watermark falls away in the state store, an older one by the anti
-    join with the table. Each batch goes to a folder of its own number, so a batch that is run again
+    event seen again falls away within its batch (the first by ``time_col`` stays) or by the anti join
+    with the table, however late its page file comes. Each batch goes to a folder of its own number, so a batch that is run again
     after a failure replaces its own rows only.
     """
-    events = extract(pages).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["source_id"])
+    events = extract(pages)
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        accepted = select(batch).where("accepted").drop("accepted")
+        accepted = select(first_wins_by_key(batch, "source_id", [time_col])).where("accepted").drop("accepted")
         try:
             known = spark.read.parquet(published).where(F.col("batch") != number)
             accepted = anti_join_source_id(accepted, known)

@@ -55,3 +55,15 @@ def test_stream_equals_batch_over_the_union(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
         run()
     assert sorted(r["source_id"] for r in spark.read.parquet(f"{tmp_path}/published").collect()) == ["a", "c"]
+
+
+def test_stream_keeps_late_files(spark, tmp_path):
+    schema = "url string, fetched_at timestamp"
+    extract = lambda df: df.select(F.col("url").alias("source_id"), "fetched_at")
+    select = lambda df: df.withColumn("accepted", F.lit(True))
+    for rows in ([("a", 1_700_000_000), ("b", 1_700_000_100)], [("d", 1_700_100_000)], [("c", 1_600_000_000), ("c", 1_600_000_001), ("a", 1_600_000_000)]):
+        df = spark.createDataFrame(rows, "url string, t long").select("url", F.timestamp_seconds("t").alias("fetched_at"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+        pages = spark.readStream.schema(schema).parquet(f"{tmp_path}/pages")
+        stream_ingest_pages(pages, f"{tmp_path}/published", f"{tmp_path}/checkpoint", extract, select).awaitTermination()
+    assert sorted(r["source_id"] for r in spark.read.parquet(f"{tmp_path}/published").collect()) == ["a", "b", "c", "d"]
