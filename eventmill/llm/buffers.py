@@ -55,18 +55,89 @@ def _grow(n: int) -> None:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash over bytes, one entry more than bytes; see ``range_hash``."""
+    """Prefix sums of a polynomial hash over bytes or 64-bit symbols, one entry more than those; see ``range_hash``."""
     _grow(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _powers[: len(data)], out=out[1:], dtype=np.uint64)
+    codes = _BYTE_CODES[data] if data.dtype == np.uint8 else data
+    np.cumsum(codes * _powers[: len(data)], out=out[1:], dtype=np.uint64)
     return out
 
 
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, equal for equal contents wherever they lie (before mixing, so sums keep no order)."""
+    """Hashes of ranges, equal for equal contents wherever they lie.
+
+    Good for choosing and grouping only: modulo a power of two some unlike contents of a thousand
+    symbols always hash alike. Where equality is decided, ``field_hash`` is used.
+    """
     return mix((prefix[end] - prefix[start]) * _inverses[start] + (end - start).astype(np.uint64))
 
 
+#: Two polynomials over the field of this prime (fixed value), in which unlike contents hash alike by chance only.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_093_187_113, 1_947_326_821)
+_field_powers = np.ones((2, 1), np.uint64)
+_field_inverses = np.ones((2, 1), np.uint64)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, where ``x`` is under 2^62; the prime itself may stand for 0."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _field_row(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    filled = 1
+    while filled < n:  # powers double in number: base ** (filled + i) = base ** filled * base ** i
+        k = min(filled, n - filled)
+        out[filled : filled + k] = out[:k] * np.uint64(pow(base, filled, int(_PRIME))) % _PRIME
+        filled += k
+    return out
+
+
+def _grow_field(n: int) -> None:
+    global _field_powers, _field_inverses
+    if _field_powers.shape[1] < n:
+        n = max(n, SLICE_BYTES + 2)
+        _field_powers = np.stack([_field_row(b, n) for b in _BASES])
+        _field_inverses = np.stack([_field_row(pow(b, -1, int(_PRIME)), n) for b in _BASES])
+
+
+def field_prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of two polynomials over bytes or 64-bit symbols, for ``field_hash``."""
+    _grow_field(len(data) + 1)
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    small = data.dtype == np.uint8  # a few million products of bytes can be summed as they are
+    parts = [data.astype(np.uint64) + np.uint64(1)] * 2 if small else [data & _PRIME, data >> np.uint64(33)]
+    for k, part in enumerate(parts):
+        terms = part * _field_powers[k, : len(data)]
+        np.cumsum(terms if small and len(data) < 1 << 22 else _fold(terms), out=out[k, 1:], dtype=np.uint64)
+    return out
+
+
+def field_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges, equal for equal contents wherever they lie; unlike contents of n symbols collide with a chance of (n / 2^31)^2."""
+    halves = [_fold(_fold(prefix[k][end] - prefix[k][start]) * _field_inverses[k][start]) % _PRIME for k in (0, 1)]
+    return mix(mix((halves[0] << np.uint64(31)) | halves[1], 1) + (end - start).astype(np.uint64))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time, each mixed into what the ones before it gave."""
+    size = ends - starts
+    out = size.astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    rows, at = np.arange(len(starts)), starts.astype(np.int64)
+    step = np.arange(8)
+    while len(rows):
+        piece = padded[at[:, None] + step]
+        piece[step >= (ends[rows] - at)[:, None]] = 0
+        out[rows] = mix(out[rows] ^ piece.reshape(-1).view(np.uint64), 11)
+        at += 8
+        more = at < ends[rows]
+        rows, at = rows[more], at[more]
+    return out
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)

@@ -28,8 +28,9 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    cut = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # beside the strings of 400 bytes, passages of 50 words, which may be shorter, are counted and left in
+    cut = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, passage_words=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "passage_bytes", "n_passages")
 
 
 #: Host, path and verdict of the listed URL rules.

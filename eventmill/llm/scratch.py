@@ -55,15 +55,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         _folders.append((spark, self.path))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.path}/{name}")
+            self.names.discard(name)
+
+    def drop_others(self, *names: str) -> None:
+        """Free all tables but those named."""
+        self.drop(*(self.names - set(names)))
 
 
 @atexit.register
