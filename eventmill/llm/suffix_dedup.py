@@ -48,9 +48,11 @@ PARTS = 8
 #: Rows of two hashes up to this number are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Places of contexts in documents up to this number are broadcast (56 bytes each); beyond it the join shuffles.
-BROADCAST_PLACES = 500_000
+BROADCAST_PLACES = 1_000_000
 #: Spans of texts up to this number are broadcast (32 bytes each); beyond it the join shuffles.
-BROADCAST_SPANS = 500_000
+BROADCAST_SPANS = 1_000_000
+#: Bits that tell texts which such a join can't find a row for, so that they aren't shuffled (24 bytes for each 64).
+MARKS = 1 << 24
 #: Symbols of one text that are searched for anchors at once.
 PIECE = 1 << 19
 _ROW = "t1 long, t2 long, key long, ctx long, lo int, hi int, p int"
@@ -253,7 +255,8 @@ def _resolve(rows: DataFrame, source: DataFrame, scratch: Scratch, length: int,
         places = classes.groupBy(*_TEXT).agg(F.collect_list(F.struct("key", "weight", "lo", "hi", "p")).alias("places"))
         places = scratch.keep(places, "places")
         small = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-        texts = source.join(F.broadcast(places) if small else places, _TEXT).dropDuplicates(_TEXT).select("text", *_TEXT, "places")
+        asked = source if small else _marked(source, places, scratch).where("__marked").drop("__marked")
+        texts = asked.join(F.broadcast(places) if small else places, _TEXT).dropDuplicates(_TEXT).select("text", *_TEXT, "places")
         schema = "t1 long, t2 long, key long, weight long, lo int, hi int, p int, bytes binary"
         classes = scratch.keep(texts.mapInPandas(_slice_batches(length, unit), schema), "contexts")
     sizes = scratch.keep(classes.groupBy("key").agg(F.count("*").alias("contexts")), "sizes" + tag)
@@ -272,15 +275,29 @@ def _resolve(rows: DataFrame, source: DataFrame, scratch: Scratch, length: int,
     return out
 
 
+def _marked(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``texts`` with __marked, false only for texts that ``found`` has no row for.
+
+    A table of ``MARKS`` bits says which hashes occur; it doesn't grow with the input, and once it is
+    full it merely marks all texts.
+    """
+    bit = F.pmod("t1", F.lit(MARKS))
+    one = f"shiftleft(1L, cast(pmod(t1, {MARKS}) % 64 as int))"
+    marks = found.groupBy(F.floor(bit / 64).alias("__word")).agg(F.bit_or(F.expr(one)).alias("__bits"))
+    marks = scratch.keep(marks, "marks")
+    joined = texts.withColumn("__word", F.floor(bit / 64)).join(F.broadcast(marks), "__word", "left")
+    return joined.withColumn("__marked", F.expr(f"(coalesce(__bits, 0L) & {one}) <> 0")).select(*texts.columns, "__marked")
+
+
 def _identity(text: Column) -> list[Column]:
     text = F.coalesce(text.cast("string"), F.lit(""))
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def repeated_spans(texts: DataFrame, text_col: str = "text", length: int = LENGTH, unit: str = "byte") -> DataFrame:
-    """(t1, t2, spans): for each text with repeats, by its identity, the ranges of symbols that a repeated window covers.
+    """(t1, t2, spans): for each text with repeats, by its identity, the maximal ranges of symbols that repeated windows cover.
 
-    Ranges overlap and are in no order. The table is written; whatever else was written is dropped.
+    The table is written; whatever else was written is dropped.
     """
     scratch = Scratch(texts.sparkSession, f"repeats-{unit}")
     source = texts.select(*_identity(F.col(text_col)), F.col(text_col).cast("string").alias("text"))
@@ -290,7 +307,7 @@ def repeated_spans(texts: DataFrame, text_col: str = "text", length: int = LENGT
     for x in parts[1:]:
         spans = spans.unionByName(x)
     spans = spans.groupBy(*_TEXT).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = scratch.keep(spans, "spans")
+    spans = scratch.keep(spans.mapInArrow(_merge_batches, "t1 long, t2 long, spans array<struct<start: long, end: long>>"), "spans")
     scratch.drop_others("spans")
     return spans
 
@@ -306,6 +323,13 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in _merged(x.as_py())] for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], batch.schema.names)
+
+
 def _in_bytes(data: bytes, spans: list[tuple[int, int]], unit: str) -> list[tuple[int, int]]:
     if unit == "byte" or not spans:
         return spans
@@ -360,11 +384,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     if passage_words:
         spans["__passages"] = repeated_spans(docs, text_col, passage_words, "word")
     keyed = docs.withColumns(dict(zip(("__t1", "__t2"), _identity(F.col(text_col)))))
-    joined = keyed
-    for name, found in spans.items():
-        found = found.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias(name))
-        small = (found.agg(F.sum(F.size(name))).first()[0] or 0) <= BROADCAST_SPANS
-        joined = joined.join(F.broadcast(found) if small else found, ["__t1", "__t2"], "left")
-    joined = joined.select(*keyed.columns, *spans)
+    scratch = Scratch(docs.sparkSession, "spans")
+    found = None
+    for name, table in spans.items():
+        table = table.select("t1", "t2", F.col("spans").alias(name))
+        found = table if found is None else found.join(table, _TEXT, "full")
+    found = scratch.keep(found, "found")
+    size = sum(F.coalesce(F.size(F.coalesce(x, F.array())), F.lit(0)) for x in spans)
+    small = (found.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_SPANS
+    found = found.withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
+    if small:
+        joined = keyed.join(F.broadcast(found), ["__t1", "__t2"], "left").select(*keyed.columns, *spans)
+    else:
+        marked = _marked(keyed.withColumn("t1", F.col("__t1")), found.withColumn("t1", F.col("__t1")), scratch).drop("t1")
+        joined = marked.where("__marked").join(found, ["__t1", "__t2"], "left").select(*keyed.columns, *spans)
+        joined = joined.unionByName(marked.where("not __marked").select(*keyed.columns).withColumns({x: F.lit(None).cast(found.schema[x].dataType) for x in spans}))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in counts), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return joined.mapInArrow(_cut_batches(text_col, ["__t1", "__t2", *spans], unit, bool(passage_words), as_text), schema)
