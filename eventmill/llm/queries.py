@@ -37,15 +37,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
-def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_rules import filter_urls, mine_rules, path
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url and block: a page shows the document whose id ends its path; poor or toxic ones are to be blocked."""
+    from .url_rules import path
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    # a page shows the document whose id ends its path; poor or toxic ones are to be blocked
     shown = F.try_to_number(F.regexp_extract(path(F.col("url")), r"([0-9]{1,15})(?:\.html)?/?$", 1), F.lit("999999999999999")).cast("long")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    labelled = pages.withColumn("doc_id", shown).join(labels, "doc_id").where("block is not null")
-    return filter_urls(pages, mine_rules(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return pages.withColumn("doc_id", shown).join(labels, "doc_id").where("block is not null").drop("doc_id")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import filter_urls, mine_rules
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, mine_rules(labelled_pages(spark, sf_dir)), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """URL filtering: a list of host rules first, then association rules mined from labelled URLs.
 
 A URL becomes a basket of tokens (host labels and suffixes, path words, query keys, fragment). FP-growth
-mines the baskets of labelled URLs, each with its label as one more token; rules from tokens to the
-label ``block`` survive with enough support and confidence. A rule is filed under its rarest token;
-a URL looks its tokens up and is blocked if it holds all tokens of a rule found.
+mines the baskets of labelled URLs, each with its label as one more token. A rule from tokens to the
+label ``block`` survives with enough support, a confidence above the share of all labelled URLs that
+are blocked by the factor ``MIN_LIFT``, and a lower bound of its confidence (Wilson, ``DEVIATIONS``)
+above that share; and it has to reach that confidence over the labelled URLs that no more confident
+rule decides, too. A rule is filed under its rarest token; a URL looks its tokens up and is blocked if
+it holds all tokens of a rule found.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no tokens, and is
 allowed; digits in path words read as ``#``; of several labels for one row ``block`` counts;
@@ -20,9 +23,11 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MIN_SUPPORT = 0.002
-#: Fewer labelled URLs than this never make a rule, however small the sample.
-MIN_URLS = 25
-MIN_CONFIDENCE = 0.6
+#: Fewer blocked URLs than this never make a rule, however small the sample.
+MIN_URLS = 4
+MIN_LIFT = 1.5
+#: Standard deviations between a rule's confidence and its lower bound.
+DEVIATIONS = 1.28
 BROADCAST_RULES = 100_000
 _PARTS = r"://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,27 +68,49 @@ def listed_rule(host_col: Column, path_col: Column, rules: list[tuple[str, str,
     return rule, verdict
 
 
-def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def lower_bound(share: Column, n: Column, deviations: float = DEVIATIONS) -> Column:
+    """Wilson's lower bound of a share seen in ``n`` cases."""
+    z2 = deviations**2
+    return (share + z2 / (2 * n) - deviations * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
     """(antecedent, confidence, support, lookup) of the rules that lead to a block, with no superfluous tokens.
 
-    ``lookup`` is the antecedent's rarest token. A rule is dropped if a shorter rule holds for all
-    its URLs with no less confidence.
+    ``support`` is the share of labelled URLs that hold the tokens and are blocked, ``lookup`` the
+    antecedent's rarest token. A rule is dropped if a rule of one token less has no less confidence.
     """
     scratch = Scratch(labelled.sparkSession, "rules")
     baskets = labelled.select(F.array_append(tokens(F.col(url_col)), F.when(F.col(block_col), "label:block").otherwise("label:allow")).alias("items"))
     baskets = scratch.keep(baskets, "baskets")
-    n = max(1, baskets.count())
-    support = min(1.0, max(min_support, MIN_URLS / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", "label:block") & (F.col("support") * n >= MIN_URLS - 0.5)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    rules = scratch.keep(rules, "mined")
+    n, blocked = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", "label:block"))).first()
+    base = blocked / max(1, n)
+    support = min(1.0, max(min_support, MIN_URLS / max(1, n)))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min(1.0, min_lift * base)).fit(baskets)
+    rules = model.associationRules.where(F.array_contains("consequent", "label:block") & (F.col("support") * n >= MIN_URLS - 0.5))
+    rules = rules.where((F.col("confidence") >= min_lift * base) & (lower_bound(F.col("confidence"), F.col("support") * n / F.col("confidence")) > base))
+    rules = scratch.keep(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "mined")
     inner = rules.select(F.posexplode("antecedent"), "antecedent", F.col("confidence").alias("c")).select("antecedent", "c", F.array_remove(F.col("antecedent"), F.col("col")).alias("shorter"))
     better = inner.join(rules.select(F.col("antecedent").alias("shorter"), "confidence"), "shorter").where("confidence >= c").select("antecedent").distinct()
     rules = rules.join(better, "antecedent", "left_anti")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = rules.select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(single, "token")
     rarest = rarest.groupBy("antecedent").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"), F.min_by("token", F.struct("freq", "token")).alias("lookup"))
-    return scratch.keep(rarest, "rules")
+    rarest = scratch.keep(rarest, "filed")
+    # each labelled URL goes to the most confident rule that it holds
+    held = _matches(baskets.withColumn("row", F.monotonically_increasing_id()), rarest, "items")
+    best = F.max_by("antecedent", F.struct("confidence", "support", "antecedent")).alias("antecedent")
+    own = held.groupBy("row").agg(best, F.bool_or(F.array_contains("items", "label:block")).alias("block")).groupBy("antecedent").agg(F.count("*").alias("n"), F.count_if("block").alias("blocked"))
+    strong = own.where(F.col("blocked") >= min_lift * base * F.col("n")).select("antecedent")
+    return scratch.keep(rarest.join(strong, "antecedent", "left_semi"), "rules")
+
+
+def _matches(baskets: DataFrame, rules: DataFrame, col: str) -> DataFrame:
+    """``baskets`` joined with the rules whose tokens they all hold, by way of each rule's rarest token."""
+    small = rules.count() <= BROADCAST_RULES
+    index = rules.withColumnRenamed("lookup", "__token")
+    found = baskets.withColumn("__token", F.explode(col)).join(F.broadcast(index) if small else index, "__token")
+    return found.where(F.size(F.array_except("antecedent", col)) == 0).drop("__token")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
@@ -94,10 +121,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: list[tuple[str, str,
     out = pages.withColumns({"host": host(url), "path": path(url)}).withColumns({"rule": rule, "verdict": verdict})
     # every distinct URL that no listed rule decides is looked up once
     open_urls = out.where("verdict is null").select(url.alias("__url")).where("__url is not null").distinct().withColumn("tokens", tokens(F.col("__url")))
-    index = rules.select("antecedent", F.col("lookup").alias("token"))
-    small = rules.count() <= BROADCAST_RULES
-    found = open_urls.withColumn("token", F.explode("tokens")).join(F.broadcast(index) if small else index, "token")
-    found = found.where(F.size(F.array_except("antecedent", "tokens")) == 0).select("__url").distinct()
+    found = _matches(open_urls, rules.select("antecedent", "lookup"), "tokens").select("__url").distinct()
     found = Scratch(pages.sparkSession, "blocked").keep(found.withColumn("__hit", F.lit(True)), "urls")
     joined = out.join(found, out[url_col] == found["__url"], "left")
     return joined.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("__hit"), "block").otherwise("allow")).alias("verdict"))
