@@ -7,8 +7,14 @@ for sets of one shingle, and the share of equal coordinates of two sketches conc
 Jaccard similarity of the sets. Bands of coordinates give candidate groups; links are decided on
 the full shingle sets only.
 
+Words are hashed eight bytes at a time and shingles word by word, every step mixed, so that unlike
+words or shingles are the same by chance only (64 bits), whatever they are built like; sets are told
+apart by their size and 128 bits.
+
 Defined results: null or blank text has no shingles and no links; a text under five words is one
-shingle; repeated rows link with each other; a null id is never a representative. Input columns
+shingle; repeated rows link with each other; rows of one id with different texts are one document
+that is linked by any of them; a row without id belongs to the component of its set, is ``kept``,
+and never stands for others, and if all rows of a set lack an id, they have no links. Input columns
 other than the id and text columns are ignored.
 """
 
@@ -39,7 +45,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Sorted distinct shingle hashes of each text, concatenated, and their offsets."""
     data = B.lower_ascii(data)
     starts, ends, first = B.words(data, offsets)
-    word = B.range_hash(B.prefix_hash(data), starts, ends)
+    word = B.word_hash(data, starts, ends)
     sets, at = [], np.zeros(len(offsets), np.int64)
     for i in range(len(offsets) - 1):
         w = word[first[i] : first[i + 1]]
@@ -149,9 +155,11 @@ def _verifier(percent: int):
         Pairs already in one component are left alone; so are pairs that this block has joined.
         """
         rep, half = group.column("rep").to_numpy(), group.column("half").to_numpy()
-        first = np.unique(np.stack([half, rep]), axis=1, return_index=True)[1]
+        # a hub may stand twice; an id with several texts has a row for each
+        shingles = group.column("shingles").to_pylist()
+        first = np.unique(np.stack([half, rep, np.array([hash(s) for s in shingles])]), axis=1, return_index=True)[1]
         rep, half, comp = rep[first], half[first], group.column("comp").to_numpy()[first]
-        sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").take(pa.array(first)).to_pylist()]
+        sets = [np.frombuffer(shingles[i], np.uint64) for i in first]
         one = half.min() == half.max()
         sides = []
         for h in (0, 1):
@@ -232,10 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = labelled.where("bands is not null and n_shingles > 0").select("rep", F.explode("bands").alias("key"))
     # a hash is summed by halves, since 64-bit sums of whole hashes overflow in large groups
     h = F.xxhash64("rep")
-    sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2")
+    sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("sig3")
     groups = entries.groupBy("key").agg(F.count("*").alias("m"), *sums, F.min("rep").alias("hub")).where("m > 1")
     # bands often gather the same documents: one group of each membership is enough
-    groups = scratch.keep(groups.groupBy("m", "sig1", "sig2", "hub").agg(F.min("key").alias("key")).select("key", "m", "hub"), "groups")
+    groups = scratch.keep(groups.groupBy("m", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key")).select("key", "m", "hub"), "groups")
     members = scratch.keep(entries.join(groups, "key").select("key", "m", "hub", "rep"), "members")
     ids = scratch.keep(members.select("rep").distinct(), "ids")
     n = ids.count()
@@ -246,7 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = members.select("key", "rep", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("part"))
     hubs = groups.where(F.col("m") > BLOCK).select("key", F.col("hub").alias("rep"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))
     first = dealt.unionByName(hubs).select("key", "part", F.lit(0).alias("half"), "rep", F.col("rep").alias("comp"))
-    found = scratch.keep(_links(first, sets, percent), "links-1")
+    named = labelled.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where("size(reps) > 1")
+    found = _links(first, sets, percent).unionByName(named.select("a", F.explode("reps").alias("b")))
+    found = scratch.keep(found.where("a <> b"), "links-1")
     roots = scratch.keep(components(found, scratch), "roots-1")
 
     large = members.where(F.col("m") > BLOCK)
@@ -261,4 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = labelled.drop("bands").join(roots, labelled["rep"] == roots["id"], "left")
     component = F.coalesce("root", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # four numbers a row: the rest is freed before they are read
+    out = scratch.keep(out, "judged")
+    scratch.drop_others("judged")
+    return out
