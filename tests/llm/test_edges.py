@@ -97,3 +97,40 @@ def test_run_writes_all_stages(spark, tmp_path):
     spark.createDataFrame([(1, dict(samples.corpus())[3])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 3 not in got and 0 < len(got) < 40 and all(r["n_tokens"] >= 0 for r in got.values())
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_built_to_hash_alike_stay_apart(spark):
+    """Modulo a power of two, a polynomial gives such a word and its complement one hash."""
+    word = _thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()} == {1: (1, True), 2: (2, True)}
+    # alike at both ends, so that only the middle tells their contexts apart
+    df = spark.createDataFrame([(1, "x" * 200 + word + "y" * 200), (2, "x" * 200 + other + "y" * 200)], "doc_id long, text string")
+    want = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, length=1500).collect()}
+    assert want == {1: 0, 2: 0}
+
+
+def test_rows_without_id_and_rows_of_one_id(spark):
+    many = [(None, f"text number {i} has its own words {i * 7}") for i in range(3000)]
+    texts = [*many, (None, "the one long text that two rows have in common, word for word, over and over " * 8), (5, "the one long text that two rows have in common, word for word, over and over " * 8), (6, "quite another text of more than five words"), (6, "and a second one under the same id, also of some words")]
+    df = spark.createDataFrame([*texts, (7, "and a second one under the same id, also of some words")], "doc_id long, text string")
+    cut = suffix_dedup.remove_repeats(df).collect()
+    assert len(cut) == len(texts) + 1 and sum(r["n_removed"] > 0 for r in cut) == 2
+    near = near_dedup.near_duplicates(df).collect()
+    assert len(near) == len(cut) and {r["component_id"] for r in near if r["doc_id"] in (6, 7)} == {6}
+    assert all(r["kept"] for r in near if r["doc_id"] is None)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    monkeypatch.setattr(suffix_dedup.B, "SLICE_BYTES", 500)
+    part = "".join(chr(97 + i * i * 7 % 23) for i in range(900))
+    fill = lambda k: "".join(chr(65 + (i * i + k * i * 3) % 26) + str(i + k) for i in range(700))
+    df = spark.createDataFrame([(k, fill(k) + part + fill(k + 50)) for k in (1, 2)], "doc_id long, text string")
+    spans = suffix_dedup.repeated_spans(df).collect()
+    assert len(spans) == 2 and all(sum(b - a for a, b in suffix_dedup._merged([s.asDict() for s in r["spans"]])) >= 900 for r in spans)

@@ -347,3 +347,81 @@ def test_contaminated_by_items_without_templates(spark):
     items = [(1, "What is 12 + 37 + 45?"), (2, "7 times 8 is?"), (3, "Convert 5 km 300 m to feet"), (4, "the kings Anna, Bert, Carl, Dora, Emil, Fritz, Gustav, Hans, Ida, Karl"), (5, "Really?")]
     texts = [(i, f"Here it comes: {t} And more of it.") for i, t in items] + [(9, "What is 13 + 37 + 45? 7 times 9 is. Convert 6 km 300 m to feet, kings Anna, Bert, Carl")]
     assert _leaks(spark, texts, items) == {(i, i) for i in range(1, 6)}
+
+
+def _repeated_words(texts, n):
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", t)) for t in texts]
+    seen = Counter(tuple(m.group() for m in w[i : i + n]) for w in found for i in range(len(w) - n + 1))
+    out = []
+    for t, w in zip(texts, found):
+        runs = []
+        for i in range(len(w) - n + 1):
+            if seen[tuple(m.group() for m in w[i : i + n])] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + n
+                else:
+                    runs.append([i, i + n])
+        gone = [(w[a].start(), w[b - 1].end()) for a, b in runs]
+        kept, at = b"", 0
+        for a, b in gone:
+            kept, at = kept + t[at:a], b
+        out.append((sum(b - a for a, b in gone), len(gone), kept + t[at:]))
+    return out
+
+
+@pytest.mark.parametrize("contexts", [2000, 2])
+def test_repeated_passages_of_words(spark, docs, contexts, monkeypatch):
+    """Passages of 50 words, counted beside removed bytes or cut out, against brute force; spaces between words may differ."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_SPANS", 500_000 if contexts > 2 else 0)
+    rows = samples.corpus()
+    want = dict(zip((i for i, _ in rows), _repeated_words([t.encode() for _, t in rows], 50)))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs, length=50, unit="word").collect()}
+    assert got == want and sum(n > 0 for n, _, _ in want.values()) > 15
+    both = suffix_dedup.remove_repeats(docs, passage_words=50).collect()
+    bytewise = _repeats([(i, t.encode()) for i, t in rows], 400)
+    assert {r["doc_id"]: (r["passage_bytes"], r["n_passages"]) for r in both} == {i: x[:2] for i, x in want.items()}
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in both} == bytewise
+    spaced = spark.createDataFrame([(1, " ".join(map(str, range(60)))), (2, "\n".join(map(str, range(5, 57))))], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(spaced, length=50, unit="word", as_text=True).collect()} == {1: "0 1 2 3 4  57 58 59", 2: ""}
+
+
+def test_shards_keep_equal_texts_together(spark):
+    """Only a group over the slack is parted, whatever its rows' languages and sources are."""
+    r = random.Random(20)
+    rows = [(i, " ".join(samples.words(r, r.randint(5, 60))), r.choice(["en", "fr", None]), f"s{r.randrange(9)}") for i in range(600)]
+    rows += [(1000 + i, rows[i % 150][1], r.choice(["en", "fr"]), f"s{r.randrange(9)}") for i in range(400)]
+    rows += [(None if i % 2 else 2000 + i, "a heavy group of one text", "en", "s1") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    scratch = Scratch(spark, "test")
+    table = kd_shard.points(df, scratch, 12)
+    tree = kd_shard.build_tree(table, 12)
+    got = table.withColumn("shard", tree.place()).collect()
+    parted = defaultdict(set)
+    for x in got:
+        parted[x["t1"], x["t2"]].add(x["shard"])
+    assert sum(len(s) > 1 for s in parted.values()) == 1
+    load = Counter()
+    for x in got:
+        load[x["shard"]] += x["size"]
+    largest = max(x["size"] for x in got)
+    assert set(load) == set(range(12)) and max(load.values()) - min(load.values()) <= 4 * largest
+    _check_cuts(tree, [x.asDict() for x in got], {d: max(x[d] for x in got) - min(x[d] for x in got) for d in kd_shard.DIMENSIONS})
+
+
+def _check_cuts(node, rows, wide):
+    """Each cut, against brute force: on the widest dimension, with no point nearer to the weighted median."""
+    if node.left is None or not rows:
+        return
+    width = {d: (max(x[d] for x in rows) - min(x[d] for x in rows)) / max(1, wide[d]) for d in wide}
+    assert width[node.dim] == max(width.values())
+    left = [x for x in rows if (x[node.dim], x["tie"]) < (node.value, node.tie)]
+    right = [x for x in rows if (x[node.dim], x["tie"]) >= (node.value, node.tie)]
+    total = sum(x["size"] for x in rows)
+    miss = abs(sum(x["size"] for x in left) - total * (node.leaves // 2) / node.leaves)
+    weights = Counter()
+    for x in rows:
+        weights[x[node.dim], x["tie"]] += x["size"]
+    assert miss <= max(weights.values()) / 2 + total * 1e-2
+    _check_cuts(node.left, left, wide)
+    _check_cuts(node.right, right, wide)
