@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Stages 1 to 4
 return the columns of ``documents``; the last returns one row for each document with its token
-counts and digests. Rows with a null id or null text are carried like others.
+counts and digests. Decisions are taken back row by row: rows without an id, or of one id, are
+judged each by its own text. Null text is carried like empty text, which the first stage rejects.
 """
 
 from __future__ import annotations
@@ -16,33 +17,51 @@ from eventmill.llm.scratch import Scratch, small_batches
 
 #: Ids up to this number are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Languages that are kept; None for all that the model knows.
+LANGUAGES: frozenset[str] | None = None
+#: A language that scores less has lost a contest to another, so that none can be told.
+LEAST_SCORE = 0.5
+#: Words of a passage that is cut when it occurs twice.
+PASSAGE_WORDS = 50
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; a null id always stays."""
-    ids = Scratch(docs.sparkSession, name).keep(ids.where("doc_id is not null").distinct(), "dropped")
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
+def _rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with __row, a number for each row: doc_id if ids are filled and differ, else one that is written with the rows."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    return Scratch(docs.sparkSession, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``rows`` without those whose number is in ``dropped``, and without the numbers."""
+    dropped = Scratch(rows.sparkSession, name).keep(dropped.distinct(), "dropped")
+    small = dropped.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(dropped) if small else dropped, "__row", "left_anti").select(*(c for c in rows.columns if c != "__row"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents in which no language can be told."""
+    """Drop documents in which no language, or none of ``LANGUAGES``, can be told; an unknown ``lang`` becomes the one told."""
     small_batches(spark)
-    model = lang_id.train(docs, row_key=F.col("doc_id"))
-    return lang_id.identify(docs, model).where(F.col("lang_pred") != lang_id.UNKNOWN).select(*docs.columns)
+    judged = lang_id.identify(docs, lang_id.train(docs, row_key=F.col("doc_id")))
+    told = (F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    if LANGUAGES is not None:
+        told &= F.col("lang_pred").isin(*LANGUAGES)
+    return judged.where(told).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group of near duplicates, of a similarity of 0.8 or more."""
+    """Keep one document, that of the least id, of each group of near duplicates, of a similarity of 0.8 or more."""
     small_batches(spark)
-    judged = near_dedup.near_duplicates(docs, percent=80)
-    return _without(docs, judged.where("not kept").select("doc_id"), "near-stage")
+    rows = _rows(docs, "near-rows")
+    judged = near_dedup.near_duplicates(rows, id_col="__row", percent=80)
+    return _without(rows, judged.where("not kept").select(F.col("doc_id").alias("__row")), "near-stage")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every byte of a 400-byte string that starts anywhere else, whole characters at a time."""
+    """Cut every passage of 50 words that starts anywhere else, too."""
     small_batches(spark)
-    cut = suffix_dedup.remove_repeats(docs, as_text=True)
+    cut = suffix_dedup.remove_repeats(docs, length=PASSAGE_WORDS, unit="word", as_text=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
     return cut.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
 
@@ -50,7 +69,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold passages of benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated(docs, items).select("doc_id"), "leak-stage")
+    rows = _rows(docs, "leak-rows")
+    return _without(rows, decontaminate.contaminated(rows, items, id_col="__row").select(F.col("doc_id").alias("__row")), "leak-stage")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +80,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
     back = byte_bpe.decode(encoded.drop("text"), vocabulary)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), *digests)
 
 
 STAGES = [
@@ -71,7 +92,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Learned models, suffix arrays and merges by rank can't be said in SQL; tests hold the stages against brute force.
+#: Learned models, suffix arrays and merges by rank can't be said in SQL; a test holds ``run`` against brute force.
 ORACLE_SQL = None
 
 
