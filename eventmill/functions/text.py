@@ -8,6 +8,7 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,7 +140,15 @@ def similarity(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    """``similarity`` of each pair; what the matcher prepares for a second text serves all of its pairs in the batch."""
+    a, b = a.fillna("").to_numpy(), b.fillna("")
+    out = np.empty(len(a))
+    for text, rows in b.groupby(b, sort=False).indices.items():
+        matcher = SequenceMatcher(None, "", text)
+        for i in rows:
+            matcher.set_seq1(a[i])
+            out[i] = matcher.ratio()
+    return pd.Series(out)
 
 
 def name_similarity(new: Column, existing: Column) -> Column:
@@ -147,6 +156,29 @@ def name_similarity(new: Column, existing: Column) -> Column:
     return _ratio(normalize_name(new), normalize_name(existing))
 
 
+def normalized_similarity(a: Column, b: Column) -> Column:
+    """``name_similarity`` of names that are in normal form already."""
+    return _ratio(a, b)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
+def letter_counts(c: Column) -> Column:
+    """How often each letter and the space stand in a text, and how many other characters."""
+    c = F.coalesce(c, F.lit(""))
+    counts = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in _LETTERS]
+    return F.array(*counts, F.length(F.translate(c, _LETTERS, "")))
+
+
+def most_similarity(x: Column, y: Column) -> Column:
+    """What the similarity of two texts with these letter counts can't exceed; 1 for two empty ones."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    both = total(F.zip_with(x, y, lambda a, b: F.least(a, b)))
+    size = total(x) + total(y)
+    return F.when(size == 0, 1.0).otherwise(2.0 * both / size)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """A built-in alternative: one less the edit distance over the longer length."""
     longer = F.greatest(F.length(a), F.length(b))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 
+# confidences of the matchers, and what follows from them
 URL, SIMILAR, MODERATE, NAME = 0.95, 0.85, 0.6, 0.75
 DUPLICATE, MERGE, NEAR = 0.7, 0.8, 0.5
 
@@ -31,13 +32,23 @@ def match_by_url(new: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def match_by_date_time_location(new: DataFrame, published: DataFrame) -> DataFrame:
-    """The same day, time and place, and a name that is similar or at least moderately so."""
-    key = lambda df: df.select("*", _day(F.col("start_ts")).alias("day"), F.date_format("start_ts", "HH:mm").alias("time"), T.normalize_name("location").alias("place"))
-    a = key(new).where("place <> ''").select("source_id", F.col("name").alias("new_name"), "day", "time", "place")
-    b = key(published).select("path", F.col("name").alias("old_name"), "day", "time", "place")
-    rated = a.join(b, ["day", "time", "place"]).withColumn("ratio", T.name_similarity(F.col("new_name"), F.col("old_name")))
-    confidence = F.when(F.col("ratio") > 0.7, SIMILAR).when(F.col("ratio") > 0.5, MODERATE)
-    return rated.withColumn("confidence", confidence).where("confidence is not null").select("source_id", "path", "confidence", F.lit("date_time_location").alias("reason"))
+    """The same day, time and place, and a name that is similar or at least moderately so.
+
+    Names are normalised once and each pair of different names of a (day, time, place) is rated once,
+    whatever the events that bear them; pairs whose letters alone keep them from being alike aren't
+    rated. Only the pairs that are alike enough are joined back to events.
+    """
+    slot = ["day", "time", "place"]
+    key = lambda df: df.select("*", _day(F.col("start_ts")).alias("day"), F.date_format("start_ts", "HH:mm").alias("time"), T.normalize_name("location").alias("place"), T.normalize_name("name").alias("norm")).where("place <> ''")
+    a = key(new).select("source_id", F.col("norm").alias("new_name"), *slot)
+    b = key(published).select("path", F.col("norm").alias("old_name"), *slot)
+    letters = lambda df, c, n: df.select(*slot, c).distinct().withColumns({n: T.letter_counts(F.col(c))})
+    pairs = letters(a, "new_name", "x").join(letters(b, "old_name", "y"), slot)
+    alike = F.coalesce(T.most_similarity(F.col("x"), F.col("y")) > NEAR, F.lit(False))
+    rated = pairs.where(alike).select(*slot, "new_name", "old_name", T.normalized_similarity(F.col("new_name"), F.col("old_name")).alias("ratio")).where(F.col("ratio") > NEAR)
+    hit = a.join(rated, [*slot, "new_name"]).join(b, [*slot, "old_name"])
+    confidence = F.when(F.col("ratio") > 0.7, SIMILAR).otherwise(MODERATE)
+    return hit.select("source_id", "path", confidence.alias("confidence"), F.lit("date_time_location").alias("reason"))
 
 
 def match_by_name_date(new: DataFrame, published: DataFrame) -> DataFrame:
@@ -68,6 +79,30 @@ def duplicate_index_stats(published: DataFrame) -> DataFrame:
     return published.agg(F.count_distinct(F.nullif(U.normalize_url("event_url"), F.lit(""))).alias("total_urls"), F.count_distinct(key).alias("total_date_locations"), F.count_distinct(F.nullif(T.normalize_name("name"), F.lit(""))).alias("total_names"))
 
 
+def merge_steps(published: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, ord, source_id, changed): whether each row of ``found``, merged in its order, changes its file.
+
+    It does if it brings the first description or image, or a URL or source id that the file and the
+    rows before it don't have. Columns as for ``merge_duplicates``.
+    """
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    none = F.array().cast("array<string>")
+    file = published.select(
+        "path", text("description").isNotNull().alias("has_text"), text("image").isNotNull().alias("has_image"),
+        F.array_append(F.coalesce("alternate_sources", none), F.coalesce("event_url", F.lit(""))).alias("urls"),
+        F.array_append(F.coalesce("source_ids", none), F.coalesce("source_id", F.lit(""))).alias("ids"),
+    )
+    # the row of the least ord that brings a value is the one that adds it
+    adds = [F.struct(F.lit(kind).alias("kind"), (F.lit("") if kind in ("description", "image") else text(kind)).alias("value"), text(kind).isNotNull().alias("there")) for kind in ("description", "image", "event_url", "source_id")]
+    brought = found.select("path", "ord", F.explode(F.array(*adds)).alias("x")).select("path", "ord", "x.*").where("there and value is not null")
+    first = brought.groupBy("path", "kind", "value").agg(F.min("ord").alias("ord")).join(file, "path")
+    fresh = F.when(F.col("kind") == "description", ~F.col("has_text")).when(F.col("kind") == "image", ~F.col("has_image"))
+    fresh = fresh.when(F.col("kind") == "event_url", ~F.array_contains("urls", F.col("value"))).otherwise(~F.array_contains("ids", F.col("value")))
+    changing = first.where(fresh).select("path", "ord").distinct().withColumn("changed", F.lit(True))
+    rows = found.select("path", "ord", "source_id").join(changing, ["path", "ord"], "left")
+    return rows.withColumn("changed", F.coalesce("changed", F.lit(False)))
+
+
 def merge_duplicates(published: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
     """``published`` with what its duplicates add: empty text and image filled, other URLs and source ids noted.
 

@@ -57,8 +57,9 @@ def render_event_markdown(events: DataFrame, as_of: Column) -> DataFrame:
 
         import yaml
 
+        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
         for frame in batches:
-            head = [yaml.safe_dump(json.loads(x), allow_unicode=True, sort_keys=False) for x in frame["front_matter"]]
+            head = [yaml.dump(json.loads(x), Dumper=dumper, allow_unicode=True, sort_keys=False) for x in frame["front_matter"]]
             yield pd.DataFrame({"event_id": frame["event_id"], "path": frame["path"], "page": [f"---\n{h}---\n{b}" for h, b in zip(head, frame["body"])]})
 
     path = event_file_path(F.col("start_ts"), T.slugify(F.col("name")))
@@ -66,21 +67,47 @@ def render_event_markdown(events: DataFrame, as_of: Column) -> DataFrame:
     return rows.mapInPandas(render, "event_id long, path string, page string")
 
 
-def publish_actions(new: DataFrame, duplicates: DataFrame, existing: DataFrame) -> DataFrame:
-    """(source_id, file_path, action): failed, skipped_duplicate, updated, skipped_exists or created.
+def _decisions(duplicates: DataFrame) -> DataFrame:
+    """One row for each source id of ``detect_duplicates``, the one to merge before one that is only a duplicate."""
+    given = duplicates.columns
+    rest = {c: F.col(c) if c in given else F.lit(None).cast("string") for c in ("path", "reasons")}
+    rows = duplicates.select("source_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("should_merge", "is_duplicate")), *(v.alias(c) for c, v in rest.items()))
+    first = F.min_by(F.struct("should_merge", "is_duplicate", "path", "reasons"), F.struct(~F.col("should_merge"), ~F.col("is_duplicate"), "path")).alias("d")
+    return rows.groupBy("source_id").agg(first).select("source_id", "d.*")
 
-    ``duplicates`` comes from ``detect_duplicates``; within the batch the first row (by ord) takes a path.
+
+def publish_actions(new: DataFrame, duplicates: DataFrame, existing: DataFrame, changing: DataFrame | None = None) -> DataFrame:
+    """(source_id, file_path, action, reason): failed, updated, skipped_duplicate, skipped_exists or created.
+
+    ``duplicates`` comes from ``detect_duplicates``. A duplicate never makes a file: it updates the file
+    it is merged into if that changes anything (``changing`` has the source ids for which it does, as
+    ``merge_steps`` tells; without it all do), else it is skipped; its file_path is that file's. Of the
+    rows left, the first of a path (by ord) makes its file unless it is there.
     """
     path = event_file_path(F.col("start_ts"), T.slugify(F.col("name")))
-    rows = new.withColumn("file_path", path).join(duplicates.select("source_id", "is_duplicate", "should_merge"), "source_id", "left")
-    there = existing.select(F.col("path").alias("file_path"), F.lit(True).alias("there")).distinct()
-    rows = rows.join(there, "file_path", "left").withColumn("nth", F.row_number().over(Window.partitionBy("file_path").orderBy("ord")))
-    bad = (F.coalesce("name", F.lit("")) == "") | F.col("start_ts").isNull()
-    action = (
-        F.when(bad, "failed").when(F.coalesce("should_merge", F.lit(False)), "updated").when(F.coalesce("is_duplicate", F.lit(False)), "skipped_duplicate")
-        .when(F.coalesce("there", F.lit(False)) | (F.col("nth") > 1), "skipped_exists").otherwise("created")
-    )
-    return rows.select("source_id", "file_path", action.alias("action"))
+    rows = new.withColumn("own_path", path).join(_decisions(duplicates), "source_id", "left")
+    there = existing.select(F.col("path").alias("own_path"), F.lit(True).alias("there")).distinct()
+    rows = rows.join(there, "own_path", "left")
+    if changing is None:
+        rows = rows.withColumn("changes", F.lit(True))
+    else:
+        rows = rows.join(changing.select("source_id").distinct().withColumn("changes", F.lit(True)), "source_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    early = (
+        F.when((F.coalesce("name", F.lit("")) == "") | F.col("start_ts").isNull(), "failed")
+        .when(flag("is_duplicate") & flag("should_merge") & flag("changes"), "updated")
+        .when(flag("is_duplicate"), "skipped_duplicate")
+    )
+    # only rows that get as far as the file test count towards a path
+    rows = rows.withColumn("early", early)
+    nth = F.row_number().over(Window.partitionBy("own_path", F.col("early").isNull()).orderBy("ord"))
+    late = F.when(flag("there") | (nth > 1), "skipped_exists").otherwise("created")
+    rows = rows.withColumn("action", F.coalesce("early", late))
+    because = lambda word: F.concat(F.lit(f"{word}: "), F.coalesce("reasons", F.lit("")))
+    reason = F.when(F.col("action") == "updated", because("Merged")).when(F.col("action") == "skipped_duplicate", because("Duplicate"))
+    reason = reason.when(F.col("action") == "skipped_exists", "File already exists").when(F.col("action") == "failed", "No name or date").otherwise("")
+    target = F.when(F.col("action").isin("updated", "skipped_duplicate"), F.col("path")).otherwise(F.col("own_path"))
+    return rows.select("source_id", target.alias("file_path"), "action", reason.alias("reason"))
 
 
 def publish_stats(actions: DataFrame) -> DataFrame:

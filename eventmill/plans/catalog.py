@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entities, extraction, scalars, selection, views_time  # noqa: F401
+from . import entities, extraction, files, scalars, selection, views_time  # noqa: F401
 from .views import REGISTRY, Query
 
 

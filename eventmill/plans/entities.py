@@ -167,18 +167,40 @@ def merge_duplicates(spark, d):
     return merged.select("path", "image", F.array_join("source_ids", ",").alias("source_ids"), F.size("changes").alias("n_changes"))
 
 
+@query(f"""with {EVENTS}, {_SPLIT}, l as (select {_url('event_url')} as u, max(path) as path from pub group by 1),
+f as (select l.path, new.* from new join l on {_url('event_url')} = l.u), p as (select f.*, pub.image as old_image, pub.source_id as old_id, pub.event_url as old_url,
+  min(case when f.image <> '' then f.event_id end) over (partition by f.path) as first_image, row_number() over (partition by f.path, f.event_url order by f.event_id) as nth_url from f join pub on pub.path = f.path)
+select path, event_id, source_id, source_id <> old_id or (old_image = '' and event_id = first_image) or (event_url <> old_url and nth_url = 1) as changed from p""")
+def merge_steps(spark, d):
+    new, pub = _new(spark, d), _published(spark, d)
+    found = U.match_by_url(new, pub).select("source_id", "path").join(new, "source_id").select("path", F.col("event_id").alias("ord"), "description", "image", "event_url", "source_id")
+    none = F.array().cast("array<string>")
+    steps = U.merge_steps(pub.withColumns({"alternate_sources": none, "source_ids": none}), found)
+    return steps.select("path", F.col("ord").alias("event_id"), "source_id", "changed")
+
+
 _FILE = f"strftime(start_ts, '%Y/%m/%d/') || {_slug('name')} || '.fr.md'"
-_ACTIONS = f"""new as (select *, {_FILE} as fp from ev where event_id % 3 = 0), old as (select distinct {_FILE} as fp from ev where event_id % 6 = 1),
-du as (select source_id, case when event_id % 30 = 0 then 'updated' when event_id % 45 = 0 then 'skipped_duplicate' end as v from new),
-act as (select n.source_id, n.fp as file_path, coalesce(v, case when n.fp in (select fp from old) or row_number() over (partition by n.fp order by event_id) > 1 then 'skipped_exists' else 'created' end) as action from new n join du using (source_id))"""
+# a row is settled as failed, merged or a duplicate before files come in; what is left makes the first file of its path
+_ACTIONS = f"""raw as (select *, event_id % 7 = 0 as nameless from ev where event_id % 3 = 0), new as (select *, case when not nameless then {_FILE} end as fp from raw),
+old as (select distinct {_FILE} as fp from ev where event_id % 6 = 1),
+settled as (select *, case when nameless then 'failed' when event_id % 30 = 0 and event_id % 4 = 0 then 'updated' when event_id % 30 = 0 or event_id % 5 = 1 then 'skipped_duplicate' end as v from new),
+makers as (select fp, min(event_id) as maker from settled where v is null and fp not in (select fp from old) group by fp),
+act as (select source_id, case when v in ('updated', 'skipped_duplicate') then 'pub' || (event_id % 10) || '.md' else s.fp end as file_path,
+  coalesce(v, case when event_id = maker then 'created' else 'skipped_exists' end) as action,
+  case v when 'failed' then 'No name or date' when 'updated' then 'Merged: url' when 'skipped_duplicate' then 'Duplicate: url' else case when event_id = maker then '' else 'File already exists' end end as reason
+  from settled s left join makers m on m.fp = s.fp)"""
 
 
 def _actions(spark, d):
+    """Rows without a name, duplicates in front of others of their path, merges that change nothing, and decisions given twice."""
     e = events(spark, d)
-    new = e.where("event_id % 3 = 0").withColumn("ord", F.col("event_id"))
-    dup = new.select("source_id", (F.col("event_id") % 45 == 0).alias("is_duplicate"), (F.col("event_id") % 30 == 0).alias("should_merge"))
+    k = F.col("event_id")
+    new = e.where("event_id % 3 = 0").withColumns({"ord": k, "name": F.when(k % 7 != 0, F.col("name"))})
+    path = F.concat(F.lit("pub"), (k % 10).cast("string"), F.lit(".md"))
+    dup = new.select("source_id", path.alias("path"), F.lit("url").alias("reasons"), ((k % 30 == 0) | (k % 5 == 1)).alias("is_duplicate"), (k % 30 == 0).alias("should_merge"))
+    dup = dup.unionByName(dup.where("is_duplicate"))
     old = e.where("event_id % 6 = 1").select(P.event_file_path(F.col("start_ts"), T.slugify(F.col("name"))).alias("path"))
-    return P.publish_actions(new, dup, old)
+    return P.publish_actions(new, dup, old, new.where(k % 4 == 0).select("source_id"))
 
 
 @query(f"with {EVENTS}, {_ACTIONS} select * from act")

@@ -38,15 +38,18 @@ def _first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def ingest_article_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Articles of all page files, each id once, from the first file by name that has it."""
-    rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("__file", F.input_file_name())
+def ingest_article_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Articles of all page files, each id once, from the first file by name that has it.
+
+    ``multi_line`` is for files that are one JSON value each; lines of JSON are read in parallel without.
+    """
+    rows = spark.read.schema(schema).json(path, multiLine=multi_line).withColumn("__file", F.input_file_name())
     return _first_by(rows, "id", "__file").drop("__file")
 
 
-def ingest_event_api_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Events of all page envelopes."""
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("events").alias("event")).select("event.*")
+def ingest_event_api_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Events of all page envelopes, one to a file or, without ``multi_line``, one to a line."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line).select(F.explode("events").alias("event")).select("event.*")
 
 
 def union_listing_pages(links: DataFrame, max_pages: int = 10) -> DataFrame:
@@ -64,6 +67,7 @@ _DOCUMENT = "path string, name string, event_url string, date string, time strin
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for frame in batches:
         rows = []
         for path, value in zip(frame["path"], frame["value"]):
@@ -71,7 +75,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = value.split("---\n", 2) if value.startswith("---\n") else []
             if len(parts) == 3:
                 try:
-                    head, body = yaml.safe_load(parts[1]) or {}, parts[2]
+                    head, body = yaml.load(parts[1], loader) or {}, parts[2]
                 except yaml.YAMLError:
                     parts = []
             text = lambda *names: next((str(head[n]) for n in names if head.get(n)), None)  # noqa: B023, E731
@@ -80,7 +84,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _DOCUMENT.split(", ")])
 
 
-def scan_event_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Published Markdown files (those whose name starts with _ aside), front matter parsed."""
+def scan_event_documents(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
+    """Published Markdown files (those whose name starts with _ aside), front matter parsed.
+
+    With ``archive``, a format, the folder holds rows of path and value, one for each file: a site of
+    millions of small files is better kept so.
+    """
+    if archive:
+        rows = spark.read.format(archive).load(folder).where(~F.substring_index("path", "/", -1).startswith("_"))
+        return rows.select("path", "value").mapInPandas(_parse, _DOCUMENT)
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="[!_]*.md").select(F.input_file_name().alias("path"), "value")
     return files.mapInPandas(_parse, _DOCUMENT)

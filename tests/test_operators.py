@@ -193,3 +193,60 @@ def test_duplicate_venues_against_all_pairs(spark):
     expected = {(f"v{i}", f"v{j}") for j in range(len(norm)) for i in range(j) if ratio(norm[i], norm[j]) >= 0.85}
     got = venues.find_duplicate_venues(places)
     assert {(r["a"], r["b"]) for r in got.collect()} == expected and {("v0", "v1"), ("v2", "v3"), ("v4", "v5")} <= expected
+
+
+def test_publish_actions_of_duplicates_and_failures(spark):
+    """Only rows that come to make a file count towards its path; a merge without a change is a skip."""
+    rows = [(1, "s:1", "A", day(0)), (2, "s:2", "A", day(0)), (3, "s:3", "A", day(0)), (4, "s:4", None, day(1)), (5, "s:5", "B", None), (6, "s:6", "C", day(1)), (7, "s:7", "D", day(1)), (8, "s:8", "D", day(1)), (9, "s:9", "E", day(2))]
+    new = spark.createDataFrame(rows, "ord int, source_id string, name string, start_ts timestamp_ntz")
+    dup = spark.createDataFrame([("s:1", "old.md", "url", True, True), ("s:1", "older.md", "name_date", True, False), ("s:6", "c.md", "name_date", True, False), ("s:7", "d.md", "url", True, True), ("s:4", "x.md", "url", True, True)], "source_id string, path string, reasons string, is_duplicate boolean, should_merge boolean")
+    existing = spark.createDataFrame([("2026/01/22/e.fr.md",)], "path string")
+    got = {r["source_id"]: (r["action"], r["file_path"], r["reason"]) for r in publish.publish_actions(new, dup, existing, spark.createDataFrame([("s:1",)], "source_id string")).collect()}
+    assert got == {
+        "s:1": ("updated", "old.md", "Merged: url"), "s:2": ("created", "2026/01/20/a.fr.md", ""), "s:3": ("skipped_exists", "2026/01/20/a.fr.md", "File already exists"),
+        "s:4": ("failed", None, "No name or date"), "s:5": ("failed", None, "No name or date"), "s:6": ("skipped_duplicate", "c.md", "Duplicate: name_date"),
+        "s:7": ("skipped_duplicate", "d.md", "Duplicate: url"), "s:8": ("created", "2026/01/21/d.fr.md", ""), "s:9": ("skipped_exists", "2026/01/22/e.fr.md", "File already exists"),
+    }
+
+
+def test_merge_steps(spark):
+    old = spark.createDataFrame([("a.md", "Nom", "https://x.org/1", day(5), "klap", "", "", "x:1", [], [], None)], PUBLISHED)
+    found = spark.createDataFrame([("a.md", 1, "", "", "https://x.org/1", "x:1"), ("a.md", 2, "texte", "", "https://x.org/1", "x:1"), ("a.md", 3, "autre", "", "https://x.org/1", "x:1"), ("a.md", 4, "", "", "https://y.org", "x:1"), ("a.md", 5, "", "", "https://y.org", None), ("a.md", 6, "", "", "", "y:1")], "path string, ord int, description string, image string, event_url string, source_id string")
+    assert {r["ord"]: r["changed"] for r in duplicates.merge_steps(old, found).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True}
+
+
+def test_deep_pages_and_implied_ends(spark):
+    deep = "<div>" * 100_000 + '<p class="event">x<a href="/e">E</a>' + "</div>" * 100_000
+    lists = "<ul><li class=event><a href=/1>Un</a><p>un<p>deux<li class=event><a href=/2>Deux</a></ul><table><tr><td>a<td>b<tr><td>c</table>"
+    got = html_rows.extract_by_selectors(spark.createDataFrame([("u", deep), ("v", lists)], "url string, html string"), {"item": ".event", "name": "a", "link": "a"})
+    assert sorted((r["url"], r["name"]) for r in got.collect()) == [("u", "E"), ("v", "Deux"), ("v", "Un")]
+    root = html_rows.parse(lists)
+    assert [x.text() for x in html_rows.find(root, "p")] == ["un", "deux"] and [x.text() for x in html_rows.find(root, "table tr")] == ["a b", "c"] and len(html_rows.find(root, "tr td")) == 3
+    assert len(html_rows.find(html_rows.parse(deep), "div div p")) == 1
+
+
+@pytest.mark.parametrize("item", ["event-card", "event-item", "event", "agenda-item", "my-event-x", "agendas"])
+def test_fallback_selectors_in_their_order(item):
+    root = html_rows.parse(f'<section class="{item}"><a href="/x">X</a></section>')
+    hit = next(s for s in html_rows.ITEM_SELECTORS if html_rows.find(root, s))
+    assert hit == {"my-event-x": "[class*='event']", "agendas": "[class*='agenda']"}.get(item, f".{item}")
+
+
+def test_reason_of_a_class(spark):
+    df = spark.createDataFrame([("Concert jazz", "tango", "Opéra", ""), ("Tango", "", "", "Ballet russe"), ("Soirée", "", "", "")], "name string, description string, location string, source_category string")
+    got = {r["name"]: (r["reason"], r["is_confident"], r["is_uncertain"]) for r in classify.classify_events(df, CLASSES).collect()}
+    assert got == {
+        "Concert jazz": ("Matched venue 'opéra', 4 keyword(s) for 'musique'", True, False), "Tango": ("Source category mapped: 'Ballet russe' → danse", True, False),
+        "Soirée": ("No category keywords matched, using default", False, True),
+    }
+
+
+def test_letters_never_rule_out_similar_names(spark):
+    import difflib
+    import random
+
+    r = random.Random(3)
+    names = ["".join(r.choice("abé z9") for _ in range(r.randrange(9))) for _ in range(40)]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for x in df.select("a", "b", T.most_similarity(T.letter_counts(F.col("a")), T.letter_counts(F.col("b"))).alias("most"), T.normalized_similarity(F.col("a"), F.col("b")).alias("ratio")).collect():
+        assert x["most"] >= x["ratio"] - 1e-9 and abs(x["ratio"] - difflib.SequenceMatcher(None, x["a"], x["b"]).ratio()) < 1e-9
