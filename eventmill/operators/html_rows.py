@@ -14,8 +14,13 @@ from ..functions import dates as D
 from ..functions.dates import MONTHS, PLAIN_MONTHS
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-# Where items are looked for if the configured selector finds none.
-ITEM_SELECTORS = (".event", ".event-item", ".event-card", "article", ".card", ".agenda-item", "[itemtype*=Event]")
+# Where items are looked for, in this order, if the configured selector finds none.
+ITEM_SELECTORS = (".event-card", ".event-item", ".event", "article.event", "[class*='event']", ".agenda-item", "[class*='agenda']")
+#: Elements that one of their own kind ends, and the elements that such an end doesn't reach beyond.
+_CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_FENCE = frozenset("ul ol dl table select div section article nav aside header footer main body html".split())
+#: Blocks that end an open paragraph.
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
 class Node:
@@ -24,14 +29,23 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
+    def _all(self) -> Iterator[Node | str]:
+        """What lies below the node, in the order of the page; pages nest too deeply for recursion."""
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
                 yield c
-                yield from c.walk()
+                if isinstance(c, Node):
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
+
+    def walk(self) -> Iterator[Node]:
+        return (c for c in self._all() if isinstance(c, Node))
 
     def text(self) -> str:
-        return " ".join(" ".join(c if isinstance(c, str) else c.text() for c in self.children).split())
+        return " ".join(" ".join(c for c in self._all() if isinstance(c, str)).split())
 
 
 class _Builder(HTMLParser):
@@ -39,17 +53,37 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.count: dict[str, int] = {}
+
+    def _close(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.count[node.tag] -= 1
+        del self.open[at:]
+
+    def _end_before(self, tags: set[str]) -> None:
+        """Close the innermost open element of ``tags``, unless a container lies between."""
+        if any(self.count.get(t) for t in tags):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in tags:
+                    return self._close(i)
+                if self.open[i].tag in _FENCE:
+                    return None
+        return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _CLOSED_BY:
+            self._end_before(_CLOSED_BY[tag])
+        if tag in _BLOCKS:
+            self._end_before({"p"})
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
-        if at:
-            del self.open[at:]
+        if self.count.get(tag):
+            self._close(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
@@ -77,15 +111,25 @@ def _fits(node: Node, selector: str) -> bool:
     return True
 
 
+def _chain(node: Node, steps: list[str]) -> Iterator[Node]:
+    """Nodes that fit the last step below nodes that fit the ones before it, in one walk."""
+    stack = [(iter(node.children), 0)]
+    while stack:
+        rest, done = stack[-1]
+        for c in rest:
+            if isinstance(c, Node):
+                if done == len(steps) - 1 and _fits(c, steps[-1]):
+                    yield c
+                stack.append((iter(c.children), done + (done < len(steps) - 1 and _fits(c, steps[done]))))
+                break
+        else:
+            stack.pop()
+
+
 def find(node: Node, selector: str) -> list[Node]:
     """All nodes below ``node`` that fit one of the alternatives, each a chain of descendants."""
-    out: list[Node] = []
-    for alternative in filter(None, (s.strip() for s in selector.split(","))):
-        level = [node]
-        for step in alternative.split():
-            level = list(dict.fromkeys(x for n in level for x in n.walk() if _fits(x, step)))
-        out += level
-    return list(dict.fromkeys(out))
+    chains = [s.split() for s in selector.split(",") if s.strip()]
+    return list(dict.fromkeys(x for steps in chains for x in _chain(node, steps)))
 
 
 def _rows(pages: DataFrame, schema: str, make: Callable[[str, Node], Iterator[tuple]]) -> DataFrame:

@@ -60,11 +60,11 @@ def clean_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.clean_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query(r"select doc_id, md5(x) as digest from (select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as x from documents where not contains(text, '&') and not regexp_matches(text, '(?i)href|\bon\w+\s*='))")
+@query(r"select doc_id, md5(x) as digest from (select doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g') || ' été &amp; <fin>', '\s+', ' ', 'g')) as x from documents)")
 def sanitize_description(spark, d):
-    """Texts without entities, which SQL can't decode; the others are covered by tests."""
-    docs = _docs(spark, d).where(~F.contains("text", F.lit("&")) & ~F.col("text").rlike(r"(?i)href|\bon\w+\s*="))
-    return docs.select("doc_id", F.md5(T.sanitize_description(F.col("text")).cast("binary")).alias("digest"))
+    """Texts with entities, a script link and a handler behind them."""
+    added = """ <b>&eacute;t&#233;</b> &amp;amp; href="javascript:run()" onclick='go()' &lt;fin&#x3E;"""
+    return _docs(spark, d).select("doc_id", F.md5(T.sanitize_description(F.concat(F.coalesce("text", F.lit("")), F.lit(added))).cast("binary")).alias("digest"))
 
 
 @query("select doc_id, md5(strip_accents(text)) as digest from documents")
@@ -172,10 +172,10 @@ def french_date_terms(spark, d):
     return table(spark, d, "orders").select("o_orderkey", D.french_date_term(F.col("o_orderdate")).alias("term"), D.format_french_date_long(F.col("o_orderdate")).alias("spoken"))
 
 
-@query("select o_orderkey, strftime(case when o_orderkey % 5 = 4 then make_timestamp(1998, month(o_orderdate), day(o_orderdate), 0, 0, 0) else date_trunc('day', o_orderdate) end, '%Y-%m-%d') as day from orders where not (o_orderkey % 5 = 4 and month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+@query("select o_orderkey, strftime(case when o_orderkey % 5 = 4 then make_timestamp(1998, month(o_orderdate), day(o_orderdate), 0, 0, 0) else date_trunc('day', o_orderdate) end, '%Y-%m-%d') as day from (select o_orderkey, case when o_orderkey % 5 = 4 and month(o_orderdate) = 2 and day(o_orderdate) = 29 then null else o_orderdate end as o_orderdate from orders)")
 def parse_date_generic(spark, d):
-    """Dates written in five ways and read back; the last has no year."""
-    o = table(spark, d, "orders").where("not (o_orderkey % 5 = 4 and month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+    """Dates written in five ways and read back; the last has no year, so that 29 February is no date in 1998."""
+    o = table(spark, d, "orders")
     t, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
     text = F.when(k == 0, D.format_french_date_long(t)).when(k == 1, F.date_format(t, "dd/MM/yyyy")).when(k == 2, F.date_format(t, "dd-MM-yyyy")).when(k == 3, F.date_format(t, "yyyy-MM-dd")).otherwise(F.date_format(t, "dd/MM"))
     return o.select("o_orderkey", F.date_format(D.parse_date_generic(text, as_of()), "yyyy-MM-dd").alias("day"))
@@ -200,9 +200,10 @@ def parse_french_date(spark, d):
     return o.select("o_orderkey", F.date_format(D.parse_french_date(text, as_of()), "yyyy-MM-dd HH:mm").alias("start"))
 
 
-@query(f"select o_orderkey, case when floor(date_diff('second', make_timestamp(1998, month(o_orderdate), day(o_orderdate), 0, 0, 0), timestamp '{AS_OF}') / 86400.0) > 30 then 1999 else 1998 end as year from orders where not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+@query(f"select o_orderkey, case when floor(date_diff('second', make_timestamp(1998, month(o_orderdate), day(o_orderdate), 0, 0, 0), timestamp '{AS_OF}') / 86400.0) > 30 then 1999 else 1998 end as year from (select o_orderkey, case when month(o_orderdate) = 2 and day(o_orderdate) = 29 then null else o_orderdate end as o_orderdate from orders)")
 def infer_year(spark, d):
-    o = table(spark, d, "orders").where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+    """29 February is no day of 1998, so that no year can be told."""
+    o = table(spark, d, "orders")
     return o.select("o_orderkey", D.infer_year(F.month("o_orderdate"), F.dayofmonth("o_orderdate"), as_of()).cast("long").alias("year"))
 
 

@@ -125,15 +125,19 @@ def _score(c: str) -> str:
 
 
 @query(f"""with {EVENTS}, p as (select event_id, lower(name) as n, lower(description) as x, case when contains(category, 'promo') then 'art' end as src,
-  case when contains(lower(location), 'salle 7') then null when contains(lower(location), 'salle 1') then 'musique' when contains(lower(location), 'salle 2') then 'danse' end as place from ev),
+  case when contains(lower(location), 'salle 7') then null when contains(lower(location), 'salle 1') then 'musique' when contains(lower(location), 'salle 2') then 'danse' end as place,
+  case when contains(lower(location), 'salle 7') then null when contains(lower(location), 'salle 1') then 'salle 1' when contains(lower(location), 'salle 2') then 'salle 2' end as hall, category as given from ev),
 s as (select *, [{', '.join("{'m': -" + _score(c) + f", 'o': {i}, 'c': '{c}'" + "}" for i, c in enumerate(CLASSES.categories))}] as l from p),
-r as (select *, list_sort(l) as r, -list_sum(list_transform(l, lambda e: e.m)) as total from s)
-select event_id, case when src is not null then src when total = 0 then 'communaute' else r[1].c end as category,
+r as (select *, list_sort(l) as r, -list_sum(list_transform(l, lambda e: e.m)) as total, case when hall is null then 0 else 3 end as venue, chr(39) as q from s),
+c as (select event_id, case when src is not null then src when total = 0 then 'communaute' else r[1].c end as category,
   round(case when src is not null then 0.95 when total = 0 then 0.3 else least(-r[1].m / total + case when -r[1].m >= 5 then 0.1 else 0 end, 0.95) end, 6) as confidence,
-  case when src is not null or total = 0 then '' else array_to_string(list_transform(list_filter(r[2:4], lambda e: e.m < 0), lambda e: e.c || ':' || cast(-e.m as integer)), ',') end as alternatives from r""")
+  case when src is not null or total = 0 then '' else array_to_string(list_transform(list_filter(r[2:4], lambda e: e.m < 0), lambda e: e.c || ':' || cast(-e.m as integer)), ',') end as alternatives,
+  case when src is not null then 'Source category mapped: ' || q || given || q || ' → ' || src when total = 0 then 'No category keywords matched, using default'
+    else 'Matched ' || concat_ws(', ', 'venue ' || q || hall || q, case when -r[1].m > venue then cast(-r[1].m - venue as integer) || ' keyword(s)' end) || ' for ' || q || r[1].c || q end as reason from r)
+select *, confidence >= 0.7 as is_confident, confidence < 0.5 as is_uncertain from c""")
 def classify_events(spark, d):
     e = events(spark, d).withColumnRenamed("category", "source_category")
-    return C.classify_events(e, CLASSES).select("event_id", "category", "confidence", "alternatives")
+    return C.classify_events(e, CLASSES).select("event_id", "category", "confidence", "alternatives", "reason", "is_confident", "is_uncertain")
 
 
 @query("select page_id, len(list_filter(string_split(regexp_extract(url, '//[^/?#]*/?([^?#]*)', 1), '/'), lambda p: p <> '')) < 3 or coalesce(list_filter(string_split(regexp_extract(url, '//[^/?#]*/?([^?#]*)', 1), '/'), lambda p: p <> '')[2] in ('marseille', 'aubagne'), false) or contains(lower(url), 'aubagne') as inside from pages")

@@ -15,7 +15,7 @@ from .views import AS_OF, EVENTS, as_of, events, query, table
 _T = f"timestamp '{AS_OF}'"
 _STATUS = """st as (select 'src' || (event_id % 23) as source_id, case when event_id % 17 = 0 then 'error' when event_id % 31 = 0 then 'pending' else 'success' end as status,
   user_id % 50 as events_accepted, event_id % 7 as events_rejected, strftime(ts - to_days(cast((event_id % 23) as integer)), '%Y-%m-%d %H:%M:%S') as ts from events),
-so as (select 'src' || s_suppkey as source_id from supplier where s_suppkey < 30)"""
+so as (select 'src' || s_suppkey as source_id from supplier)"""
 _NOW = "timestamp '2024-01-31 00:00:00'"
 
 
@@ -26,18 +26,18 @@ def _status(spark, d):
 
 
 def _sources(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey < 30").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source_id"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source_id"))
 
 
 def _now():
     return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
-@query(f"""with {EVENTS}, b as (select * from ev where event_id % 10 = 0), dd as (select event_id, o, date_trunc('day', start_ts) + to_days(cast(x as integer)) as day from (select event_id, start_ts, unnest([3, 0, 40]) as x, unnest([1, 2, 3]) as o from b)),
+@query(f"""with {EVENTS}, b as (select * from ev), dd as (select event_id, o, date_trunc('day', start_ts) + to_days(cast(x as integer)) as day from (select event_id, start_ts, unnest([3, 0, 40]) as x, unnest([1, 2, 3]) as o from b)),
 n as (select *, row_number() over (partition by event_id order by day, o) as nth, first_value(day) over (partition by event_id order by o) as listed from dd)
 select b.event_id, {_slug('name')} || '-' || strftime(listed, '%Y%m') as event_group_id, 'Jour ' || nth || ' sur 3' as day_of, source_id || ':day' || nth as source_id, strftime(day + to_hours(hour(start_ts)), '%Y-%m-%d %H:%M') as start from b join n on n.event_id = b.event_id""")
 def number_multi_day(spark, d):
-    base = events(spark, d).where("event_id % 10 = 0")
+    base = events(spark, d)
     days = base.select("event_id", F.col("start_ts").alias("t"), F.posexplode(F.array(F.lit(3), F.lit(0), F.lit(40))).alias("ord", "x"))
     listed = days.select("event_id", "ord", (F.date_trunc("day", "t").cast("timestamp_ntz") + F.make_dt_interval(F.col("x"))).alias("day"))
     out = C.number_multi_day(base.withColumns({"day_of": F.lit(None).cast("string"), "event_group_id": F.lit(None).cast("string")}), listed)
