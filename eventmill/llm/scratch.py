@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,7 @@ _folders: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one where none is set, as in local tests."""
+    """The cluster's checkpoint folder; a temporary one where none is set and all tasks run on this machine, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if found:
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(f"{_KEY} must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -33,11 +36,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Hold settings of the session for jobs that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold fewer rows than by default, unless the session already says how many.
 
     Rows here are whole documents, of which the default of 10,000 is tens of MB, several times over
-    in each task.
+    in each task. Results are lazy, so that this holds for the session from here on, not for one call.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) == 10000:

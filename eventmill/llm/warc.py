@@ -1,44 +1,47 @@
 """Web archives: WARC records written and read back by Spark, and a capture index merged from sorted runs.
 
-Records are rows of Spark's text writer, whose line separator is the blank line that ends a WARC
-record, so archives go to any file system that Spark writes to. A payload that an earlier page
-(by id) has too becomes a revisit record without a body.
+Each record is a gzip member of its own, so that a reader can seek to the offset that the index
+names. Tasks pack members into archives of about ``ARCHIVE_BYTES``, and an archive is one row of
+Spark's text writer, whose line separator is an empty gzip member: archives go to any file system
+that Spark writes to and are valid gzip files. A payload that an earlier page (by id) has too becomes
+a revisit record, which keeps the HTTP headers and names the record it refers to.
 
-Each archive gives a run of index entries sorted by URL key, time and page. Runs are cut at common
-boundaries, taken from a bounded sample, and a loser tree merges the pieces of each range; the
-ranges in their order are one globally ordered index, in which the captures of a URL stand together.
-The boundaries hold time and page too, so one URL may spread over many ranges.
+Each archive gives a run of index entries sorted by URL key, time and page. Runs are dealt to ranges
+of the keys (whose bounds Spark samples), and a loser tree merges the pieces of each range; the ranges
+in their order are one globally ordered index, in which the captures of a URL stand together. The
+ranges are of key, time, page and place, so one URL may spread over many of them.
 
 Defined results: null html is an empty payload; a row without page id is a response and never an
 original; rows with equal id and payload are all responses if theirs is the least id; a null URL has
-no target line and an empty key. Other columns are ignored.
+no target line and an empty key; line breaks in a URL are archived as %0D and %0A. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
-import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, settings
 from .url_rules import host
 
 _END = "\r\n"
 #: Captures are dated by page id from here on, as the tables hold no time.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
-RECORDS_PER_FILE = 5000
-#: Index entries of a range, and sampled entries for each boundary.
+#: Compressed bytes after which an archive is closed.
+ARCHIVE_BYTES = 16 << 20
+#: Index entries of a range, about, and how many Spark samples for each range to find its bounds.
 RANGE_ROWS = 50_000
-SAMPLES = 64
-_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_ENTRY = "url_key string, captured string, page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long"
+SAMPLES = 100
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+_READ = "target string, captured string, page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long"
+_ENTRY = _READ.replace("target", "url_key")
 
 
 def base32_sha1(data: Column) -> Column:
@@ -55,74 +58,109 @@ def url_key(url: Column) -> Column:
 
 
 def revisits(captures: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a smaller page id has. ``captures``: page_id, digest, bytes."""
+    """(page_id, digest, refers_to) of the payloads that a smaller page id has. ``captures``: page_id, digest, bytes."""
     first = captures.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     first = scratch.keep(first.drop("n"), "originals")
-    return captures.join(first, ["digest", "bytes"]).where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return captures.join(first, ["digest", "bytes"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def _record_id(page_id: Column, digest: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(">"))
+
+
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _packer(limit: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Archives, one to a row: the gzip members of records, one behind another."""
+        members, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                members.append(_member(record.as_py()))
+                size += len(members[-1])
+                if size >= limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["value"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["value"])
+
+    return pack
 
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one record for each row, as gzipped archives in ``folder``."""
+    """Write one record for each row, packed into archives in ``folder``."""
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
     payload = F.col("payload").cast("binary")
-    captures = scratch.keep(source.select("page_id", base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")), "captures")
+    source = source.withColumns({"digest": base32_sha1(payload), "bytes": F.octet_length(payload)})
+    captures = scratch.keep(source.select("page_id", "digest", "bytes"), "captures")
     known = scratch.keep(revisits(captures, scratch), "revisits")
     again = F.col("refers_to").isNotNull()
-    uuid = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.sha1(payload)).cast("binary"))
-    uuid = F.concat_ws("-", *(F.substring(uuid, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE).cast("timestamp")) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_END))
+    http = F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(_END * 2))
     head = F.concat_ws(
         "",
         F.lit("WARC/1.0" + _END),
         F.when(again, F.lit("WARC-Type: revisit" + _END + "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" + _END)).otherwise(F.lit("WARC-Type: response" + _END)),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
         line("WARC-Date", when),
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(payload))),
-        line("Page-Id", F.col("page_id").cast("string")),
-        line("Page-Url-Key", F.regexp_replace(url_key(F.col("url")), "[\r\n]", "")),
-        line("Payload-Length", F.octet_length(payload).cast("string")),
-        line("Refers-To-Page-Id", F.col("refers_to").cast("string")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        F.when(again, line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest")))),
         F.lit("Content-Type: application/http; msgtype=response" + _END),
-        line("Content-Length", F.when(again, F.lit("0")).otherwise((F.octet_length(payload) + len(_HTTP)).cast("string"))),
+        line("Content-Length", (F.octet_length(http.cast("binary")) + F.when(again, 0).otherwise(F.col("bytes"))).cast("string")),
         F.lit(_END),
+        http,
     )
-    record = F.when(again, head).otherwise(F.concat(head, F.lit(_HTTP), F.col("payload")))
-    rows = source.join(known, "page_id", "left").select(record.alias("value"))
-    rows.write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    record = F.concat(head, F.when(again, "").otherwise(F.col("payload")), F.lit(_END * 2))
+    rows = source.join(known, ["page_id", "digest"], "left").select(record.cast("binary").alias("record"))
+    packed = rows.mapInArrow(_packer(ARCHIVE_BYTES), "value binary").select(F.col("value").cast("string").alias("value"))
+    # the separator is an empty gzip member, each byte as a character of Latin-1
+    packed.write.option("lineSep", _member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(folder)
 
 
-def _records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record; lengths, not separators, tell where a block ends."""
-    at = 0
-    while first := stream.readline():
-        if not first.strip():
-            at += len(first)
-            continue
-        offset, headers = at, {}
-        at += len(first)
-        while (line := stream.readline()).strip():
-            at += len(line)
-            name, _, value = line.decode("utf-8").partition(":")
-            headers[name.lower()] = value.strip()
-        at += len(line)
-        block = stream.read(int(headers["content-length"]))
-        at += len(block)
-        yield offset, headers, block
+def _members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member of an archive."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        reader, fed, out = zlib.decompressobj(31), at, []
+        while not reader.eof:
+            if fed >= len(view):
+                raise ValueError(f"the gzip member at {at} has no end")
+            piece = view[fed : fed + (1 << 16)]
+            fed += len(piece)
+            out.append(reader.decompress(piece))
+        yield at, b"".join(out)
+        at = fed - len(reader.unused_data)
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers, names in lower case, and block of a record; its length, not a separator, tells where a block ends."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    lines = (line.decode("utf-8").partition(":") for line in head.split(b"\r\n")[1:])
+    headers = {name.lower(): value.strip() for name, _, value in lines}
+    return headers, rest[: int(headers["content-length"])]
+
+
+def _page_of(record_id: str | None) -> int | None:
+    number = record_id.split(":")[2] if record_id else ""
+    return int(number) if number else None
 
 
 def _entries(path: str, content: bytes) -> Iterator[tuple]:
-    with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
-        for offset, h, block in _records(stream):
-            revisit = h["warc-type"] == "revisit"
-            payload = block.partition(b"\r\n\r\n")[2]
-            digest = h["warc-payload-digest"].removeprefix("sha1:")
-            size = int(h["payload-length"])
-            if not revisit and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size):
-                raise ValueError(f"{path}, record at {offset}: the payload doesn't have the digest that its header names")
-            number = lambda k: int(h[k]) if k in h else None
-            yield (h.get("page-url-key", ""), h["warc-date"], number("page-id"), digest, size if revisit else len(payload), h["warc-type"], number("refers-to-page-id"), path.rpartition("/")[2], offset)
+    for offset, data in _members(content):
+        if not data:
+            continue
+        h, block = parse_record(data)
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(http.rpartition(b"Content-Length: ")[2])
+        digest = h["warc-payload-digest"].removeprefix("sha1:")
+        if h["warc-type"] != "revisit" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size):
+            raise ValueError(f"{path}, record at {offset}: the payload doesn't have the digest that its header names")
+        yield (h.get("warc-target-uri"), h["warc-date"], _page_of(h["warc-record-id"]), digest, size, h["warc-type"], _page_of(h.get("warc-refers-to")), path.rpartition("/")[2], offset)
 
 
 _NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
@@ -142,13 +180,14 @@ def _columns(rows: list[tuple], fields: str) -> pa.Table:
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            yield from _columns(list(_entries(path.as_py(), content.as_py())), _ENTRY).to_batches()
+            yield from _columns(list(_entries(path.as_py(), content.as_py())), _READ).to_batches()
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Index entries of all records, payloads checked against their digests."""
+    """Index entries of all records, payloads checked against their digests; only headers of the format are read."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInArrow(_read_batches, _ENTRY)
+    rows = files.mapInArrow(_read_batches, _READ)
+    return rows.select(url_key(F.col("target")).alias("url_key"), *(c for c in rows.columns if c != "target"))
 
 
 class LoserTree:
@@ -189,44 +228,40 @@ def _key(row: tuple) -> tuple:
     return (row[0], row[1], -1 if row[2] is None else row[2], row[7], row[8])
 
 
-_PIECE = f"{_ENTRY}, part int, run string, nth int"
+_RUN = f"{_ENTRY}, run string, nth int"
 _MERGED = f"{_ENTRY}, part int, position int"
 
 
-def _run_batches(bounds: list[tuple]):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sort each batch of entries into a run and deal its pieces to the ranges."""
-        for batch in batches:
-            run = sorted(zip(*(batch.column(n).to_pylist() for n in _NAMES)), key=_key)
-            name = f"{run[0][7]}:{run[0][8]}" if run else ""
-            yield from _columns([(*row, bisect.bisect_right(bounds, _key(row)), name, nth) for nth, row in enumerate(run)], _PIECE).to_batches()
-
-    return cut
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sort each batch of entries into a run."""
+    for batch in batches:
+        run = sorted(zip(*(batch.column(n).to_pylist() for n in _NAMES)), key=_key)
+        name = f"{run[0][7]}:{run[0][8]}" if run else ""
+        yield from _columns([(*row, name, nth) for nth, row in enumerate(run)], _RUN).to_batches()
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    part = group.column("part")[0].as_py()
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of all runs in one range, merged."""
     runs: dict[str, list[tuple]] = {}
-    for name, nth, *row in zip(*(group.column(n).to_pylist() for n in ("run", "nth", *_NAMES))):
-        runs.setdefault(name, []).append((nth, tuple(row)))
-    sorted_runs = [[row for _, row in sorted(run, key=lambda x: x[0])] for _, run in sorted(runs.items())]
-    merged = LoserTree([((_key(row), row) for row in run) for run in sorted_runs])
-    return _columns([(*row, part, k) for k, (_, row) in enumerate(merged)], _MERGED)
+    part = 0
+    for batch in batches:
+        for own, name, nth, *row in zip(*(batch.column(n).to_pylist() for n in ("part", "run", "nth", *_NAMES))):
+            runs.setdefault(name, []).append((nth, tuple(row)))
+            part = own
+    pieces = [[row for _, row in sorted(run, key=lambda x: x[0])] for _, run in sorted(runs.items())]
+    merged = LoserTree([((_key(row), row) for row in piece) for piece in pieces])
+    if runs:
+        yield from _columns([(*row, part, k) for k, (_, row) in enumerate(merged)], _MERGED).to_batches()
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
     """``entries`` with ``place``, their place in the global order by URL key, time and page."""
     scratch = Scratch(entries.sparkSession, "index")
-    rows = entries.count()
-    parts = max(1, -(-rows // RANGE_ROWS))
-    bounds: list[tuple] = []
-    if parts > 1:
-        share = min(1.0, 2.0 * SAMPLES * parts / rows)
-        drawn = entries.where(F.pmod(F.xxhash64("page_id", "archive", "offset"), F.lit(1_000_000)) < int(1_000_000 * share)).select(*_NAMES).limit(4 * SAMPLES * parts)
-        sample = sorted(_key(tuple(r)) for r in drawn.collect())
-        bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
-    runs = entries.select(*_NAMES).mapInArrow(_run_batches(bounds), _PIECE)
-    merged = scratch.keep(runs.groupBy("part").applyInArrow(_merge, _MERGED), "merged")
+    parts = max(1, -(-entries.count() // RANGE_ROWS))
+    runs = entries.select(*_NAMES).mapInArrow(_run_batches, _RUN)
+    ranged = runs.repartitionByRange(parts, "url_key", "captured", "page_id", "archive", "offset").withColumn("part", F.spark_partition_id())
+    with settings(entries.sparkSession, {"spark.sql.execution.rangeExchange.sampleSizePerPartition": str(SAMPLES)}):
+        merged = scratch.keep(ranged.mapInArrow(_merge, _MERGED), "merged")
     # one row a range, so that a single window over them stays small
     sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
@@ -239,4 +274,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{scratch.path}/archives"
     write_archives(pages, folder, scratch)
     entries = scratch.keep(read_archives(pages.sparkSession, folder), "entries")
+    scratch.drop_others("archives", "entries")
     return merge_index(entries)
