@@ -425,3 +425,25 @@ def _check_cuts(node, rows, wide):
     assert miss <= max(weights.values()) / 2 + total * 1e-2
     _check_cuts(node.left, left, wide)
     _check_cuts(node.right, right, wide)
+
+
+def test_archives_are_gzip_members_that_can_be_sought(spark, tmp_path, monkeypatch):
+    """Each offset of the index leads to its record, and a plain gzip reader reads whole archives; a repeated id keeps its payload."""
+    import gzip
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rows = [(i, f"http://example.org/{i % 3}", "ü" * (i % 4) + "\r\n\r\n") for i in range(60)] + [(7, "http://example.org/7", "another payload"), (8, "http://example.org/8", "ü" * 3 + "\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = f"{tmp_path}/archives"
+    warc.write_archives(df, folder, Scratch(spark, "test"))
+    files = {p.name: p.read_bytes() for p in tmp_path.glob("archives/part-*")}
+    assert len(files) > 4 and max(map(len, files.values())) < 4000
+    assert sum(gzip.decompress(b).count(b"WARC/1.0\r\n") for b in files.values()) == len(rows)
+    entries = warc.read_archives(spark, folder).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in entries) == sorted((i, len(h.encode())) for i, _, h in rows)
+    for r in entries:
+        headers, block = warc.parse_record(next(iter(warc._members(files[r["archive"]][r["offset"] :])))[1])
+        assert headers["warc-type"] == r["record_type"] and ("warc-refers-to" in headers) == (r["record_type"] == "revisit")
+        payload = block.partition(b"\r\n\r\n")[2]
+        assert payload == b"" if r["record_type"] == "revisit" else len(payload) == r["payload_bytes"]
+    assert {(r["record_type"], r["refers_to"]) for r in entries if r["page_id"] == 7} == {("revisit", 3), ("response", None)}
