@@ -11,7 +11,8 @@ or names) are also matched as written. Everything is a built-in expression.
 
 Defined results: null or empty texts match nothing; items of fewer than ``WINDOW`` tokens are
 matched as a whole, those of fewer than ``LITERALS`` as written only; repeated rows with one id count as one document; null ids are
-left out; other columns are ignored.
+left out; other columns are ignored. A text's tokens and windows are arrays of one row, so that a task
+holds about 100 bytes for each byte of its longest text.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ UNITS = (
 ).split()
 #: Rows up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Documents whose open spans are broadcast; a document has some kilobytes of them.
-BROADCAST_DOCS = 20_000
+#: Windows and slots of documents' open spans that are broadcast (60 bytes each).
+BROADCAST_PLACES = 500_000
 
 _NAME, _NUMBER, _UNIT, _INNER = "\ue000", "\ue001", "\ue002", "\ue003"
 _SPLIT = r"[^\p{L}\p{M}\p{N}\x{E000}-\x{E003}]+"
@@ -62,10 +63,14 @@ def _is_slot(token: Column) -> Column:
 
 
 _WINDOWS = "array<struct<hash:bigint,pos:int>>"
+_TOLD_WINDOWS = "array<struct<hash:bigint,pos:int,slotted:boolean>>"
 
 
-def _windows(tokens: Column, n: int, exact: bool = False) -> Column:
-    """(hash, position) of the windows of ``n`` tokens: of those with enough plain words, or of all for exact matches."""
+def _windows(tokens: Column, n: int, exact: bool = False, told: bool = False) -> Column:
+    """(hash, position) of the windows of ``n`` tokens: of those with enough plain words, or of all for exact matches.
+
+    ``told`` adds whether a window has a slot, as no exact one does.
+    """
 
     def build(t: Column) -> Column:
         coded = F.transform(t, lambda w: F.struct(F.xxhash64(w).alias("h"), (F.lit(exact) | ~_is_slot(w)).cast("int").alias("plain")))
@@ -75,7 +80,8 @@ def _windows(tokens: Column, n: int, exact: bool = False) -> Column:
             rows = windows(c, n, lambda w: F.struct(F.xxhash64(seed, *[x["h"] for x in w]).alias("hash"), sum((x["plain"] for x in w[1:]), w[0]["plain"]).alias("plain")))
             rows = F.transform(rows, lambda r, i: F.struct(r["hash"].alias("hash"), i.alias("pos"), r["plain"].alias("plain")))
             rows = rows if exact else F.filter(rows, lambda r: r["plain"] >= LITERALS)
-            return F.transform(rows, lambda r: F.struct(r["hash"].alias("hash"), r["pos"].alias("pos")))
+            more = lambda r: [(r["plain"] < n).alias("slotted")] if told else []
+            return F.transform(rows, lambda r: F.struct(r["hash"].alias("hash"), r["pos"].alias("pos"), *more(r)))
 
         return let(coded, over)
 
@@ -83,19 +89,25 @@ def _windows(tokens: Column, n: int, exact: bool = False) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each document and item that match: doc_id, item_id, windows, slots, contaminated."""
+    """One row for each document and item that match: doc_id, item_id, windows, slots, contaminated.
+
+    Items of the same words are one, the one of the least id; so are, for a window without a slot, all
+    items that hold it (``items`` has them). A phrase that thousands of items share costs a document
+    one row, not thousands.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     bench = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_id is not null")
     bench = bench.withColumns({"tokens": template_tokens(F.col("item_text")), "values": surface_tokens(F.col("item_text"))})
+    bench = bench.groupBy("tokens", "values").agg(F.min("item_id").alias("item_id"))
     bench = scratch.keep(bench.withColumn("n", F.least(F.size("tokens"), F.lit(WINDOW))).where("n > 0"), "items")
-    none = F.array().cast(_WINDOWS)
+    none = F.array().cast(_TOLD_WINDOWS)
 
     def by_length(lengths: list[int], col: str, exact: bool) -> Column:
         picked = none
         for n in lengths:
-            picked = F.when(F.col("n") == n, _windows(F.col(col), n, exact)).otherwise(picked)
+            picked = F.when(F.col("n") == n, _windows(F.col(col), n, exact, told=True)).otherwise(picked)
         return picked
 
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # 1 to WINDOW, no more
@@ -109,30 +121,35 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     written = sorted(r["n"] for r in bare.select("n").distinct().collect())
     unfold = lambda rows, exact: rows.select("item_id", "n", F.lit(exact).alias("exact"), F.explode("w").alias("w"))
     keys = unfold(templates, False).unionByName(unfold(bare, True))
-    keys = scratch.keep(keys.select(F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos"), "item_id", "n", "exact"), "item-windows")
+    keys = keys.select(F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos"), "item_id", "n", F.col("w.slotted").alias("slotted"))
+    one = F.min(F.struct("item_id", "item_pos", "n")).alias("x")
+    plain_keys = keys.where("not slotted").groupBy("hash").agg(one).select("hash", "x.item_pos", "x.item_id", "x.n", F.lit(False).alias("slotted"))
+    keys = scratch.keep(keys.where("slotted").distinct().unionByName(plain_keys), "item-windows")
     small = keys.count() <= BROADCAST_ROWS
     own = []
     if long:
         own.append(let(template_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n) for n in long])))
     if written:
         own.append(let(surface_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n, True) for n in written])))
-    rows = source.select("doc_id", F.explode(F.concat(none, *own)).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"))
-    hits = rows.join(F.broadcast(keys) if small else keys, "hash").select("doc_id", "pos", "item_id", "item_pos", "n", "exact").distinct()
+    rows = source.select("doc_id", F.explode(F.concat(F.array().cast(_WINDOWS), *own)).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"))
+    hits = rows.join(F.broadcast(keys) if small else keys, "hash").select("doc_id", "pos", "item_id", "item_pos", "n", "slotted").distinct()
     hits = scratch.keep(hits, "hits")
+    plain = hits.where("not slotted").groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("windows")).withColumn("slots", F.lit(0))
 
     # windows of one offset overlap: tokens of the item that any of them covers
-    spans = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    spans = hits.where("slotted").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.count("*").alias("windows"), F.min("n").alias("n"), F.collect_list("item_pos").alias("starts"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("exact"), F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1))))).alias("at"),
+        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)))).alias("at"),
     )
     asked = bench.select("item_id", "tokens", F.col("values").alias("asked"))
     slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), i.alias("at"), (i + F.col("shift")).alias("pos"))
     slots = F.transform(F.filter("at", lambda i: _is_slot(F.get("tokens", i))), slot)
-    spans = scratch.keep(spans.join(asked, "item_id").select("doc_id", "item_id", "windows", "n", "starts", slots.alias("slots")), "spans")
-    # only spans with slots need the document's own words, which are read once for all of its spans
-    open_spans = spans.where(F.size("slots") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "n", "starts", "slots")).alias("spans"))
+    spans = spans.join(asked, "item_id").select("doc_id", "item_id", "windows", "n", "starts", slots.alias("slots"))
+    # the document's own words are read once for all of its spans
+    open_spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "n", "starts", "slots")).alias("spans"))
     open_spans = scratch.keep(open_spans, "open-spans")
-    few = open_spans.count() <= BROADCAST_DOCS
+    places = F.aggregate("spans", F.lit(0), lambda s, x: s + F.size(x["starts"]) + F.size(x["slots"]))
+    few = (open_spans.agg(F.sum(places)).first()[0] or 0) <= BROADCAST_PLACES
     joined = source.join(F.broadcast(open_spans) if few else open_spans, "doc_id")
     count = lambda s, name: F.size(F.array_distinct(F.transform(s, lambda x: x[name])))
 
@@ -150,6 +167,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return F.transform("spans", one)
 
     judged = joined.select("doc_id", F.explode(let(surface_tokens(F.col("text")), judge)).alias("x")).select("doc_id", "x.*").where("windows > 0")
-    plain = spans.where(F.size("slots") == 0).select("doc_id", "item_id", "windows", F.lit(0).alias("slots"))
     kept = plain.unionByName(judged).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
     return kept.withColumn("contaminated", F.lit(True))
