@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import buffers as B
 from .components import components
+from .marks import marked
 from .scratch import Scratch
 
 SHINGLE_WORDS = 5
@@ -238,13 +239,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("sketches", "classes")
 
     entries = labelled.where("bands is not null and n_shingles > 0").select("rep", F.explode("bands").alias("key"))
-    # a hash is summed by halves, since 64-bit sums of whole hashes overflow in large groups
+    keys = scratch.keep(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1"), "keys")
+    # most keys are of one document: their entries stay out of the join's shuffle
+    several = marked(entries, keys, "key", scratch).where("__marked").drop("__marked")
+    several = scratch.keep(several.join(keys, "key").select("key", "m", "hub", "rep"), "several")
+    # bands often gather the same documents: one group of each membership is enough; a hash is
+    # summed by halves, since 64-bit sums of whole hashes overflow in large groups
     h = F.xxhash64("rep")
     sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("sig3")
-    groups = entries.groupBy("key").agg(F.count("*").alias("m"), *sums, F.min("rep").alias("hub")).where("m > 1")
-    # bands often gather the same documents: one group of each membership is enough
-    groups = scratch.keep(groups.groupBy("m", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key")).select("key", "m", "hub"), "groups")
-    members = scratch.keep(entries.join(groups, "key").select("key", "m", "hub", "rep"), "members")
+    groups = several.groupBy("key", "m", "hub").agg(*sums).groupBy("m", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key"))
+    groups = scratch.keep(groups.select("key", "m", "hub"), "groups")
+    members = scratch.keep(several.join(groups.select("key"), "key", "left_semi"), "members")
+    scratch.drop("keys", "several")
     ids = scratch.keep(members.select("rep").distinct(), "ids")
     n = ids.count()
     wanted = source.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, source["doc_id"] == ids["rep"], "left_semi")

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from . import buffers as B
 from .lyndon import suffix_array
+from .marks import marked
 from .scratch import Scratch
 
 LENGTH = 400
@@ -51,8 +52,6 @@ BROADCAST_ROWS = 500_000
 BROADCAST_PLACES = 1_000_000
 #: Spans of texts up to this number are broadcast (32 bytes each); beyond it the join shuffles.
 BROADCAST_SPANS = 1_000_000
-#: Bits that tell texts which such a join can't find a row for, so that they aren't shuffled (24 bytes for each 64).
-MARKS = 1 << 24
 #: Symbols of one text that are searched for anchors at once.
 PIECE = 1 << 19
 _ROW = "t1 long, t2 long, key long, ctx long, lo int, hi int, p int"
@@ -255,7 +254,7 @@ def _resolve(rows: DataFrame, source: DataFrame, scratch: Scratch, length: int,
         places = classes.groupBy(*_TEXT).agg(F.collect_list(F.struct("key", "weight", "lo", "hi", "p")).alias("places"))
         places = scratch.keep(places, "places")
         small = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-        asked = source if small else _marked(source, places, scratch).where("__marked").drop("__marked")
+        asked = source if small else marked(source, places, "t1", scratch).where("__marked").drop("__marked")
         texts = asked.join(F.broadcast(places) if small else places, _TEXT).dropDuplicates(_TEXT).select("text", *_TEXT, "places")
         schema = "t1 long, t2 long, key long, weight long, lo int, hi int, p int, bytes binary"
         classes = scratch.keep(texts.mapInPandas(_slice_batches(length, unit), schema), "contexts")
@@ -275,20 +274,6 @@ def _resolve(rows: DataFrame, source: DataFrame, scratch: Scratch, length: int,
     return out
 
 
-def _marked(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """``texts`` with __marked, false only for texts that ``found`` has no row for.
-
-    A table of ``MARKS`` bits says which hashes occur; it doesn't grow with the input, and once it is
-    full it merely marks all texts.
-    """
-    bit = F.pmod("t1", F.lit(MARKS))
-    one = f"shiftleft(1L, cast(pmod(t1, {MARKS}) % 64 as int))"
-    marks = found.groupBy(F.floor(bit / 64).alias("__word")).agg(F.bit_or(F.expr(one)).alias("__bits"))
-    marks = scratch.keep(marks, "marks")
-    joined = texts.withColumn("__word", F.floor(bit / 64)).join(F.broadcast(marks), "__word", "left")
-    return joined.withColumn("__marked", F.expr(f"(coalesce(__bits, 0L) & {one}) <> 0")).select(*texts.columns, "__marked")
-
-
 def _identity(text: Column) -> list[Column]:
     text = F.coalesce(text.cast("string"), F.lit(""))
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
@@ -396,8 +381,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     if small:
         joined = keyed.join(F.broadcast(found), ["__t1", "__t2"], "left").select(*keyed.columns, *spans)
     else:
-        marked = _marked(keyed.withColumn("t1", F.col("__t1")), found.withColumn("t1", F.col("__t1")), scratch).drop("t1")
-        joined = marked.where("__marked").join(found, ["__t1", "__t2"], "left").select(*keyed.columns, *spans)
-        joined = joined.unionByName(marked.where("not __marked").select(*keyed.columns).withColumns({x: F.lit(None).cast(found.schema[x].dataType) for x in spans}))
+        told = marked(keyed, found, "__t1", scratch)
+        joined = told.where("__marked").join(found, ["__t1", "__t2"], "left").select(*keyed.columns, *spans)
+        joined = joined.unionByName(told.where("not __marked").select(*keyed.columns).withColumns({x: F.lit(None).cast(found.schema[x].dataType) for x in spans}))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in counts), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return joined.mapInArrow(_cut_batches(text_col, ["__t1", "__t2", *spans], unit, bool(passage_words), as_text), schema)
