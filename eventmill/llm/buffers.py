@@ -144,6 +144,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def blank(data: np.ndarray) -> np.ndarray:
+    return _BLANK[data]
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

@@ -46,8 +46,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     w0 = first[owner] + nth * PASSAGE
     w1 = np.minimum(w0 + PASSAGE, first[owner + 1])
     lo, hi = starts[w0], ends[w1 - 1]
+    # a text's last n-grams are short: they don't see the text behind it
     wide = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
-    code = ((wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) ^ wide[2:] * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
+    second, third = wide[1:-1].copy(), wide[2:].copy()
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    second[last] = third[last] = 0
+    third[np.maximum(last - 1, 0)] = 0
+    code = ((wide[:-2] * np.uint32(0x9E3779B1) ^ second * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) ^ third * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
     code = (code >> np.uint32(32 - DIMENSIONS.bit_length() + 1)).astype(np.int64)
     size = hi - lo
     where = np.repeat(np.arange(len(lo)), size)
@@ -80,13 +85,23 @@ class Model:
             "weigh": draw(ATTENTION, 1)[:, 0], "out": draw(CODE, 1)[:, 0], "out_0": np.zeros(1, np.float32),
         }
 
-    def forward(self, x: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        """All documents of ``at`` have a passage."""
+    def encode(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """What is known of each passage by itself: its code, both halves of the gate, and its energy."""
         p, v = self.p, {}
         v["h"] = np.maximum(x @ p["encode"] + p["encode_0"], 0)
         v["t"] = np.tanh(v["h"] @ p["tanh"])
         v["g"] = 1 / (1 + np.exp(-(v["h"] @ p["gate"])))
-        v["a"] = _segment_softmax((v["t"] * v["g"]) @ p["weigh"], at)
+        v["e"] = (v["t"] * v["g"]) @ p["weigh"]
+        return v
+
+    def forward(self, x: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        """All documents of ``at`` have a passage."""
+        return self.pool(self.encode(x), at)
+
+    def pool(self, v: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+        """Attention over the encoded passages of each document, and its score."""
+        p = self.p
+        v["a"] = _segment_softmax(v["e"], at)
         v["z"] = np.add.reduceat(v["a"][:, None] * v["h"], at[:-1])
         v["y"] = 1 / (1 + np.exp(-np.clip(v["z"] @ p["out"] + p["out_0"], -30, 30)))
         return v
@@ -107,7 +122,21 @@ class Model:
         g["encode"], g["encode_0"] = x.T @ dh, dh.sum(axis=0)
         return g
 
+    def score_long(self, data: np.ndarray, words: int = 1 << 15) -> float:
+        """The score of one long text: passages are encoded some at a time, and only their codes are kept."""
+        starts, ends, _ = B.words(data, np.array([0, len(data)]))
+        step = words // PASSAGE * PASSAGE
+        codes = []
+        for k in range(0, len(starts), step):
+            part = data[starts[k] : ends[min(k + step, len(ends)) - 1]]
+            v = self.encode(shares(passages(part, np.array([0, len(part)]))[0], self.prior))
+            codes.append((v["h"], v["e"]))
+        h, e = (np.concatenate(x) for x in zip(*codes))
+        return float(self.pool({"h": h, "e": e}, np.array([0, len(e)]))["y"][0])
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if len(offsets) == 2 and len(data) > B.SLICE_BYTES and (~B.blank(data)).any():
+            return np.array([self.score_long(data)])
         x, at = passages(data, offsets)
         some = np.flatnonzero(np.diff(at))
         out = np.full(len(offsets) - 1, 1 / (1 + np.exp(-float(self.p["out_0"][0]))))
@@ -153,7 +182,7 @@ def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in B.slices(batch.column(1), 1 << 18):
             x, at = passages(data, offsets)
             bags = pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), bags], ["label", "bag"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 2)), bags], ["label", "key", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -162,9 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = lambda k: F.lit(min(1_000_000, 1_000_000 * SAMPLE // max(1, counts.get(k, 0))))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.when(F.col("label") == 1, share(1)).otherwise(share(0)))
-    drawn = drawn.groupBy("id").agg(F.min("label").alias("label")).limit(4 * SAMPLE)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("label", "text")
-    got = texts.limit(4 * SAMPLE).mapInArrow(_bag_batches, "label int, bag binary").where("length(bag) > 0").collect()
+    # a limit with an order, so that the same rows are learned from however the table is cut
+    drawn = drawn.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(4 * SAMPLE)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    texts = texts.groupBy("label", F.xxhash64("id", "text").alias("key")).agg(F.min("text").alias("text")).select("label", "text", "key")
+    bags = texts.mapInArrow(_bag_batches, "label int, key long, bag binary").where("length(bag) > 0")
+    got = bags.orderBy("key").limit(4 * SAMPLE).select("label", "bag").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, DIMENSIONS) for r in got]
     return fit(bags, np.array([r["label"] for r in got]))
