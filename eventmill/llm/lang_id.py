@@ -164,7 +164,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             rows = [np.flatnonzero(r) for r in x]
             at = pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())
             count = pa.array([x[i, r].tobytes() for i, r in enumerate(rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), at, count], ["lang", "at", "count"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 2)), at, count], ["lang", "key", "at", "count"])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", row_key: Column | None = None) -> Model:
@@ -177,8 +177,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", row_k
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1_000_000 * SAMPLE // n))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < share).select("lang", "text").limit(2 * SAMPLE * len(counts))
-    got = drawn.mapInArrow(_feature_batches, "lang string, at binary, count binary").collect()
+    # equal rows count once, and the limit has an order, so that the same rows are learned from however the table is cut
+    drawn = rows.withColumn("key", F.xxhash64("key", "text")).where(F.pmod("key", F.lit(1_000_000)) < share)
+    drawn = drawn.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text", "key")
+    got = drawn.mapInArrow(_feature_batches, "lang string, key long, at binary, count binary").orderBy("key", "lang").limit(2 * SAMPLE * len(counts)).drop("key").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["count"])))
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     langs = [r["lang"] for r in got]
