@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,7 @@ class Vocabulary:
         self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.rank_of = dict(zip(self.pairs.tolist(), self.ranks.tolist()))
+        self.whole = rank
         self.cache: dict[str, bytes] = {}
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,7 +173,13 @@ class Vocabulary:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(pieces)
-        raw = sorted(((p.encode(), p) for p in new), key=lambda x: len(x[0]))
+        raw = []
+        for data, p in sorted(((p.encode(), p) for p in new), key=lambda x: len(x[0])):
+            rank = self.whole.get(data)  # a piece that is a token needs no merges
+            if rank is None:
+                raw.append((data, p))
+            else:
+                self.cache[p] = np.int32(rank).tobytes()
         at = len(raw)
         while at and len(raw[at - 1][0]) > LONG:
             at -= 1
@@ -187,6 +194,14 @@ class Vocabulary:
                 self.cache[piece] = ids
             at = end
 
+    def encode_long(self, pieces: Iterator[str], most: int = 100_000) -> np.ndarray:
+        """Ids of one text's pieces, of which no more than ``most`` are held at once."""
+        out = []
+        while own := list(islice(pieces, most)):
+            self.learn(set(own))
+            out.append(np.frombuffer(b"".join(map(self.cache.__getitem__, own)), np.int32))
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.length[ids]
         ends = np.cumsum(sizes)
@@ -219,17 +234,22 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, known = regex.compile(pattern).findall, _vocabulary(file.value)
+        cut, known = regex.compile(pattern), _vocabulary(file.value)
+        find = cut.findall
         for batch in batches:
             for lo, hi, data, offsets in B.slices(batch.column(column)):
                 raw = data.tobytes()
+                part = batch.slice(lo, hi - lo)
+                if hi == lo + 1 and len(raw) > B.SLICE_BYTES:  # one long text, some pieces at a time
+                    values = pa.array(known.encode_long(m.group() for m in cut.finditer(raw.decode("utf-8", "replace"))))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], [*part.schema.names, "ids"])
+                    continue
                 pieces = [find(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 known.learn(set(chain.from_iterable(pieces)))
                 look = known.cache.__getitem__
                 ids = [np.frombuffer(b"".join(map(look, p)), np.int32) for p in pieces]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), values)], [*part.schema.names, "ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
