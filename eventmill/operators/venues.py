@@ -79,34 +79,46 @@ def _least_runs(threshold: float) -> list[int]:
     return out if threshold >= 0.5 else [1] * 41
 
 
-def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO) -> DataFrame:
+def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO, expand: bool = True) -> DataFrame:
     """(a, b, match, score) of venue pairs alike in name, else in address, else in website domain.
 
     Distinct names and addresses are compared when they share a run of as many letters, 3 at most,
-    as the threshold implies for their lengths; domains are joined.
+    as the threshold implies for their lengths, and their letters alone don't keep them apart;
+    domains are joined. Without ``expand``, a venue stands for all that have its name, address or
+    domain: the first of each is paired with the firsts of those alike, and every other one with the
+    first of its own, so that the rows don't grow with the square of a group.
     """
     v = venues.select("ord", "slug", T.normalize_venue_text("title").alias("name"), T.normalize_venue_text(F.coalesce("address", F.lit(""))).alias("place"), U.extract_domain(F.coalesce("website", F.lit(""))).alias("domain"))
     runs = F.array(*map(F.lit, _least_runs(threshold)))
     beyond = F.lit(3 if threshold > 0.81 else 1)  # from 41 letters on
 
+    def equals(own: DataFrame, col: str) -> DataFrame:
+        """Pairs of venues with an equal value, or each venue but the first with the first of its value."""
+        if expand:
+            return own.alias("l").join(own.alias("r"), col).where("l.ord < r.ord").select(F.col("l.slug").alias("a"), F.col("r.slug").alias("b"))
+        first = own.groupBy(col).agg(F.min(F.struct("ord", "slug")).alias("f"), F.count("*").alias("n")).where("n > 1")
+        return own.join(first, col).where("ord > f.ord").select(F.col("f.slug").alias("a"), F.col("slug").alias("b"))
+
     def alike(col: str, least: int) -> DataFrame:
         own = v.where(F.length(col) > least).select("ord", "slug", T.normalize_name(col).alias("t"))
-        g = own.select("t").distinct().withColumn("n", F.length("t"))
-        g = g.select("t", "n", F.explode(F.sequence(F.coalesce(F.get(runs, F.col("n")), beyond), F.lit(3))).alias("q")).where("q <= n")
+        firsts = own.groupBy("t").agg(F.min(F.struct("ord", "slug")).alias("f")).select("t", "f.ord", "f.slug")
+        g = firsts.select("t", "ord").withColumn("n", F.length("t"))
+        g = g.select("t", "ord", "n", F.explode(F.sequence(F.coalesce(F.get(runs, F.col("n")), beyond), F.lit(3))).alias("q")).where("q <= n")
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring(F.col("t"), i, F.col("q"))))
-        g = g.select("t", "n", F.explode(grams).alias("gram"))
-        a, b = g.select(F.col("t").alias("x"), F.col("n").alias("nx"), "gram"), g.select(F.col("t").alias("y"), F.col("n").alias("ny"), "gram")
+        g = g.select("t", "ord", "n", F.explode(grams).alias("gram"))
+        a, b = (g.select(F.col("t").alias(x), F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n{x}"), "gram") for x in "xy")
         near = F.least("nx", "ny") * 2 >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - 1e-9
-        # both orders are scored, as matching blocks may depend on the order
-        texts = a.join(b, "gram").where("x <> y").where(near).select("x", "y").distinct()
+        # matching blocks may depend on the order: where members of both texts pair up, both are scored
+        order = F.col("x") != F.col("y") if expand else F.col("ord_x") < F.col("ord_y")
+        texts = a.join(b, "gram").where(order).where(near).select("x", "y").distinct()
+        texts = texts.where(T.most_similarity(T.letter_counts(F.col("x")), T.letter_counts(F.col("y"))) >= threshold - 1e-9)
         texts = texts.withColumn("score", T.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= threshold)
-        l, r = own.select(F.col("ord").alias("ord_a"), F.col("slug").alias("a"), F.col("t").alias("x")), own.select(F.col("ord").alias("ord_b"), F.col("slug").alias("b"), F.col("t").alias("y"))
+        named = own if expand else firsts
+        l, r = (named.select(F.col("ord").alias(f"ord_{k}"), F.col("slug").alias(k), F.col("t").alias(x)) for k, x in (("a", "x"), ("b", "y")))
         pairs = texts.join(l, "x").join(r, "y").where("ord_a < ord_b").select("a", "b", "score")
-        equal = l.join(r, F.col("x") == F.col("y")).where("ord_a < ord_b").select("a", "b", F.lit(1.0).alias("score"))
-        return pairs.unionByName(equal)
+        return pairs.unionByName(equals(own, "t").withColumn("score", F.lit(1.0)))
 
-    d = v.where("domain <> ''")
-    same = d.alias("l").join(d.alias("r"), "domain").where("l.ord < r.ord").select(F.col("l.slug").alias("a"), F.col("r.slug").alias("b"), F.lit(1.0).alias("score"))
+    same = equals(v.where("domain <> ''").select("ord", "slug", "domain"), "domain").withColumn("score", F.lit(1.0))
     found = alike("name", 0).withColumn("rank", F.lit(0)).unionByName(alike("place", MIN_ADDRESS).withColumn("rank", F.lit(1))).unionByName(same.withColumn("rank", F.lit(2)))
     first = found.groupBy("a", "b").agg(F.min_by(F.struct("rank", "score"), "rank").alias("m"))
     return first.select("a", "b", F.get(F.array(F.lit("name"), F.lit("address"), F.lit("website")), F.col("m.rank")).alias("match"), F.col("m.score").alias("score"))

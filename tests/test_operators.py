@@ -250,3 +250,11 @@ def test_letters_never_rule_out_similar_names(spark):
     df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     for x in df.select("a", "b", T.most_similarity(T.letter_counts(F.col("a")), T.letter_counts(F.col("b"))).alias("most"), T.normalized_similarity(F.col("a"), F.col("b")).alias("ratio")).collect():
         assert x["most"] >= x["ratio"] - 1e-9 and abs(x["ratio"] - difflib.SequenceMatcher(None, x["a"], x["b"]).ratio()) < 1e-9
+
+
+def test_duplicate_venues_by_first_of_each(spark):
+    """Without expansion every link between different texts is there, and each further venue hangs on the first of its text."""
+    names = ["klap", "kl ap", "klap", "klap", "salle verte", "salle vertes", "autre lieu", "salle verte"]
+    places = spark.createDataFrame([(i, f"v{i}", n, "http://x.org" if i in (3, 4, 6) else "") for i, n in enumerate(names)], "ord long, slug string, title string, website string").withColumn("address", F.lit(""))
+    got = {(r["a"], r["b"], r["match"]) for r in venues.find_duplicate_venues(places, expand=False).collect()}
+    assert got == {("v0", "v1", "name"), ("v0", "v2", "name"), ("v0", "v3", "name"), ("v4", "v5", "name"), ("v4", "v7", "name"), ("v3", "v4", "website"), ("v3", "v6", "website")}
