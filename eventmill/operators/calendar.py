@@ -79,12 +79,12 @@ def taxonomy_term_counts(items: DataFrame, taxonomies: dict[str, str]) -> DataFr
     return items.select(F.explode(F.concat(*pairs)).alias("x")).groupBy("x.taxonomy", "x.term").agg(F.count("*").alias("n"))
 
 
-def paginate(df: DataFrame, key: str | None, order: list[str], size: int = 30) -> DataFrame:
+def paginate(df: DataFrame, key: str, order: list[str], size: int = 30) -> DataFrame:
     """``df`` with ``page``, numbered within each ``key``.
 
     A listing has a key (a term, a year, a source), so that no window spans the table.
     """
-    w = Window.partitionBy(key).orderBy(*order) if key else Window.partitionBy(F.lit(0)).orderBy(*order)
+    w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("page", F.ceil(F.row_number().over(w) / size).cast("int"))
 
 

@@ -55,8 +55,8 @@ def extract_json_ld(pages: DataFrame) -> DataFrame:
     rows = pages.select("url", F.posexplode(raw).alias("block", "text"))
     text = F.trim(F.regexp_replace("text", r"[\r\n\t]+", " "))
     rows = rows.select("url", "block", F.try_parse_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))).alias("v")).where("v is not null")
-    rows.createOrReplaceTempView("__json_ld")
-    flat = rows.sparkSession.sql("select t.url, t.block, x.pos as inner_pos, x.value as item from __json_ld t, lateral variant_explode(t.v) x")
+    values = rows.sparkSession.tvf.variant_explode(F.col("v").outer())
+    flat = rows.lateralJoin(values).select("url", "block", F.col("pos").alias("inner_pos"), F.col("value").alias("item"))
     nth = F.row_number().over(Window.partitionBy("url").orderBy("block", "inner_pos"))
     return flat.select("url", nth.alias("pos"), "item")
 

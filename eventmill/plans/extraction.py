@@ -60,9 +60,9 @@ def enabled_sources(spark, d):
     return S.enabled_sources(s).select("id")
 
 
-@query("select 's' || s_suppkey as id from supplier where s_nationkey = 3")
+@query("select 's' || s_suppkey as id from supplier where s_nationkey % 5 = 3")
 def source_by_id_or_parser(spark, d):
-    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("parser"), F.col("s_nationkey").cast("string")).alias("parser"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("parser"), (F.col("s_nationkey") % 5).cast("string")).alias("parser"))
     return S.enabled_sources(s, "parser3").select("id")
 
 

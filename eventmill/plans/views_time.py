@@ -107,9 +107,9 @@ def cap_per_source(spark, d):
     return C.cap_per_key(rows, "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], 50).drop("l_shipdate")
 
 
-@query(f"with {EVENTS} select event_id from ev where not expired and not draft and cast(start_ts as date) between date '1998-06-01' and date '1998-06-07' and contains({_venue('''name || ' ' || description || ' ' || location''')}, 'ring')")
+@query(f"with {EVENTS} select event_id from ev where not expired and not draft and cast(start_ts as date) between date '1998-06-01' and date '1998-06-07' and contains({_venue('''name || ' ' || description || ' ' || location''')}, 'brand 1')")
 def search_events(spark, d):
-    return C.search_events(events(spark, d), "Ríng", as_of()).select("event_id")
+    return C.search_events(events(spark, d), "Bränd#1", as_of()).select("event_id")
 
 
 @query("""with i as (select p_partkey as id, lower(p_type) as c, lower(p_brand) as l, split_part(p_name, ' ', 1) as t from part),
