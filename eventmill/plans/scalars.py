@@ -242,15 +242,13 @@ def looks_like_date(spark, d):
 
 @query()
 def name_similarity(spark, d):
-    """Matching-block similarity of customers of one nation and segment whose numbers are neighbours."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", F.floor(F.col("c_custkey") / 8).alias("blk"))
-    e = c.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("other_name"), "blk")
-    pairs = c.join(e, "blk").where("c_custkey < other")
-    return pairs.select("c_custkey", "other", F.round(T.name_similarity(F.col("c_name"), F.col("other_name")), 6).alias("ratio"))
+    """Matching-block similarity of every event's name to its description; SQL has no such function."""
+    ratio = T.name_similarity(F.col("name"), F.col("description"))
+    return events(spark, d).select("event_id", F.round(ratio, 6).alias("ratio"))
 
 
-@query(f"select a.c_custkey, b.c_custkey as other, round(1 - levenshtein({_name('a.c_name')}, {_name('b.c_name')}) / greatest(length({_name('a.c_name')}), length({_name('b.c_name')})), 6) as ratio from customer a join customer b on a.c_custkey // 8 = b.c_custkey // 8 and a.c_custkey < b.c_custkey")
+@query(f"with {EVENTS}, x as (select event_id, {_name('name')} as a, {_name('description')} as b from ev) select event_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) as ratio from x")
 def edit_similarity(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", T.normalize_name("c_name").alias("x"), F.floor(F.col("c_custkey") / 8).alias("blk"))
-    e = c.select(F.col("c_custkey").alias("other"), F.col("x").alias("y"), "blk")
-    return c.join(e, "blk").where("c_custkey < other").select("c_custkey", "other", F.round(T.edit_similarity(F.col("x"), F.col("y")), 6).alias("ratio"))
+    """The built-in alternative over the same pairs."""
+    ratio = T.edit_similarity(T.normalize_name("name"), T.normalize_name("description"))
+    return events(spark, d).select("event_id", F.round(ratio, 6).alias("ratio"))
