@@ -39,6 +39,8 @@ ROWS_PER_BAND = 4
 BLOCK = 512
 #: Ids up to this number are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Counters of shingles, hashed, by which rare ones are told; only these come to the driver.
+COUNTERS = 1 << 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -216,14 +218,83 @@ def _block_pairs(placed: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.join(sides, ["key", "blk"]).where("only is null or comp <> only").select("key", "part", "half", "rep", "comp")
 
 
+def _groups(entries: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(key, m, hub) and (key, m, hub, rep) of the keys that several documents have, one of each membership.
+
+    ``entries`` has key and rep. Most keys are of one document: a table of bits keeps their entries
+    out of the join's shuffle.
+    """
+    keys = scratch.keep(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1"), f"keys{tag}")
+    several = marked(entries, keys, "key", scratch).where("__marked").drop("__marked")
+    several = scratch.keep(several.join(keys, "key").select("key", "m", "hub", "rep"), f"several{tag}")
+    # a hash is summed by halves, since 64-bit sums of whole hashes overflow in large groups
+    h = F.xxhash64("rep")
+    sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("sig3")
+    groups = several.groupBy("key", "m", "hub").agg(*sums).groupBy("m", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key"))
+    groups = scratch.keep(groups.select("key", "m", "hub"), f"groups{tag}")
+    members = scratch.keep(several.join(groups.select("key"), "key", "left_semi"), f"members{tag}")
+    scratch.drop(f"keys{tag}", f"several{tag}")
+    return groups, members
+
+
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (B.mix(values, 9) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+        bucket, n = np.unique(_bucket(values), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+
+def rare_ends(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The shingles of each set that come first in the order of frequency, as many as two linked sets have to share one of.
+
+    Linked sets share at least ``percent`` per cent of either, so that no more than the rest of a
+    set can come before the first shared shingle.
+    """
+    out = []
+    for s in sets:
+        order = np.lexsort((s, counts[_bucket(s)]))
+        out.append(s[order[: len(s) + percent * len(s) // -100 + 1]])
+    return out
+
+
+def _rare_batches(counts: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = rare_ends([np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], counts, percent)
+            reps = np.repeat(batch.column(0).to_numpy(), [len(e) for e in ends])
+            keys = np.concatenate(ends) if ends else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps)], ["key", "rep"])
+
+    return run
+
+
+def _sharing_rare(asked: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(key, rep, comp): the documents of ``asked`` (rep, comp) by the rare shingles that several components share."""
+    own = scratch.keep(sets.join(asked.select("rep"), "rep", "left_semi").select("rep", "shingles"), "asked-sets")
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in own.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
+    ends = scratch.keep(own.mapInArrow(_rare_batches(counts, percent), "key long, rep long"), "rare")
+    _, members = _groups(ends, scratch, "-2")
+    members = members.select("key", "rep").join(asked, "rep").select("key", "rep", "comp")
+    members = scratch.keep(members, "sharing")
+    split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return members.join(scratch.keep(split, "split-2"), "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
     Equal sets collapse into their least id first, so a large group of copies costs one row. A
-    candidate group is compared in blocks of ``BLOCK`` with its least member in each; only a group
-    of more than a block that is then still in several components has its blocks compared with
-    each other, and no pair of documents is ever a row.
+    candidate group is compared in blocks of ``BLOCK`` with its least member in each. The documents
+    of larger groups that are then still in several components are grouped anew, exactly, by the
+    rarest shingles of their sets, of which linked sets share one; such groups are compared in pairs
+    of blocks. So documents alike in their common words only don't meet, and no pair is ever a row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -239,18 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("sketches", "classes")
 
     entries = labelled.where("bands is not null and n_shingles > 0").select("rep", F.explode("bands").alias("key"))
-    keys = scratch.keep(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1"), "keys")
-    # most keys are of one document: their entries stay out of the join's shuffle
-    several = marked(entries, keys, "key", scratch).where("__marked").drop("__marked")
-    several = scratch.keep(several.join(keys, "key").select("key", "m", "hub", "rep"), "several")
-    # bands often gather the same documents: one group of each membership is enough; a hash is
-    # summed by halves, since 64-bit sums of whole hashes overflow in large groups
-    h = F.xxhash64("rep")
-    sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("sig3")
-    groups = several.groupBy("key", "m", "hub").agg(*sums).groupBy("m", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key"))
-    groups = scratch.keep(groups.select("key", "m", "hub"), "groups")
-    members = scratch.keep(several.join(groups.select("key"), "key", "left_semi"), "members")
-    scratch.drop("keys", "several")
+    groups, members = _groups(entries, scratch, "")
     ids = scratch.keep(members.select("rep").distinct(), "ids")
     n = ids.count()
     wanted = source.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, source["doc_id"] == ids["rep"], "left_semi")
@@ -271,7 +331,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = scratch.keep(placed, "placed")
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         placed = placed.join(scratch.keep(split, "split"), "key", "left_semi")
-        pairs = _block_pairs(placed, scratch)
+        asked = scratch.keep(placed.select("rep", "comp").distinct(), "asked")
+        pairs = _block_pairs(_sharing_rare(asked, sets, scratch, percent), scratch)
         found = scratch.keep(found.unionByName(_links(pairs, sets, percent)), "links-2")
         roots = scratch.keep(components(found, scratch), "roots-2")
 
