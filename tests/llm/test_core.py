@@ -87,3 +87,19 @@ def test_repeated_windows():
         got = S.repeated_windows(contexts, np.array(anchor), np.array(windows), length=64, block=16)
         all_windows = [c[i : i + 64] for c, n in zip(contexts, windows) for i in range(n)]
         assert got.tolist() == [all_windows.count(w) > 1 for w in all_windows]
+
+
+def test_linked_sets_share_a_rare_end():
+    r = random.Random(7)
+    counts = np.array([r.randrange(1, 9) for _ in range(N.COUNTERS)])
+    for percent in (80, 85):
+        sets = []
+        for _ in range(60):
+            base = [r.randrange(60) for _ in range(r.randrange(1, 30))]
+            sets += [np.unique(np.array([x if r.random() > 0.05 else r.randrange(60) for x in base], np.uint64)) for _ in range(2)]
+        ends = N.rare_ends(sets, counts, percent)
+        for a, x in zip(sets, ends):
+            assert len(x) == len(a) - -(-percent * len(a) // 100) + 1
+            for b, y in zip(sets, ends):
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    assert len(np.intersect1d(x, y))

@@ -447,3 +447,28 @@ def test_archives_are_gzip_members_that_can_be_sought(spark, tmp_path, monkeypat
         payload = block.partition(b"\r\n\r\n")[2]
         assert payload == b"" if r["record_type"] == "revisit" else len(payload) == r["payload_bytes"]
     assert {(r["record_type"], r["refers_to"]) for r in entries if r["page_id"] == 7} == {("revisit", 3), ("response", None)}
+
+
+def test_a_family_below_the_threshold_doesn_t_meet_in_full(spark, monkeypatch):
+    """A large group alike in its common words only: sets are compared by rare shingles, not block by block, and links across blocks are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    seen = spark.sparkContext.accumulator(0)
+    verifier = near_dedup._verifier
+
+    def counted(percent):
+        links = verifier(percent)
+
+        def run(group):
+            seen.add(group.num_rows)
+            return links(group)
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_verifier", counted)
+    r = random.Random(15)
+    base = samples.words(r, 80)
+    texts = [(i, " ".join([*base, *samples.words(r, 22)])) for i in range(150)]
+    texts += [(200 + i, texts[7 * i][1] + " end") for i in range(20)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == _components(texts) and len({c for _, c in got.values()}) == 150
+    assert seen.value < 12_000
