@@ -52,6 +52,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_PLACES = 1_000_000
 #: Spans of texts up to this number are broadcast (32 bytes each); beyond it the join shuffles.
 BROADCAST_SPANS = 1_000_000
+#: Bytes of contexts that a task hands on at once.
+OUT_BYTES = 4 << 20
 #: Symbols of one text that are searched for anchors at once.
 PIECE = 1 << 19
 _ROW = "t1 long, t2 long, key long, ctx long, lo int, hi int, p int"
@@ -194,10 +196,11 @@ def _bucket(length: int, unit: str):
 
 def _slice_batches(length: int, unit: str):
     width = UNITS[unit][0]
+    columns = [*_TEXT, "key", "weight", "lo", "hi", "p", "bytes"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for frame in batches:
-            out = []
             for text, t1, t2, places in frame.itertuples(index=False):
                 data = (text or "").encode()
                 if unit == "word":
@@ -205,7 +208,11 @@ def _slice_batches(length: int, unit: str):
                     data = symbols(raw, np.array([0, len(raw)]), unit)[0].tobytes()
                 for x in places:
                     out.append((t1, t2, x["key"], x["weight"], x["lo"], x["hi"], x["p"], data[x["lo"] * width : (x["hi"] + length) * width]))
-            yield pd.DataFrame(out, columns=[*_TEXT, "key", "weight", "lo", "hi", "p", "bytes"])
+                    size += len(out[-1][-1])
+                    if size > OUT_BYTES:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, size = [], 0
+        yield pd.DataFrame(out, columns=columns)
 
     return run
 
