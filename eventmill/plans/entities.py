@@ -9,7 +9,7 @@ from ..operators import duplicates as U
 from ..operators import publish as P
 from ..operators import venues as V
 from .scalars import _name, _slug, _url, _venue
-from .views import AS_OF, EVENTS, VENUES, as_of, events, query, table, venues
+from .views import EVENTS, VENUES, as_of, events, query, table, venues
 
 _ART = r"'^((le|la|les|l|un|une|des|du|de|d)( +|$))+'"
 _LOOKUP = f"""keys as (

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions import text as T
 from ..functions import urls as U
 from ..operators import audit as A
 from ..operators import extract as X
 from ..operators import html_rows as H
 from ..operators import rules as R
-from ..operators import venues as V
 from ..sources import pages as S
-from .scalars import _MONTHS, _url
-from .views import AS_OF, EVENTS, as_of, events, query, table
+from .scalars import _url
+from .views import EVENTS, as_of, events, query, table
 
 _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\\s+', ' ', 'g'))"
 _SITE = "regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)"
