@@ -39,13 +39,19 @@ def match_by_date_time_location(new: DataFrame, published: DataFrame) -> DataFra
     rated. Only the pairs that are alike enough are joined back to events.
     """
     slot = ["day", "time", "place"]
-    key = lambda df: df.select("*", _day(F.col("start_ts")).alias("day"), F.date_format("start_ts", "HH:mm").alias("time"), T.normalize_name("location").alias("place"), T.normalize_name("name").alias("norm")).where("place <> ''")
+
+    def key(df: DataFrame) -> DataFrame:
+        time = F.date_format("start_ts", "HH:mm").alias("time")
+        place, norm = (T.normalize_name(c).alias(k) for c, k in (("location", "place"), ("name", "norm")))
+        return df.select("*", _day(F.col("start_ts")).alias("day"), time, place, norm).where("place <> ''")
+
     a = key(new).select("source_id", F.col("norm").alias("new_name"), *slot)
     b = key(published).select("path", F.col("norm").alias("old_name"), *slot)
     letters = lambda df, c, n: df.select(*slot, c).distinct().withColumns({n: T.letter_counts(F.col(c))})
     pairs = letters(a, "new_name", "x").join(letters(b, "old_name", "y"), slot)
     alike = F.coalesce(T.most_similarity(F.col("x"), F.col("y")) > NEAR, F.lit(False))
-    rated = pairs.where(alike).select(*slot, "new_name", "old_name", T.normalized_similarity(F.col("new_name"), F.col("old_name")).alias("ratio")).where(F.col("ratio") > NEAR)
+    ratio = T.normalized_similarity(F.col("new_name"), F.col("old_name")).alias("ratio")
+    rated = pairs.where(alike).select(*slot, "new_name", "old_name", ratio).where(F.col("ratio") > NEAR)
     hit = a.join(rated, [*slot, "new_name"]).join(b, [*slot, "old_name"])
     confidence = F.when(F.col("ratio") > 0.7, SIMILAR).otherwise(MODERATE)
     return hit.select("source_id", "path", confidence.alias("confidence"), F.lit("date_time_location").alias("reason"))
@@ -61,12 +67,14 @@ def match_by_name_date(new: DataFrame, published: DataFrame) -> DataFrame:
 def combine_matches(new: DataFrame, matches: DataFrame) -> DataFrame:
     """One row for each new event: the best match (the least path among equals), and what follows from it."""
     # a name match counts only where nothing better than the merge threshold was found
-    best = matches.groupBy("source_id").agg(F.max(F.struct("confidence")).alias("top"), F.min_by("path", F.struct(-F.col("confidence"), "path")).alias("path"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    best = best.select("source_id", "path", F.col("top.confidence").alias("confidence"), "reasons")
+    best = matches.groupBy("source_id").agg(
+        F.max("confidence").alias("confidence"), F.min_by("path", F.struct(-F.col("confidence"), "path")).alias("path"), F.array_sort(F.collect_set("reason")).alias("reasons")
+    )
     out = new.select("source_id").join(best, "source_id", "left")
     c = F.coalesce("confidence", F.lit(0.0))
     reasons = F.filter(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: (r != "name_date") | (c < MERGE))
-    return out.select("source_id", F.when(c >= MODERATE, F.col("path")).alias("path"), c.alias("confidence"), F.array_join(reasons, ",").alias("reasons"), (c >= DUPLICATE).alias("is_duplicate"), (c >= MERGE).alias("should_merge"), ((c >= NEAR) & (c < DUPLICATE)).alias("is_near"))
+    flags = (c >= DUPLICATE).alias("is_duplicate"), (c >= MERGE).alias("should_merge"), ((c >= NEAR) & (c < DUPLICATE)).alias("is_near")
+    return out.select("source_id", F.when(c >= MODERATE, F.col("path")).alias("path"), c.alias("confidence"), F.array_join(reasons, ",").alias("reasons"), *flags)
 
 
 def detect_duplicates(new: DataFrame, published: DataFrame) -> DataFrame:

@@ -36,7 +36,9 @@ def resolve_venue(df: DataFrame, col: str, lookup: DataFrame) -> DataFrame:
     exact = names.join(lookup.select(F.col("key").alias("norm"), F.col("slug").alias("exact")), "norm", "left")
     lengths = lookup.agg(F.sort_array(F.collect_set(F.length("key"))).alias("lengths"))  # one row, bounded by the longest key
     lengths = lengths.first()["lengths"] or []
-    pieces = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.when(F.length("norm") >= n, F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n))).otherwise(F.array().cast("array<string>"))))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n))
+    inside = lambda n: F.when(F.length("norm") >= n, runs(n)).otherwise(F.array().cast("array<string>"))
+    pieces = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), inside))
     part = exact.where("exact is null").select("__raw", F.explode(F.array_distinct(pieces)).alias("key")).join(lookup, "key")
     longest = part.groupBy("__raw").agg(F.min_by("slug", F.struct(-F.length("key"), "key")).alias("inner"))
     known = exact.select("__raw", "exact").join(longest, "__raw", "left").select("__raw", F.coalesce("exact", "inner").alias("__slug"))
@@ -150,7 +152,8 @@ def render_venue_page(venues: DataFrame) -> DataFrame:
     line = lambda name, c: F.concat(F.lit(f"{name}: "), F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     kind = F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Salle de spectacle"))
-    page = F.concat_ws("\n", F.lit("---"), line("title", text("title")), line("description", text("description")), line("address", text("address")), line("website", text("website")), line("type", kind), alias, F.lit("---"), F.coalesce("body", F.lit("")))
+    fields = [line(c, text(c)) for c in ("title", "description", "address", "website")]
+    page = F.concat_ws("\n", F.lit("---"), *fields, line("type", kind), alias, F.lit("---"), F.coalesce("body", F.lit("")))
     return venues.select("slug", page.alias("page"))
 
 
