@@ -200,18 +200,23 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_pairs(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, part, half, rep, comp): members (key, rep, comp) of each pair of blocks to compare.
+    """(key, part, half, rep, comp): members (key, rep, comp, and m for a key's members) of each pair of blocks to compare.
 
-    Members are numbered by component and cut every ``BLOCK`` rows, so that a component of any size
-    fills blocks of its own. A pair of blocks of one and the same component is left out, and where
-    one side is of one component, so are the other side's members of it, before sets are joined.
+    Members of a key are dealt into lots of about eight blocks, numbered by component in each lot and
+    cut every ``BLOCK`` rows, so that no window grows with a group and a component of any size fills
+    blocks of its own. A pair of blocks of one and the same component is left out, and where one
+    side is of one component, so are the other side's members of it, before sets are joined.
     """
-    order = Window.partitionBy("key").orderBy("comp", "rep")
-    placed = placed.select("key", "rep", "comp", F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK)).cast("int").alias("blk"))
+    if "m" not in placed.columns:
+        placed = placed.join(placed.groupBy("key").agg(F.count("*").alias("m")), "key")
+    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / F.lit(8 * BLOCK)))
+    order = Window.partitionBy("key", "lot").orderBy("comp", "rep")
+    nth = F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK))
+    placed = placed.withColumn("lot", lot).select("key", "rep", "comp", (F.col("lot") * 64 + nth).cast("int").alias("blk"))
     placed = scratch.keep(placed, "blocked")
     ends = scratch.keep(placed.groupBy("key", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
     x, y = (ends.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("blk", "lo", "hi"))) for side in "xy")
-    both = x.join(y, "key").where("blk_x <= blk_y and lo_x < hi_y")
+    both = x.join(y, "key").where("blk_x <= blk_y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)")
     part = (F.col("blk_x").cast("long") * 1_000_000 + F.col("blk_y")).alias("part")
     sides = [both.select("key", part, F.lit(half).alias("half"), F.col(f"blk_{a}").alias("blk"), F.when(F.col(f"lo_{b}") == F.col(f"hi_{b}"), F.col(f"lo_{b}")).alias("only")) for half, a, b in ((0, "x", "y"), (1, "y", "x"))]
     sides = sides[0].unionByName(sides[1].where("part div 1000000 < part % 1000000"))
@@ -273,14 +278,14 @@ def _rare_batches(counts: np.ndarray, percent: int):
 
 
 def _sharing_rare(asked: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(key, rep, comp): the documents of ``asked`` (rep, comp) by the rare shingles that several components share."""
+    """(key, m, rep, comp): the documents of ``asked`` (rep, comp) by the rare shingles that several components share."""
     own = scratch.keep(sets.join(asked.select("rep"), "rep", "left_semi").select("rep", "shingles"), "asked-sets")
     counts = np.zeros(COUNTERS, np.int64)
     for r in own.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
     ends = scratch.keep(own.mapInArrow(_rare_batches(counts, percent), "key long, rep long"), "rare")
     _, members = _groups(ends, scratch, "-2")
-    members = members.select("key", "rep").join(asked, "rep").select("key", "rep", "comp")
+    members = members.select("key", "m", "rep").join(asked, "rep").select("key", "m", "rep", "comp")
     members = scratch.keep(members, "sharing")
     split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return members.join(scratch.keep(split, "split-2"), "key", "left_semi")
