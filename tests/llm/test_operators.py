@@ -397,14 +397,17 @@ def test_shards_keep_equal_texts_together(spark):
     table = kd_shard.points(df, scratch, 12)
     tree = kd_shard.build_tree(table, 12)
     got = table.withColumn("shard", tree.place()).collect()
-    parted = defaultdict(set)
-    for x in got:
-        parted[x["t1"], x["t2"]].add(x["shard"])
-    assert sum(len(s) > 1 for s in parted.values()) == 1
+    parted, weight, members = defaultdict(set), Counter(), Counter()
     load = Counter()
     for x in got:
+        parted[x["t1"], x["t2"]].add(x["shard"])
+        weight[x["t1"], x["t2"]] += x["size"]
+        members[x["t1"], x["t2"]] += 1
         load[x["shard"]] += x["size"]
     largest = max(x["size"] for x in got)
+    slack = max(kd_shard.SLACK * sum(load.values()) / 12, largest)
+    assert all(weight[k] > slack for k, s in parted.items() if len(s) > 1) and len(parted[weight.most_common(1)[0][0]]) > 1
+    assert sum(n > 1 and weight[k] <= slack for k, n in members.items()) > 20
     assert set(load) == set(range(12)) and max(load.values()) - min(load.values()) <= 4 * largest
     _check_cuts(tree, [x.asDict() for x in got], {d: max(x[d] for x in got) - min(x[d] for x in got) for d in kd_shard.DIMENSIONS})
 
