@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import buffers as B
 
 #: Pieces whose ids a worker remembers; the cache starts afresh when it is full.
-CACHE = 400_000
+CACHE = 200_000
 #: Pieces of more bytes than this are merged one by one.
 LONG = 256
 #: Bytes of pieces that are merged in step.

@@ -49,7 +49,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Let Arrow batches hold fewer rows than by default, unless the session already says how many.
 
     Rows here are whole documents, of which the default of 10,000 is tens of MB, several times over
