@@ -115,6 +115,12 @@ def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -147,6 +153,24 @@ select d.doc_id, coalesce(n.c, 0) as n_shingles, m.root as component_id, d.doc_i
 from documents d left join n on n.doc_id = d.doc_id join (select doc, min(root) as root from r group by 1) m on m.doc = d.doc_id"""
 
 
+_OP12 = r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+  + case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) then 4 else 0 end + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+  + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end as mask from w left join l using (doc_id)),
+c as (select part, mask, count(*) as n, sum(good) as g, sum(toxic) as x from m group by 1, 2),
+f(f, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e where a.f not in (b.f, c.f, d.f, e.f) and b.f not in (c.f, d.f, e.f) and c.f not in (d.f, e.f) and d.f <> e.f),
+s as (select filter_order, cast(k as integer) as step, f.bit as own, coalesce((select sum(g.bit) from f g where contains(filter_order[:k - 1], g.f)), 0)::integer as before from o, range(1, 6) r(k), f where f.f = filter_order[k]),
+r as (select part, filter_order, step, own,
+  cast(coalesce(sum(n) filter ((mask & (before | own)) = 0), 0) as bigint) as kept, cast(coalesce(sum(n) filter ((mask & before) = 0 and (mask & own) <> 0), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter ((mask & before) <> 0 and (mask & own) <> 0), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (mask = own), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(g) filter ((mask & before) = 0 and (mask & own) <> 0), 0) as bigint) as good_lost, cast(coalesce(sum(x) filter ((mask & before) = 0 and (mask & own) <> 0), 0) as bigint) as toxic_lost
+  from c, s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from r"""
+
 _OP13 = rf"""
 with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_AZ.format("text")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t),
@@ -165,4 +189,4 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't say the others: trained models, merges by rank, byte windows, mined rules and tree cuts."""
-    return {"op4_warc": _OP4, "op8_near_dedup": _OP8, "op13_collocations": _OP13}
+    return {"op4_warc": _OP4, "op8_near_dedup": _OP8, "op12_filter_audit": _OP12, "op13_collocations": _OP13}
