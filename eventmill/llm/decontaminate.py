@@ -9,6 +9,12 @@ name in the document, and the other way round. If they don't, only windows with
 count. Items with tokens that no such window covers (short ones, and those full of numbers, units
 or names) are also matched as written. Everything is a built-in expression.
 
+Whether names agree depends on which slots of the item bear the same name, not on the names, and
+numbers are free: items of one template and one such pattern are a class (``item_classes``), judged
+once for a document, and its least item stands for it. Windows without a slot, and windows as
+written, are one key each, whatever the number of items that hold them. A window that occurs again
+in its class with the same names counts at its first place.
+
 Defined results: null or empty texts match nothing; items of fewer than ``WINDOW`` tokens are
 matched as a whole, those of fewer than ``LITERALS`` as written only; repeated rows with one id count as one document; null ids are
 left out; other columns are ignored. A text's tokens and windows are arrays of one row, so that a task
@@ -88,20 +94,34 @@ def _windows(tokens: Column, n: int, exact: bool = False, told: bool = False) ->
     return let(tokens, build)
 
 
+def _bench(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, tokens, values, names, class): names has, for each name slot, the first slot with its name, else 0."""
+    bench = items.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
+    bench = bench.select("item_id", template_tokens(F.col("text")).alias("tokens"), surface_tokens(F.col("text")).alias("values")).where("size(tokens) > 0")
+    own = F.transform("tokens", lambda t, i: F.when(t.startswith(_NAME), F.get("values", i)))
+    names = let(own, lambda held: F.transform(held, lambda v: F.coalesce(F.array_position(held, v), F.lit(0)).cast("int")))
+    return bench.withColumn("names", names)
+
+
+def item_classes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(item_id, class) of every item with a token: the least item of its template and pattern of names."""
+    bench = _bench(items, item_col, item_text_col)
+    least = bench.groupBy("tokens", "names").agg(F.min("item_id").alias("class"))
+    return bench.join(least, ["tokens", "names"]).select("item_id", "class").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that match: doc_id, item_id, windows, slots, contaminated.
 
-    Items of the same words are one, the one of the least id; so are, for a window without a slot, all
-    items that hold it (``items`` has them). A phrase that thousands of items share costs a document
-    one row, not thousands.
+    item_id is the least item that holds a window, if that has no slot or is unchanged, or the least of
+    a class that the document re-parameterises (``item_classes`` has the others). What thousands of
+    items have in common costs a document one row, not thousands.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    bench = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_id is not null")
-    bench = bench.withColumns({"tokens": template_tokens(F.col("item_text")), "values": surface_tokens(F.col("item_text"))})
-    bench = bench.groupBy("tokens", "values").agg(F.min("item_id").alias("item_id"))
-    bench = scratch.keep(bench.withColumn("n", F.least(F.size("tokens"), F.lit(WINDOW))).where("n > 0"), "items")
+    bench = _bench(items, item_col, item_text_col).groupBy("tokens", "values", "names").agg(F.min("item_id").alias("item_id"))
+    bench = scratch.keep(bench.withColumn("n", F.least(F.size("tokens"), F.lit(WINDOW))), "items")
     none = F.array().cast(_TOLD_WINDOWS)
 
     def by_length(lengths: list[int], col: str, exact: bool) -> Column:
@@ -112,60 +132,65 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # 1 to WINDOW, no more
     long = [n for n in lengths if n >= LITERALS]
-    templates = scratch.keep(bench.select("item_id", "n", "tokens", "values", by_length(long, "tokens", False).alias("w")), "item-templates")
+    templates = scratch.keep(bench.select("item_id", "n", "tokens", "values", "names", by_length(long, "tokens", False).alias("w")), "item-templates")
     # items with tokens that no template covers are matched as written, too
     covered = F.flatten(F.transform("w", lambda x: F.sequence(x["pos"], x["pos"] + F.col("n") - 1)))
     bare = templates.where(F.size(F.array_except(F.sequence(F.lit(0), F.size("tokens") - 1), covered)) > 0)
     bare = bare.select("item_id", "n", F.filter(by_length(lengths, "values", True), lambda x: ~F.array_contains(F.transform("w", lambda y: y["pos"]), x["pos"])).alias("w"))
     bare = scratch.keep(bare, "item-exact")
     written = sorted(r["n"] for r in bare.select("n").distinct().collect())
-    unfold = lambda rows, exact: rows.select("item_id", "n", F.lit(exact).alias("exact"), F.explode("w").alias("w"))
-    keys = unfold(templates, False).unionByName(unfold(bare, True))
-    keys = keys.select(F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos"), "item_id", "n", F.col("w.slotted").alias("slotted"))
-    one = F.min(F.struct("item_id", "item_pos", "n")).alias("x")
-    plain_keys = keys.where("not slotted").groupBy("hash").agg(one).select("hash", "x.item_pos", "x.item_id", "x.n", F.lit(False).alias("slotted"))
-    keys = scratch.keep(keys.where("slotted").distinct().unionByName(plain_keys), "item-windows")
+
+    # a window: its hash, its place, the slots of names in it, and its words as written
+    span = F.slice("tokens", F.col("x.pos") + 1, F.col("n"))
+    at = F.filter(F.transform(span, lambda t, k: F.when(t.startswith(_NAME), k)), lambda k: k.isNotNull())
+    place = ["item_id", "n", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), "tokens", "names", "values", at.alias("at")]
+    slotted = templates.select("item_id", "n", "tokens", "values", "names", F.explode(F.filter("w", lambda x: x["slotted"])).alias("x")).select(*place)
+    slotted = scratch.keep(slotted, "item-slots")
+    plain = templates.select("item_id", "n", F.explode(F.filter("w", lambda x: ~x["slotted"])).alias("x")).unionByName(bare.select("item_id", "n", F.explode("w").alias("x")))
+    plain = plain.groupBy(F.col("x.hash").alias("hash")).agg(F.min("item_id").alias("item_id"), F.first("n").alias("n"))
+    open_keys = slotted.groupBy("hash").agg(F.first("n").alias("n"), F.first("at").alias("at"))  # equal for equal hashes
+    keys = plain.withColumn("at", F.lit(None).cast("array<int>")).unionByName(open_keys, allowMissingColumns=True)
+    keys = scratch.keep(keys, "keys")
     small = keys.count() <= BROADCAST_ROWS
+
     own = []
     if long:
         own.append(let(template_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n) for n in long])))
     if written:
         own.append(let(surface_tokens(F.col("text")), lambda t: F.concat(*[_windows(t, n, True) for n in written])))
     rows = source.select("doc_id", F.explode(F.concat(F.array().cast(_WINDOWS), *own)).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"))
-    hits = rows.join(F.broadcast(keys) if small else keys, "hash").select("doc_id", "pos", "item_id", "item_pos", "n", "slotted").distinct()
-    hits = scratch.keep(hits, "hits")
-    plain = hits.where("not slotted").groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("windows")).withColumn("slots", F.lit(0))
-
-    # windows of one offset overlap: tokens of the item that any of them covers
-    spans = hits.where("slotted").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count("*").alias("windows"), F.min("n").alias("n"), F.collect_list("item_pos").alias("starts"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)))).alias("at"),
-    )
-    asked = bench.select("item_id", "tokens", F.col("values").alias("asked"))
-    slot = lambda i: F.struct(F.substring(F.get("tokens", i), 1, 1).alias("kind"), F.get("asked", i).alias("asked"), i.alias("at"), (i + F.col("shift")).alias("pos"))
-    slots = F.transform(F.filter("at", lambda i: _is_slot(F.get("tokens", i))), slot)
-    spans = spans.join(asked, "item_id").select("doc_id", "item_id", "windows", "n", "starts", slots.alias("slots"))
-    # the document's own words are read once for all of its spans
-    open_spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "n", "starts", "slots")).alias("spans"))
-    open_spans = scratch.keep(open_spans, "open-spans")
-    places = F.aggregate("spans", F.lit(0), lambda s, x: s + F.size(x["starts"]) + F.size(x["slots"]))
-    few = (open_spans.agg(F.sum(places)).first()[0] or 0) <= BROADCAST_PLACES
-    joined = source.join(F.broadcast(open_spans) if few else open_spans, "doc_id")
-    count = lambda s, name: F.size(F.array_distinct(F.transform(s, lambda x: x[name])))
-
-    def judge(found: Column) -> Column:
-        def one(span: Column) -> Column:
-            pairs = F.array_distinct(F.transform(span["slots"], lambda x: F.struct(x["kind"].alias("kind"), x["asked"].alias("asked"), F.get(found, x["pos"]).alias("found"))))
-            # numbers and units may change freely; names are consistent if they have as many pairs as values on either side
-            names = F.filter(pairs, lambda x: x["kind"] == _NAME)
-            ok = let(names, lambda s: (F.size(s) == count(s, "asked")) & (F.size(s) == count(s, "found")))
-            # windows whose slots hold the item's own values count whatever the other slots say
-            changed = F.transform(F.filter(span["slots"], lambda x: ~F.get(found, x["pos"]).eqNullSafe(x["asked"])), lambda x: x["at"])
-            same = let(changed, lambda c: F.size(F.filter(span["starts"], lambda p: ~F.exists(c, lambda q: (q >= p) & (q < p + span["n"]))))).cast("long")
-            return F.struct(span["item_id"].alias("item_id"), F.when(ok, span["windows"]).otherwise(same).alias("windows"), F.when(ok, F.size(pairs)).otherwise(0).alias("slots"))
-
-        return F.transform("spans", one)
-
-    judged = joined.select("doc_id", F.explode(let(surface_tokens(F.col("text")), judge)).alias("x")).select("doc_id", "x.*").where("windows > 0")
-    kept = plain.unionByName(judged).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
+    hits = scratch.keep(rows.join(F.broadcast(keys) if small else keys, "hash").distinct(), "hits")
+    told = hits.where("item_id is not null").groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("plain"))
+
+    # the document's own words are read once for all of its open places, of which there are no more than tokens
+    places = hits.where("item_id is null").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n", "hash", "at")).alias("places"))
+    places = scratch.keep(places, "places")
+    few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+
+    def read(values: Column) -> Column:
+        window = lambda p: F.slice(values, p["pos"] + 1, p["n"])
+        names = lambda p: F.transform(p["at"], lambda k: F.xxhash64(F.get(values, p["pos"] + k)))
+        return F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), p["hash"].alias("hash"), F.xxhash64(p["hash"], window(p)).alias("written"), names(p).alias("found")))
+
+    joined = source.join(F.broadcast(places) if few else places, "doc_id")
+    found = scratch.keep(joined.select("doc_id", F.explode(let(surface_tokens(F.col("text")), read)).alias("x")).select("doc_id", "x.*").distinct(), "open")
+
+    # windows whose slots hold an item's own values count whatever the other slots say
+    written_keys = slotted.groupBy(F.xxhash64("hash", F.slice("values", F.col("item_pos") + 1, F.col("n"))).alias("written")).agg(F.min("item_id").alias("item_id"))
+    same = found.join(written_keys, "written").groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("slotted"))
+
+    # the others count for a class if names agree in all windows of one offset
+    least = bench.groupBy("tokens", "names").agg(F.min("item_id").alias("class"))
+    firsts = F.transform("at", lambda k: F.get("names", F.col("item_pos") + k))
+    of_class = slotted.join(least, ["tokens", "names"]).select("class", "hash", "item_pos", firsts.alias("asked")).groupBy("class", "hash", "asked").agg(F.min("item_pos").alias("item_pos"))
+    of_class = scratch.keep(of_class, "class-windows")
+    pairs = F.transform(F.arrays_zip("asked", "found"), lambda x: F.struct(x["asked"].alias("asked"), x["found"].alias("found")))
+    spans = found.join(of_class, "hash").groupBy("doc_id", F.col("class").alias("item_id"), (F.col("pos") - F.col("item_pos")).alias("shift"))
+    spans = spans.agg(F.count_distinct("pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    count = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda x: x[name])))
+    agree = spans.where((F.size("pairs") == count("asked")) & (F.size("pairs") == count("found")))
+    agree = agree.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("slotted"), F.max(F.size("pairs")).cast("long").alias("slots"))
+
+    kept = told.unionByName(same, allowMissingColumns=True).unionByName(agree, allowMissingColumns=True).groupBy("doc_id", "item_id")
+    kept = kept.agg((F.coalesce(F.sum("plain"), F.lit(0)) + F.coalesce(F.max("slotted"), F.lit(0))).alias("windows"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"))
     return kept.withColumn("contaminated", F.lit(True))

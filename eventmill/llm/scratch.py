@@ -49,15 +49,15 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Let Arrow batches hold fewer rows than by default, unless the session already says how many.
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
+    """Let Arrow batches end at ``size``, unless the session already says where.
 
-    Rows here are whole documents, of which the default of 10,000 is tens of MB, several times over
-    in each task. Results are lazy, so that this holds for the session from here on, not for one call.
+    Rows here are whole documents: the default of 64 MB is several times as much in each task. A batch
+    holds one row more than fits. Results are lazy, so that this holds for the session from here on.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) == 10000:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(key, size)
 
 
 class Scratch:

@@ -91,3 +91,22 @@ def test_a_phrase_of_many_items_is_one_row(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("please "), F.lit(phrase)).alias("text"))
     got = D.contaminated(docs, items).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 0) for i in range(50)]
+
+
+def test_variants_of_one_question_are_one_class(spark):
+    """Items that differ in their numbers or names only give a document one row, and the classes have the rest."""
+    said = lambda name, a, b: f"on a cold day {name} walks {a} km and then {b} km more to the old mill, how far in all"
+    items = spark.createDataFrame([(i, said(["Anna", "Bob", "Carl"][i % 3], i + 3, 2 * i + 7)) for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"somebody told that {said('Zoe', 90_000 + i, 80_000 + i)} and went away") for i in range(200)], "doc_id long, text string")
+    got = D.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 0) for i in range(200)]
+    assert D.item_classes(items).groupBy("class").count().collect()[0].asDict() == {"class": 0, "count": 3000}
+
+
+def test_patterns_of_names_part_classes(spark):
+    items = [(1, "so then Anna gave the red ball to Bob and later on Bob gave it back to Anna again"), (2, "so then Anna gave the red ball to Bob and later on Carl gave it back to Dora again")]
+    docs = [(1, "so then Eva gave the red ball to Finn and later on Finn gave it back to Eva again"), (2, "so then Eva gave the red ball to Finn and later on Gus gave it back to Hal again")]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    # windows without a name are shared by both items and count for the lesser one
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(*frames).where("slots > 0").collect()} == {(1, 1), (2, 2)}
+    assert D.item_classes(frames[1]).count() == 2
