@@ -37,6 +37,10 @@ COORDINATES = 128
 ROWS_PER_BAND = 4
 #: Documents that one task compares with each other; larger groups are cut into blocks of this size.
 BLOCK = 512
+#: Bytes of the shingle sets of a block, of which a larger set is one alone.
+BLOCK_BYTES = 32 << 20
+#: Shingles whose intersections are counted at once; more are cut by ranges of their hashes.
+AT_ONCE = 1 << 20
 #: Ids up to this number are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Counters of shingles, hashed, by which rare ones are told; only these come to the driver.
@@ -126,9 +130,22 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections between two lists of sorted distinct arrays.
 
-    A shingle of one set only never counts, so what is held is a 0/1 matrix over shared shingles,
-    a few thousand columns at a time.
+    Large lists are cut by ranges of values, whose partial intersections add up.
     """
+    whole = sum(map(len, left)) + sum(map(len, right))
+    if whole <= AT_ONCE:
+        return _intersections(left, right)
+    parts = -(-whole // AT_ONCE)
+    cuts = np.array([k * (1 << 64) // parts for k in range(1, parts)], np.uint64)
+    at = [[np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]) for s in x] for x in (left, right)]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for k in range(parts):
+        out += _intersections(*([s[a[k] : a[k + 1]] for s, a in zip(x, own)] for x, own in zip((left, right), at))).astype(np.int64)
+    return out
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """A shingle of one set only never counts, so what is held is a 0/1 matrix over shared shingles, a few thousand columns at a time."""
     both = np.concatenate([*left, *right])
     side = np.concatenate([np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)])
     cut = sum(map(len, left))
@@ -203,40 +220,43 @@ def _block_pairs(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, part, half, rep, comp): members (key, rep, comp, and m for a key's members) of each pair of blocks to compare.
 
     Members of a key are dealt into lots of about eight blocks, numbered by component in each lot and
-    cut every ``BLOCK`` rows, so that no window grows with a group and a component of any size fills
-    blocks of its own. A pair of blocks of one and the same component is left out, and where one
+    cut every ``BLOCK`` rows or ``BLOCK_BYTES`` (of ``size`` shingles), so that no window grows with a
+    group and a component of any size fills blocks of its own. A pair of blocks of one and the same component is left out, and where one
     side is of one component, so are the other side's members of it, before sets are joined.
     """
-    if "m" not in placed.columns:
-        placed = placed.join(placed.groupBy("key").agg(F.count("*").alias("m")), "key")
-    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / F.lit(8 * BLOCK)))
-    order = Window.partitionBy("key", "lot").orderBy("comp", "rep")
-    nth = F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK))
-    placed = placed.withColumn("lot", lot).select("key", "rep", "comp", (F.col("lot") * 64 + nth).cast("int").alias("blk"))
+    if "size" not in placed.columns:
+        placed = placed.withColumn("size", F.lit(0))
+    # what a member fills of a block, in millionths
+    placed = placed.withColumn("fill", F.greatest(F.lit(1_000_000 // BLOCK), F.floor(F.col("size") * 8e6 / BLOCK_BYTES)).cast("long"))
+    filled = scratch.keep(placed.groupBy("key").agg(F.sum("fill").alias("filled")), "filled")
+    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("filled") / F.lit(8_000_000)))
+    order = Window.partitionBy("key", "lot").orderBy("comp", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nth = F.floor((F.sum("fill").over(order) - 1) / F.lit(1_000_000))
+    placed = placed.join(filled, "key").withColumn("lot", lot).select("key", "rep", "comp", F.xxhash64("lot", nth).alias("blk"))
     placed = scratch.keep(placed, "blocked")
     ends = scratch.keep(placed.groupBy("key", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
     x, y = (ends.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("blk", "lo", "hi"))) for side in "xy")
     both = x.join(y, "key").where("blk_x <= blk_y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)")
-    part = (F.col("blk_x").cast("long") * 1_000_000 + F.col("blk_y")).alias("part")
-    sides = [both.select("key", part, F.lit(half).alias("half"), F.col(f"blk_{a}").alias("blk"), F.when(F.col(f"lo_{b}") == F.col(f"hi_{b}"), F.col(f"lo_{b}")).alias("only")) for half, a, b in ((0, "x", "y"), (1, "y", "x"))]
-    sides = sides[0].unionByName(sides[1].where("part div 1000000 < part % 1000000"))
+    part = F.xxhash64("blk_x", "blk_y").alias("part")
+    sides = [pairs.select("key", part, F.lit(half).alias("half"), F.col(f"blk_{a}").alias("blk"), F.when(F.col(f"lo_{b}") == F.col(f"hi_{b}"), F.col(f"lo_{b}")).alias("only")) for pairs, half, a, b in ((both, 0, "x", "y"), (both.where("blk_x < blk_y"), 1, "y", "x"))]
+    sides = sides[0].unionByName(sides[1])
     return placed.join(sides, ["key", "blk"]).where("only is null or comp <> only").select("key", "part", "half", "rep", "comp")
 
 
 def _groups(entries: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFrame, DataFrame]:
-    """(key, m, hub) and (key, m, hub, rep) of the keys that several documents have, one of each membership.
+    """(key, m, w, hub) and (key, m, w, hub, rep, size) of the keys that several documents have, one of each membership.
 
-    ``entries`` has key and rep. Most keys are of one document: a table of bits keeps their entries
+    ``entries`` has key, rep and size; w sums the sizes. Most keys are of one document: a table of bits keeps their entries
     out of the join's shuffle.
     """
-    keys = scratch.keep(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1"), f"keys{tag}")
+    keys = scratch.keep(entries.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("w"), F.min("rep").alias("hub")).where("m > 1"), f"keys{tag}")
     several = marked(entries, keys, "key", scratch).where("__marked").drop("__marked")
-    several = scratch.keep(several.join(keys, "key").select("key", "m", "hub", "rep"), f"several{tag}")
+    several = scratch.keep(several.join(keys, "key").select("key", "m", "w", "hub", "rep", "size"), f"several{tag}")
     # a hash is summed by halves, since 64-bit sums of whole hashes overflow in large groups
     h = F.xxhash64("rep")
     sums = F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("sig1"), F.sum(F.shiftrightunsigned(h, 32)).alias("sig2"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("sig3")
-    groups = several.groupBy("key", "m", "hub").agg(*sums).groupBy("m", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key"))
-    groups = scratch.keep(groups.select("key", "m", "hub"), f"groups{tag}")
+    groups = several.groupBy("key", "m", "w", "hub").agg(*sums).groupBy("m", "w", "sig1", "sig2", "sig3", "hub").agg(F.min("key").alias("key"))
+    groups = scratch.keep(groups.select("key", "m", "w", "hub"), f"groups{tag}")
     members = scratch.keep(several.join(groups.select("key"), "key", "left_semi"), f"members{tag}")
     scratch.drop(f"keys{tag}", f"several{tag}")
     return groups, members
@@ -278,14 +298,14 @@ def _rare_batches(counts: np.ndarray, percent: int):
 
 
 def _sharing_rare(asked: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(key, m, rep, comp): the documents of ``asked`` (rep, comp) by the rare shingles that several components share."""
+    """(key, rep, comp, size): the documents of ``asked`` (rep, comp, size) by the rare shingles that several components share."""
     own = scratch.keep(sets.join(asked.select("rep"), "rep", "left_semi").select("rep", "shingles"), "asked-sets")
     counts = np.zeros(COUNTERS, np.int64)
     for r in own.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
-    ends = scratch.keep(own.mapInArrow(_rare_batches(counts, percent), "key long, rep long"), "rare")
+    ends = scratch.keep(own.mapInArrow(_rare_batches(counts, percent), "key long, rep long").withColumn("size", F.lit(0).cast("long")), "rare")
     _, members = _groups(ends, scratch, "-2")
-    members = members.select("key", "m", "rep").join(asked, "rep").select("key", "m", "rep", "comp")
+    members = members.select("key", "rep").join(asked, "rep").select("key", "rep", "comp", "size")
     members = scratch.keep(members, "sharing")
     split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return members.join(scratch.keep(split, "split-2"), "key", "left_semi")
@@ -314,29 +334,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = scratch.keep(labelled, "labelled")
     scratch.drop("sketches", "classes")
 
-    entries = labelled.where("bands is not null and n_shingles > 0").select("rep", F.explode("bands").alias("key"))
+    entries = labelled.where("bands is not null and n_shingles > 0").select("rep", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     groups, members = _groups(entries, scratch, "")
     ids = scratch.keep(members.select("rep").distinct(), "ids")
     n = ids.count()
     wanted = source.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, source["doc_id"] == ids["rep"], "left_semi")
     sets = scratch.keep(wanted.mapInArrow(_set_batches, "rep long, shingles binary").where("rep is not null"), "sets")
 
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("w") * F.lit(8 / BLOCK_BYTES))).cast("int")
     dealt = members.select("key", "rep", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("part"))
-    hubs = groups.where(F.col("m") > BLOCK).select("key", F.col("hub").alias("rep"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))
+    hubs = groups.where(blocks > 1).select("key", F.col("hub").alias("rep"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))
     first = dealt.unionByName(hubs).select("key", "part", F.lit(0).alias("half"), "rep", F.col("rep").alias("comp"))
     named = labelled.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     found = _links(first, sets, percent).unionByName(named.select("a", F.explode("reps").alias("b")))
     found = scratch.keep(found.where("a <> b"), "links-1")
     roots = scratch.keep(components(found, scratch), "roots-1")
 
-    large = members.where(F.col("m") > BLOCK)
+    large = members.where(blocks > 1)
     if not large.isEmpty():
-        placed = large.join(roots, large["rep"] == roots["id"], "left").select("key", "m", "rep", F.coalesce("root", "rep").alias("comp"))
+        placed = large.join(roots, large["rep"] == roots["id"], "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("comp"))
         placed = scratch.keep(placed, "placed")
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         placed = placed.join(scratch.keep(split, "split"), "key", "left_semi")
-        asked = scratch.keep(placed.select("rep", "comp").distinct(), "asked")
+        asked = scratch.keep(placed.select("rep", "comp", "size").distinct(), "asked")
         pairs = _block_pairs(_sharing_rare(asked, sets, scratch, percent), scratch)
         found = scratch.keep(found.unionByName(_links(pairs, sets, percent)), "links-2")
         roots = scratch.keep(components(found, scratch), "roots-2")

@@ -49,6 +49,14 @@ def test_every_coordinate_is_filled_and_estimates_similarity():
         assert abs((s[0] == s[1]).mean() - true) < 0.2
 
 
+def test_intersections_by_ranges(monkeypatch):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.choice(r.integers(0, 2**64 - 1, 400, dtype=np.uint64), n)) for n in (0, 1, 50, 300, 200, 399)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    monkeypatch.setattr(N, "AT_ONCE", 100)
+    assert N.intersections(sets, sets).tolist() == want
+
+
 def test_intersections():
     r = random.Random(2)
     sets = [np.unique(np.array([r.randrange(40) for _ in range(r.randrange(1, 30))], np.uint64)) for _ in range(12)]

@@ -55,6 +55,16 @@ def test_near_duplicates(docs, block, monkeypatch):
     assert len({c for _, c in got.values()}) < 36
 
 
+def test_blocks_end_by_bytes(docs, spark, monkeypatch):
+    """Long texts fill blocks by their sets' bytes: the same links, and no pair of blocks over two bounds and a set."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 6000)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == _components(samples.corpus())
+    placed = spark.range(400).select(F.lit(1).alias("key"), F.col("id").alias("rep"), F.col("id").alias("comp"), F.lit(100).alias("size"))
+    by_pair = near_dedup._block_pairs(placed, Scratch(spark, "test")).groupBy("key", "part").agg(F.count("*").alias("n"))
+    assert by_pair.agg(F.max("n")).first()[0] <= 2 * (6000 // 800 + 1)
+
+
 def test_large_groups_of_near_copies_stay_in_blocks(spark, monkeypatch):
     """Linked variants beside an outlier: no task gets more than two blocks, and one pair of blocks of one component isn't compared."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
