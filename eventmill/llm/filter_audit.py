@@ -42,12 +42,15 @@ COPY = BIT["E"]
 
 #: Rows (without texts) that a task folds at once.
 FOLD = 100_000
+#: Keys that the sums of a mask are dealt to.
+SALT = 16
 #: Micro-batches that all files are dealt to, if there are so many files.
 BATCHES = 4
 #: State lies on the executors' disks, not in their heaps, and goes to the checkpoint by its changes.
 _STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # stores are many and small
 }
 
 _UPPER = bytes(range(65, 91))
@@ -78,7 +81,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def folded(rows: pd.DataFrame) -> pd.DataFrame:
     """Rows with the least id of their text, as they are, and sums of all others, which are copies; ``n`` counts rows.
 
-    Sums have the key of one byte, which no text has, and no id. Rows without an id are sums that aren't copies.
+    Sums have keys of two bytes, which no text has, dealt by one text of the fold, and no id. Rows without
+    an id are sums that aren't copies.
     """
     least = rows.groupby("key")["doc_id"].transform("min")
     first = (rows["doc_id"] == least).fillna(False).astype(bool)  # a text whose rows have no id has none
@@ -86,7 +90,8 @@ def folded(rows: pd.DataFrame) -> pd.DataFrame:
     rest["mask"] = np.where(rest["doc_id"].isna(), rest["mask"], rest["mask"] | COPY)
     by = ["part", "mask", "good", "toxic"]
     sums = rest.groupby(by, as_index=False).size().rename(columns={"size": "n"})
-    sums["key"] = [bytes([m]) for m in sums["mask"]]
+    salt = bytes(rows["key"].iloc[0])[0] % SALT if len(rows) else 0
+    sums["key"] = [bytes([m, salt]) for m in sums["mask"]]
     sums["doc_id"] = pd.Series(pd.NA, index=sums.index, dtype="Int64")
     kept = rows[first].groupby(["key", "doc_id", *by], as_index=False).size().rename(columns={"size": "n"})
     columns = [x.split()[0] for x in _FOLDED.split(", ")]

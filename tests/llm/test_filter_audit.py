@@ -99,7 +99,7 @@ def test_folding_keeps_least_rows_and_sums(spark):
     rows = pd.DataFrame([(b"x" * 16, 5, "a", 1, False, False)] * 2 + [(b"x" * 16, 9, "b", 1, True, False)] * 3 + [(b"x" * 16, None, "a", 1, False, False), (b"y" * 16, None, "a", 2, False, True)], columns=["key", "doc_id", "part", "mask", "good", "toxic"])
     rows["doc_id"] = rows["doc_id"].astype("Int64")
     got = {(len(r.key), None if pd.isna(r.doc_id) else int(r.doc_id), r.part, r.mask, r.good, r.toxic): r.n for r in A.folded(rows).itertuples()}
-    assert got == {(16, 5, "a", 1, False, False): 2, (1, None, "b", 17, True, False): 3, (1, None, "a", 1, False, False): 1, (1, None, "a", 2, False, True): 1}
+    assert got == {(16, 5, "a", 1, False, False): 2, (2, None, "b", 17, True, False): 3, (2, None, "a", 1, False, False): 1, (2, None, "a", 2, False, True): 1}
 
 
 def test_a_folder_or_one_file_and_no_rows(spark, tmp_path):
