@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.snapshots import SnapshotTable
 
 # confidences of the matchers, and what follows from them
 URL, SIMILAR, MODERATE, NAME = 0.95, 0.85, 0.6, 0.75
@@ -24,44 +25,74 @@ def anti_join_source_id(new: DataFrame, published: DataFrame) -> DataFrame:
     return new.join(published.select("source_id").where("source_id is not null").distinct(), "source_id", "left_anti")
 
 
-def match_by_url(new: DataFrame, published: DataFrame) -> DataFrame:
-    """(source_id, path, confidence, reason): the same URL in normal form; the last path of a URL stands for it."""
-    last = published.select(U.normalize_url("event_url").alias("url"), "path").where("url <> ''").groupBy("url").agg(F.max("path").alias("path"))
+def url_entries(published: DataFrame) -> DataFrame:
+    """(url, path): the URL in normal form."""
+    return published.select(U.normalize_url("event_url").alias("url"), "path").where("url <> ''")
+
+
+def _slot(events: DataFrame, own: str) -> DataFrame:
+    place, norm = (T.normalize_name(c).alias(k) for c, k in (("location", "place"), ("name", "norm")))
+    return events.select(own, _day(F.col("start_ts")).alias("day"), F.date_format("start_ts", "HH:mm").alias("time"), place, norm).where("place <> ''")
+
+
+def slot_entries(published: DataFrame) -> DataFrame:
+    """(day, time, place, norm, path): norm is the name in normal form."""
+    return _slot(published, "path")
+
+
+def _named(events: DataFrame, own: str) -> DataFrame:
+    return events.select(own, T.normalize_name("name").alias("key"), _day(F.col("start_ts")).alias("day")).where("key <> ''")
+
+
+def name_entries(published: DataFrame) -> DataFrame:
+    """(key, day, path): key is the name in normal form."""
+    return _named(published, "path")
+
+
+def match_urls(new: DataFrame, entries: DataFrame) -> DataFrame:
+    """Matches of ``new`` with ``url_entries``; the last path of a URL stands for it."""
+    last = entries.groupBy("url").agg(F.max("path").alias("path"))
     asked = new.select("source_id", U.normalize_url("event_url").alias("url")).where("url <> ''")
     return asked.join(last, "url").select("source_id", "path", F.lit(URL).alias("confidence"), F.lit("url").alias("reason"))
 
 
-def match_by_date_time_location(new: DataFrame, published: DataFrame) -> DataFrame:
-    """The same day, time and place, and a name that is similar or at least moderately so.
+def match_slots(new: DataFrame, entries: DataFrame) -> DataFrame:
+    """Matches of ``new`` with ``slot_entries``: the best name of the slot, the least path among equals.
 
-    Names are normalised once and each pair of different names of a (day, time, place) is rated once,
-    whatever the events that bear them; pairs whose letters alone keep them from being alike aren't
-    rated. Only the pairs that are alike enough are joined back to events.
+    Each pair of different names of a slot is rated once, whatever the events that bear them; pairs
+    whose letters alone keep them from being alike aren't rated. One row of each name meets.
     """
     slot = ["day", "time", "place"]
-
-    def key(df: DataFrame) -> DataFrame:
-        time = F.date_format("start_ts", "HH:mm").alias("time")
-        place, norm = (T.normalize_name(c).alias(k) for c, k in (("location", "place"), ("name", "norm")))
-        return df.select("*", _day(F.col("start_ts")).alias("day"), time, place, norm).where("place <> ''")
-
-    a = key(new).select("source_id", F.col("norm").alias("new_name"), *slot)
-    b = key(published).select("path", F.col("norm").alias("old_name"), *slot)
-    letters = lambda df, c, n: df.select(*slot, c).distinct().withColumns({n: T.letter_counts(F.col(c))})
-    pairs = letters(a, "new_name", "x").join(letters(b, "old_name", "y"), slot)
+    a = _slot(new, "source_id").withColumnRenamed("norm", "new_name")
+    b = entries.groupBy(*slot, F.col("norm").alias("old_name")).agg(F.min("path").alias("path"))
+    pairs = a.select(*slot, "new_name").distinct().withColumn("x", T.letter_counts(F.col("new_name"))).join(b.withColumn("y", T.letter_counts(F.col("old_name"))), slot)
     alike = F.coalesce(T.most_similarity(F.col("x"), F.col("y")) > NEAR, F.lit(False))
     ratio = T.normalized_similarity(F.col("new_name"), F.col("old_name")).alias("ratio")
-    rated = pairs.where(alike).select(*slot, "new_name", "old_name", ratio).where(F.col("ratio") > NEAR)
-    hit = a.join(rated, [*slot, "new_name"]).join(b, [*slot, "old_name"])
+    rated = pairs.where(alike).select(*slot, "new_name", "path", ratio).where(F.col("ratio") > NEAR)
     confidence = F.when(F.col("ratio") > 0.7, SIMILAR).otherwise(MODERATE)
-    return hit.select("source_id", "path", confidence.alias("confidence"), F.lit("date_time_location").alias("reason"))
+    best = rated.withColumn("confidence", confidence).groupBy(*slot, "new_name").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "path")).alias("x"))
+    return a.join(best, [*slot, "new_name"]).select("source_id", "x.path", (-F.col("x.minus")).alias("confidence"), F.lit("date_time_location").alias("reason"))
+
+
+def match_names(new: DataFrame, entries: DataFrame) -> DataFrame:
+    """Matches of ``new`` with ``name_entries``, the least path of a name and day."""
+    least = entries.groupBy("key", "day").agg(F.min("path").alias("path"))
+    return _named(new, "source_id").join(least, ["key", "day"]).select("source_id", "path", F.lit(NAME).alias("confidence"), F.lit("name_date").alias("reason"))
+
+
+def match_by_url(new: DataFrame, published: DataFrame) -> DataFrame:
+    """(source_id, path, confidence, reason): the same URL in normal form; the last path of a URL stands for it."""
+    return match_urls(new, url_entries(published))
+
+
+def match_by_date_time_location(new: DataFrame, published: DataFrame) -> DataFrame:
+    """The same day, time and place, and a name that is similar or at least moderately so: the best one, of the least path."""
+    return match_slots(new, slot_entries(published))
 
 
 def match_by_name_date(new: DataFrame, published: DataFrame) -> DataFrame:
-    """The same normalised name on the same day."""
-    key = lambda df: df.select("*", T.normalize_name("name").alias("key"), _day(F.col("start_ts")).alias("day")).where("key <> ''")
-    hit = key(new).select("source_id", "key", "day").join(key(published).select("path", "key", "day"), ["key", "day"])
-    return hit.select("source_id", "path", F.lit(NAME).alias("confidence"), F.lit("name_date").alias("reason"))
+    """The same normalised name on the same day; the least path of those."""
+    return match_names(new, name_entries(published))
 
 
 def combine_matches(new: DataFrame, matches: DataFrame) -> DataFrame:
@@ -138,3 +169,8 @@ def merge_duplicates(published: DataFrame, found: DataFrame, as_of: Column) -> D
     out = both.withColumns({f"__{k}": v for k, v in new.items()} | {"changes": changed})
     out = out.withColumns({k: F.col(f"__{k}") for k in new} | {"last_crawled": F.when(F.size("changes") > 0, as_of).otherwise(F.col("last_crawled"))})
     return out.drop("d", "i", "urls", "ids", *(f"__{k}" for k in new))
+
+
+def merge_into(table: SnapshotTable, found: DataFrame, as_of: Column) -> int:
+    """``merge_duplicates`` written back: only buckets with a path of ``found`` are read and written anew. Returns the version."""
+    return table.rewrite(found.select("path"), lambda rows: merge_duplicates(rows, found, as_of).drop("changes"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import duplicate_index as I
 from ..operators import duplicates as U
 from ..operators import publish as P
 from ..operators import venues as V
+from ..sources.snapshots import SnapshotTable
 from .scalars import _name, _slug, _url, _venue
-from .views import EVENTS, VENUES, as_of, events, query, table, venues
+from .views import EVENTS, VENUES, as_of, events, query, shared_folder, table, venues
 
 _ART = r"'^((le|la|les|l|un|une|des|du|de|d)( +|$))+'"
 _LOOKUP = f"""keys as (
@@ -108,10 +110,11 @@ def _published(spark, d):
     return events(spark, d).where("event_id % 3 > 0").withColumn("path", path)
 
 
-@query(f"with {EVENTS} select event_id from ev where event_id % 2 = 0 and event_id % 3 > 0")
+@query(f"with {EVENTS} select event_id from ev where event_id % 3 > 0")
 def anti_join_source_id(spark, d):
+    """All events are new, and those of the numbers that 3 divides are published."""
     e = events(spark, d)
-    return U.anti_join_source_id(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0")).select("event_id")
+    return U.anti_join_source_id(e, e.where("event_id % 3 = 0")).select("event_id")
 
 
 @query(f"with {EVENTS}, {_SPLIT}, l as (select {_url('event_url')} as u, max(path) as path from pub group by 1) select source_id, path, 0.95 as confidence from new join l on {_url('event_url')} = l.u".replace("0.95 as", "0.95::double as"))
@@ -129,7 +132,7 @@ def match_by_date_time_location(spark, d):
     return U.match_by_date_time_location(_coarse(_new(spark, d)), _coarse(_published(spark, d))).drop("reason")
 
 
-@query(f"with {EVENTS}, {_SPLIT} select n.source_id, p.path, 0.75::double as confidence from new n join pub p on {_name('n.name')} = {_name('p.name')} and cast(n.start_ts as date) = cast(p.start_ts as date)")
+@query(f"with {EVENTS}, {_SPLIT} select n.source_id, min(p.path) as path, 0.75::double as confidence from new n join pub p on {_name('n.name')} = {_name('p.name')} and cast(n.start_ts as date) = cast(p.start_ts as date) group by 1")
 def match_by_name_date(spark, d):
     return U.match_by_name_date(_new(spark, d), _published(spark, d)).drop("reason")
 
@@ -150,6 +153,46 @@ def combine_exact_matches(spark, d):
     return U.combine_matches(new, matches).select("source_id", "path", "confidence", "is_duplicate", "should_merge")
 
 
+def _lettered(e):
+    """Names of one letter each, of which two are the same or have none in common, in the slots of ``_coarse``."""
+    return _coarse(e).withColumn("name", F.repeat(F.chr(97 + F.col("event_id") % 23), F.lit(9)))
+
+
+_LETTERED = """n as (select source_id, event_url, cast(start_ts as date) as day, repeat(chr(cast(97 + event_id % 23 as integer)), 9) as name from new), p as (select path, event_url, cast(start_ts as date) as day, repeat(chr(cast(97 + event_id % 23 as integer)), 9) as name from pub),
+s as (select n.source_id, min(p.path) as path from n join p on n.day = p.day and n.name = p.name group by 1)"""
+
+
+@query(f"with {EVENTS}, {_SPLIT}, {_LETTERED} select source_id, path, 0.85::double as confidence from s")
+def match_by_slot_of_plain_names(spark, d):
+    """The matcher of day, time and place where SQL can say how alike names are."""
+    return U.match_by_date_time_location(_lettered(_new(spark, d)), _lettered(_published(spark, d))).drop("reason")
+
+
+_FOUND = f"""l as (select {_url('event_url')} as u, max(path) as path from p group by 1), m as (select source_id, l.path, 0.95 as c from n join l on {_url('n.event_url')} = l.u union all select source_id, path, 0.85 from s),
+b as (select source_id, max(c) as c, arg_min(path, (-c, path)) as path, count(*) filter (c = 0.95) > 0 as by_url, count(*) filter (c = 0.85) > 0 as by_slot from m group by 1)
+select n.source_id, b.path, coalesce(b.c, 0)::double as confidence, concat_ws(',', case when by_slot then 'date_time_location' end, case when by_url then 'url' end) as reasons, coalesce(b.c, 0) >= 0.7 as is_duplicate, coalesce(b.c, 0) >= 0.8 as should_merge, false as is_near from n left join b on b.source_id = n.source_id"""
+
+
+@query(f"with {EVENTS}, {_SPLIT}, {_LETTERED}, {_FOUND}")
+def detect_duplicates_of_plain_names(spark, d):
+    """All three matchers where SQL can say how alike names are."""
+    return U.detect_duplicates(_lettered(_new(spark, d)), _lettered(_published(spark, d)))
+
+
+@query(f"with {EVENTS}, {_SPLIT}, {_LETTERED}, {_FOUND}")
+def duplicate_index(spark, d):
+    """The same from an index that was built from a part of the published events and refreshed twice."""
+    new, pub = _lettered(_new(spark, d)), _lettered(_published(spark, d))
+    folder = shared_folder(spark, "index")
+    index = I.DuplicateIndex(spark, folder, "index_" + folder.rpartition("-")[2], 8)
+    k = F.col("event_id")
+    wrong = pub.where(k % 4 > 0).withColumns({"event_url": F.when(k % 4 == 1, "https://old.example.com/").otherwise(F.col("event_url")), "location": F.when(k % 4 == 2, "Autre salle").otherwise(F.col("location"))})
+    index.refresh(wrong)
+    index.refresh(pub.where(k % 4 == 0))
+    index.refresh(pub.where(k % 4 > 0), wrong)
+    return index.detect(new)
+
+
 @query(f"with {EVENTS} select count(distinct {_url('event_url')}) as total_urls, count(distinct strftime(start_ts, '%Y-%m-%d|%H:%M|') || {_name('location')}) as total_date_locations, count(distinct {_name('name')}) as total_names from ev")
 def duplicate_index_stats(spark, d):
     return U.duplicate_index_stats(events(spark, d))
@@ -167,6 +210,23 @@ def merge_duplicates(spark, d):
     return merged.select("path", "image", F.array_join("source_ids", ",").alias("source_ids"), F.size("changes").alias("n_changes"))
 
 
+@query(f"""with {EVENTS}, {_SPLIT}, l as (select {_url('event_url')} as u, max(path) as path from pub group by 1),
+f as (select l.path, list(source_id order by event_id) as ids, arg_min(image, event_id) filter (where image <> '') as img from new join l on {_url('event_url')} = l.u group by 1)
+select p.path, p.event_id, case when p.image = '' then coalesce(f.img, '') else p.image end as image, array_to_string(case when f.ids is null then [] else list_concat([p.source_id], f.ids) end, ',') as source_ids, case when f.ids is not null then '1998-06-01 12:00:00' end as last_crawled from pub p left join f on f.path = p.path""")
+def merge_into_snapshots(spark, d):
+    """The merge written back to a stored table in two changes, and its last version read."""
+    new, pub = _new(spark, d), _published(spark, d)
+    found = U.match_by_url(new, pub).select("source_id", "path").join(new, "source_id").select("path", F.col("event_id").alias("ord"), "description", "image", "event_url", "source_id")
+    none = F.array().cast("array<string>")
+    base = pub.withColumns({"alternate_sources": none, "source_ids": none, "last_crawled": F.lit(None).cast("timestamp_ntz")})
+    table = SnapshotTable(spark, shared_folder(spark, "snapshots"), buckets=8)
+    table.create(base)
+    half = F.pmod(F.xxhash64("path"), F.lit(2))  # all rows of a path come at once
+    for k in (0, 1):
+        U.merge_into(table, found.where(half == k), as_of())
+    return table.read().select("path", "event_id", "image", F.array_join("source_ids", ",").alias("source_ids"), F.date_format("last_crawled", "yyyy-MM-dd HH:mm:ss").alias("last_crawled"))
+
+
 @query(f"""with {EVENTS}, {_SPLIT}, l as (select {_url('event_url')} as u, max(path) as path from pub group by 1),
 f as (select l.path, new.* from new join l on {_url('event_url')} = l.u), p as (select f.*, pub.image as old_image, pub.source_id as old_id, pub.event_url as old_url,
   min(case when f.image <> '' then f.event_id end) over (partition by f.path) as first_image, row_number() over (partition by f.path, f.event_url order by f.event_id) as nth_url from f join pub on pub.path = f.path)

@@ -64,6 +64,12 @@ def new_urls_only(links: DataFrame, seen: DataFrame) -> DataFrame:
 _DOCUMENT = "path string, name string, event_url string, date string, time string, location string, categories array<string>, source_id string, expired boolean, draft boolean, has_front_matter boolean, body string"
 
 
+def _listed(value: object) -> list[str]:
+    """A list of texts; a single value counts as a list of one."""
+    values = value if isinstance(value, list) else [value]
+    return [str(v) for v in values if v is not None and v != ""]
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
@@ -76,17 +82,21 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(parts) == 3:
                 try:
                     head, body = yaml.load(parts[1], loader) or {}, parts[2]
-                except yaml.YAMLError:
+                except (yaml.YAMLError, ValueError):  # the loader lets dates such as 2026-13-45 through as errors of their own
                     parts = []
+            if not isinstance(head, dict):  # a list or a bare word isn't front matter
+                head, body, parts = {}, value, []
             text = lambda *names: next((str(head[n]) for n in names if head.get(n)), None)  # noqa: B023, E731
-            places = head.get("locations") or []
-            rows.append((path, text("name", "eventName", "title"), text("eventURL"), (text("date") or "")[:10] or None, text("startTime"), places[0] if places else None, head.get("categories") or [], text("sourceId"), bool(head.get("expired")), bool(head.get("draft")), len(parts) == 3, body))
+            places, kinds = _listed(head.get("locations")), _listed(head.get("categories"))
+            rows.append((path, text("name", "eventName", "title"), text("eventURL"), (text("date") or "")[:10] or None, text("startTime"), places[0] if places else None, kinds, text("sourceId"), bool(head.get("expired")), bool(head.get("draft")), len(parts) == 3, body))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _DOCUMENT.split(", ")])
 
 
 def scan_event_documents(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
     """Published Markdown files (those whose name starts with _ aside), front matter parsed.
 
+    A file whose head can't be read, or isn't a mapping, is a row without front matter; single values
+    where lists are meant count as lists of one.
     With ``archive``, a format, the folder holds rows of path and value, one for each file: a site of
     millions of small files is better kept so.
     """
