@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -143,30 +144,59 @@ def _rows(pages: DataFrame, schema: str, make: Callable[[str, Node], Iterator[tu
     return pages.select("url", "html").mapInPandas(run, schema)
 
 
+_RAW_EVENT = "url string, name string, link string, raw_date string, raw_time string, location string, description string, image string, category string, tags array<string>"
+
+
+def _raw_events(url: str, root: Node, selectors: dict[str, str]) -> Iterator[tuple]:
+    box = (find(root, selectors["container"]) if selectors.get("container") else []) or [root]
+    items = [x for b in box for x in find(b, selectors.get("item", "") or ".event")]
+    for fallback in ITEM_SELECTORS:
+        items = items or [x for b in box for x in find(b, fallback)]
+    for item in items:
+        first = lambda key: next(iter(find(item, selectors[key])), None) if selectors.get(key) else None  # noqa: B023, E731
+        text = lambda key: (first(key).text() if first(key) else None)  # noqa: B023, E731
+        link, image = first("link") or (item if item.tag == "a" else None), first("image")
+        name, href = text("name"), link.attrs.get("href") if link else None
+        if name and href:
+            src = image.attrs.get("src", "") if image else ""
+            src = src if src and not src.startswith("data:") else (image.attrs.get("data-src") or image.attrs.get("data-lazy-src") if image else None)
+            tags = [t for t in (x.text().lower() for x in find(item, selectors["tags"])) if t and len(t) < 50][:5] if selectors.get("tags") else []
+            yield url, name, href, text("date"), text("time"), text("location"), (text("description") or "")[:160], src, text("category"), tags
+
+
 def extract_by_selectors(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """Raw events of listing pages. ``selectors``: container, item, name, link, date, time, location, description, image, category, tags.
 
     An item needs a name and a link. Descriptions end at 160 characters; of the tags the first five
     under 50 characters are kept.
     """
+    return _rows(pages, _RAW_EVENT, lambda url, root: _raw_events(url, root, selectors))
 
-    def make(url: str, root: Node) -> Iterator[tuple]:
-        box = (find(root, selectors["container"]) if selectors.get("container") else []) or [root]
-        items = [x for b in box for x in find(b, selectors.get("item", "") or ".event")]
-        for fallback in ITEM_SELECTORS:
-            items = items or [x for b in box for x in find(b, fallback)]
-        for item in items:
-            first = lambda key: next(iter(find(item, selectors[key])), None) if selectors.get(key) else None  # noqa: B023, E731
-            text = lambda key: (first(key).text() if first(key) else None)  # noqa: B023, E731
-            link, image = first("link") or (item if item.tag == "a" else None), first("image")
-            name, href = text("name"), link.attrs.get("href") if link else None
-            if name and href:
-                src = image.attrs.get("src", "") if image else ""
-                src = src if src and not src.startswith("data:") else (image.attrs.get("data-src") or image.attrs.get("data-lazy-src") if image else None)
-                tags = [t for t in (x.text().lower() for x in find(item, selectors["tags"])) if t and len(t) < 50][:5] if selectors.get("tags") else []
-                yield url, name, href, text("date"), text("time"), text("location"), (text("description") or "")[:160], src, text("category"), tags
-
-    return _rows(pages, "url string, name string, link string, raw_date string, raw_time string, location string, description string, image string, category string, tags array<string>", make)
+
+def extract_by_source_selectors(pages: DataFrame, selectors: DataFrame, default: dict[str, str] | None = None) -> DataFrame:
+    """``extract_by_selectors`` for pages of many sources in one pass: source_id and the raw events.
+
+    ``selectors`` has source_id, field and selector, a row for each field that a source sets (of
+    equal fields the greatest selector counts); ``default`` fills the fields that it doesn't. Sources
+    without rows have the defaults. The table is joined by source id, each page is parsed once.
+    """
+    common = {**(default or {})}
+    own = selectors.where("source_id is not null and field is not null").groupBy("source_id", "field").agg(F.max("selector").alias("selector"))
+    own = own.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "selector"))).alias("own"))
+    rows = pages.select("source_id", "url", "html").join(own, "source_id", "left").select("source_id", "url", "html", F.to_json("own").alias("own"))
+    names = ["source_id", *(x.split()[0] for x in _RAW_EVENT.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str | None, dict[str, str]] = {None: common}
+        for frame in batches:
+            out = []
+            for source, url, html, told in zip(frame["source_id"], frame["url"], frame["html"], frame["own"]):
+                if told not in known:
+                    known[told] = common | {k: v for k, v in json.loads(told).items() if v}
+                out += [(source, *r) for r in _raw_events(url, parse(html), known[told])]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, f"source_id string, {_RAW_EVENT}")
 
 
 def extract_microdata(pages: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete
+
 
 def _passed(cutoff: Column) -> Column:
     """Whether the event's day is before the cutoff; a row without a day never is."""
@@ -21,6 +23,34 @@ def delete_expired(events: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFr
     return events.where(~_passed(cutoff)), gone.where("coalesce(image, '') <> ''").select("image").distinct()
 
 
+def expire_stored(spark: SparkSession, folder: str, cutoff: Column, by: str = "month", remove: bool = False) -> DataFrame:
+    """Mark, or ``remove``, the events before the cutoff in a stored table in partitions ``by`` their first day.
+
+    Only partitions that begin before the cutoff are read, and only those with something to do are
+    written anew, or deleted if nothing stays; all others keep their files. A run that fails can be
+    run again. Returns, for each partition, how many events were treated, and the images of removed
+    events that no event that stays shows. Events without a day never expire.
+    """
+    table = spark.read.parquet(folder)
+    early = table.where(F.col(by).cast("date") < F.to_date(cutoff))
+    due = _passed(cutoff) if remove else _passed(cutoff) & ~F.coalesce("expired", F.lit(False))
+    images = F.collect_set(F.when(due, F.nullif("image", F.lit(""))) if remove else F.lit(None).cast("string"))
+    told = early.groupBy(by).agg(F.count_if(due).alias("events"), F.count("*").alias("rows"), images.alias("images")).where("events > 0")
+    shown = table.where(~_passed(cutoff)).select(F.col("image").alias("shown")).distinct()
+    each = told.select(by, "events", "rows", F.explode_outer("images").alias("image")).join(shown, F.col("image") == F.col("shown"), "left")
+    told = each.groupBy(by, "events", "rows").agg(F.array_sort(F.collect_set(F.when(F.col("shown").isNull(), F.col("image")))).alias("images"))
+    done = told.collect()  # a row for each partition that changes
+    part = [r[by] for r in done if not (remove and r["events"] == r["rows"])]
+    if part:
+        rows = early.where(F.col(by).isin(part))
+        rows = rows.where(~_passed(cutoff)) if remove else mark_expired(rows, cutoff)
+        rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(folder)
+    for r in done:
+        if remove and r["events"] == r["rows"]:
+            delete(spark, f"{folder.rstrip('/')}/{by}={r[by]}")
+    return spark.createDataFrame(done, told.schema).drop("rows")
+
+
 def list_expired(events: DataFrame, cutoff: Column) -> DataFrame:
     status = F.when(F.coalesce("expired", F.lit(False)), "marked").otherwise("not marked")
     return events.where(_passed(cutoff)).select("event_id", F.date_format("start_ts", "yyyy-MM-dd").alias("day"), status.alias("status"))

@@ -126,6 +126,33 @@ def feed_export(events: DataFrame, path: str, fmt: str = "json") -> None:
     writer.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path) if fmt == "xml" else writer.json(path)
 
 
+def term_feed_rows(events: DataFrame, taxonomies: dict[str, str], most: int = 20, salt: int = 16) -> DataFrame:
+    """(taxonomy, term, nth, and the columns of ``feed_rows``): the newest ``most`` events of each term, ties by id.
+
+    ``taxonomies`` names the array column of each. All terms are ranked in one pass: first within
+    parts of a term, so that one that every event bears isn't one task, then over what is left.
+    """
+    shown = feed_rows(events).withColumnRenamed("event_id", "id")
+    lists = F.map_from_arrays(F.array(*map(F.lit, taxonomies)), F.array(*(F.coalesce(c, F.array().cast("array<string>")) for c in taxonomies.values())))
+    terms = events.select("event_id", "start_ts", F.explode(lists).alias("taxonomy", "terms")).select("event_id", "start_ts", "taxonomy", F.explode(F.array_distinct("terms")).alias("label"))
+    terms = terms.withColumn("term", T.slugify(F.col("label"))).where("term <> ''").select("event_id", "start_ts", "taxonomy", "term").distinct()
+    terms = terms.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(salt)))
+    order = F.desc("start_ts"), F.asc("event_id")
+    some = terms.withColumn("nth", F.row_number().over(Window.partitionBy("taxonomy", "term", "part").orderBy(*order))).where(F.col("nth") <= most)
+    first = some.withColumn("nth", F.row_number().over(Window.partitionBy("taxonomy", "term").orderBy(*order))).where(F.col("nth") <= most)
+    return first.join(shown, first["event_id"] == shown["id"]).select("taxonomy", "term", "nth", "event_id", "title", "link", "date")
+
+
+def term_feeds(events: DataFrame, taxonomies: dict[str, str], path: str, most: int = 20, fmt: str = "json") -> None:
+    """Write a feed for each term, in a folder of its taxonomy and term.
+
+    A task writes its terms one after the other, so that one file is open at a time, however many terms there are.
+    """
+    rows = term_feed_rows(events, taxonomies, most).repartition("taxonomy", "term").sortWithinPartitions("taxonomy", "term", "nth")
+    writer = rows.write.mode("overwrite").partitionBy("taxonomy", "term")
+    writer.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path) if fmt == "xml" else writer.json(path)
+
+
 def sitemap_rows(pages: DataFrame) -> DataFrame:
     """(loc, changefreq, priority) of all pages but taxonomy and term lists. ``pages`` has loc and kind."""
     return pages.where(~F.col("kind").isin("taxonomy", "term")).select("loc", F.lit("daily").alias("changefreq"), F.lit(0.5).alias("priority"))

@@ -1,7 +1,7 @@
 """Ordered rule tables as array literals, and the lookups that selection and classification share.
 
-A rule list is small, comes from configuration and is folded into the plan once, so a rule check is
-part of the generated code of a scan and never a join. Order matters: the first rule that fits wins.
+A rule list comes from configuration and is folded into the plan once, so a rule check is part of a
+scan and never a join: a short list in its generated code, a long one by an automaton (``automaton``). Order matters: the first rule that fits wins.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import automaton
+
 
 def keywords(words: Sequence[str]) -> Column:
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
@@ -19,6 +21,9 @@ def keywords(words: Sequence[str]) -> Column:
 
 def hits(text: Column, words: Sequence[str]) -> Column:
     """All words contained in ``text`` (lower case), in rule order."""
+    if len(words) > automaton.FROM:
+        words = list(words)
+        return automaton.found(text, words, lambda places: [words[k] for k in places], "array<string>", [])
     return F.filter(keywords(words), lambda k: F.contains(text, F.lower(k)))
 
 
@@ -28,12 +33,17 @@ def first_hit(text: Column, words: Sequence[str]) -> Column:
 
 
 def any_hit(text: Column, words: Sequence[str]) -> Column:
+    if len(words) > automaton.FROM:
+        return automaton.found(text, words, bool, "boolean")
     return F.exists(keywords(words), lambda k: F.contains(text, F.lower(k)))
 
 
 def first_mapped(text: Column, mapping: Sequence[tuple[str, str]], default: Column | None = None) -> Column:
     """The target of the first mapping whose key is contained in ``text``, else ``default``."""
     out = F.lit(None).cast("string") if default is None else default
+    if len(mapping) > automaton.FROM:
+        targets = [target for _, target in mapping]
+        return F.coalesce(automaton.found(text, [key for key, _ in mapping], lambda places: targets[places[0]] if places else None, "string"), out)
     for key, target in reversed(mapping):
         out = F.when(F.contains(text, F.lit(key.lower())), F.lit(target)).otherwise(out)
     return out

@@ -52,6 +52,18 @@ def latest_fresh_page(spark, d):
     return S.latest_fresh_page(_fetches(spark, d), now, 7200).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("seen"))
 
 
+@query(f"""with {_FETCH}, ok as (select distinct url, fetched_at from fe where status_code >= 200 and status_code < 400 and error is null),
+q as (select event_id, 'https://host' || ((user_id + 1) % 97) || '.example.org/' as url, ts + interval 40 second as t from events)
+select event_id, case when date_diff('second', f.fetched_at, q.t) <= 1800 then strftime(f.fetched_at, '%Y-%m-%d %H:%M:%S') end as seen from q asof left join ok f on q.url = f.url and q.t >= f.fetched_at""")
+def fresh_page_at(spark, d):
+    """Every event asks for a page some seconds later; it gets what a cache of half an hour held then."""
+    e = table(spark, d, "events")
+    url = F.concat(F.lit("https://host"), ((F.col("user_id") + 1) % 97).cast("string"), F.lit(".example.org/"))
+    asked = e.select("event_id", url.alias("url"), (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(40))).alias("requested_at"))
+    got = S.fresh_page_at(asked, _fetches(spark, d), 1800, slice_s=7200)
+    return got.select("event_id", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("seen"))
+
+
 @query("select s_suppkey as id from supplier where s_suppkey % 3 > 0")
 def enabled_sources(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 3 > 0).alias("enabled"))
@@ -262,6 +274,15 @@ def extract_by_selectors(spark, d):
     return found.groupBy("url").agg(F.count("*").alias("n"))
 
 
+@query("select 's' || (page_id % 3) as source_id, url, count(*) as n from (select page_id, url, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1)) as h from pages where page_id % 3 < 2) where h <> '' group by all")
+def extract_by_source_selectors(spark, d):
+    """Pages of three sources in one pass: one with selectors of its own, one with the defaults, one whose selectors find nothing."""
+    pages = _pages(spark, d).withColumn("source_id", F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")))
+    rows = [("s0", "item", "li"), ("s0", "container", "body"), ("s2", "item", ".nothing"), ("s2", "name", "h1")]
+    found = H.extract_by_source_selectors(pages, spark.createDataFrame(rows, "source_id string, field string, selector string"), {"container": "nav", "item": "li", "name": "a", "link": "a"})
+    return found.groupBy("source_id", "url").agg(F.count("*").alias("n"))
+
+
 @query("select page_id, 'Concert ' || page_id as name, strftime(timestamp '2024-01-01 20:00:00' + to_days(cast(page_id % 300 as integer)), '%Y-%m-%d %H:%M') as start, 'Salle ' || (page_id % 9) as location from pages where page_id % 2 = 0")
 def microdata_to_event(spark, d):
     k = F.col("page_id")

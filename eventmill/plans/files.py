@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar as C
+from ..operators import lifecycle as L
 from ..operators import publish as P
+from ..operators import search_index as SI
 from ..sources import pages as S
 from ..streaming.ingest import stream_ingest_pages as stream_ingest
-from .scalars import _slug
+from .scalars import _slug, _venue
 from .views import EVENTS, as_of, events, query, shared_folder, table
 
 _FILE = f"strftime(start_ts, '%Y/%m/%d/') || {_slug('name')} || '.fr.md'"
@@ -74,3 +76,38 @@ def stream_ingest_pages(spark, d):
     pages = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/pages")
     stream_ingest(pages, f"{folder}/published", f"{folder}/checkpoint", extract, accept).awaitTermination()
     return spark.read.parquet(f"{folder}/published").select("source_id", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
+_TERMS = f"""t as (select event_id, start_ts, name, 'types' as taxonomy, {_slug("category")} as term from ev where not expired and not draft union select event_id, start_ts, name, 'tags', unnest(list_transform(tags, lambda x: {_slug("x")})) from ev where not expired and not draft),
+r as (select *, row_number() over (partition by taxonomy, term order by start_ts desc, event_id) as nth from t where term <> '')"""
+
+
+@query(f"with {EVENTS}, {_TERMS} select taxonomy, term, cast(nth as integer) as nth, event_id, name as title, '/events/' || strftime(start_ts, '%Y/%m/%d/') || {_slug('name')} || '/' as link, strftime(start_ts, '%Y-%m-%d') as date from r where nth <= 20")
+def term_feeds(spark, d):
+    """A feed for each type and tag, written as JSON lines and read back by its folder."""
+    folder = shared_folder(spark, "term-feeds")
+    P.term_feeds(C.active_events(events(spark, d)), {"types": "categories", "tags": "tags"}, folder)
+    schema = "nth int, event_id long, title string, link string, date string, taxonomy string, term string"
+    return spark.read.schema(schema).json(folder).select("taxonomy", "term", "nth", "event_id", "title", "link", "date")
+
+
+@query(f"with {EVENTS} select event_id, expired or cast(start_ts as date) < date '1998-06-01' as expired from ev where cast(start_ts as date) >= date '1993-01-15'")
+def expire_stored(spark, d):
+    """Events stored by month: those up to a day removed, then the others marked up to the reference time."""
+    folder = shared_folder(spark, "by-month")
+    rows = events(spark, d).withColumn("month", F.to_date(F.date_trunc("month", "start_ts")))
+    rows.repartition("month").write.partitionBy("month").parquet(folder)
+    L.expire_stored(spark, folder, F.lit("1993-01-15").cast("date"), remove=True)
+    L.expire_stored(spark, folder, as_of())
+    return spark.read.parquet(folder).select("event_id", "expired")
+
+
+_SEARCHED = _venue("name || ' ' || description || ' ' || location")
+
+
+@query(f"with {EVENTS} select event_id from ev where not expired and not draft and cast(start_ts as date) between date '1998-06-01' and date '1998-06-30' and contains({_SEARCHED}, 'brand 1')")
+def search_by_index(spark, d):
+    """``search_events`` over an index of letter runs."""
+    folder = shared_folder(spark, "search")
+    SI.build(events(spark, d), folder, 8, 16)
+    return SI.search(spark, folder, "Bränd#1", as_of(), 30).select("event_id")

@@ -81,6 +81,20 @@ def find_positive_keywords(spark, d):
     return events(spark, d).select("event_id", F.array_join(R.hits(S.event_text(), RULES.positive), ", ").alias("words")).where("words <> ''")
 
 
+_TERMS = "k as (select lower(p_name) as word from part union select lower(p_brand) from part union select lower(p_type) from part union select lower(p_brand) || '0' from part union select 'absent ' || (r_regionkey * 30 + i) from region, range(30) s(i))"
+
+
+@query(f"with {EVENTS}, {_TERMS}, t as (select event_id, {_TEXT} as t from ev) select event_id, string_agg(word, ', ' order by word) as words from t join k on contains(t.t, k.word) group by 1")
+def find_many_keywords(spark, d):
+    """A rule list of some hundred words, more than a plan should hold, read by an automaton."""
+    p = table(spark, d, "part")
+    brand = F.lower("p_brand")
+    words = p.select(F.explode(F.array(F.lower("p_name"), brand, F.lower("p_type"), F.concat(brand, F.lit("0")))).alias("w")).distinct()
+    absent = table(spark, d, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i")).select(F.concat(F.lit("absent "), (F.col("r_regionkey") * 30 + F.col("i")).cast("string")).alias("w"))
+    rules = sorted(r["w"] for r in words.unionByName(absent).collect())  # configuration: names, brands and types have few values
+    return events(spark, d).select("event_id", F.array_join(R.hits(S.event_text(), rules), ", ").alias("words")).where("words <> ''")
+
+
 @query(f"with {EVENTS} select event_id, case when contains(category, 'econ') then 'musique' when contains(category, 'promo') then 'danse' when contains(category, 'm') then 'theatre' else 'communaute' end as mapped from ev")
 def map_category(spark, d):
     return events(spark, d).select("event_id", S.map_category(F.col("category"), RULES).alias("mapped"))

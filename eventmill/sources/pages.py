@@ -25,6 +25,33 @@ def latest_fresh_page(fetches: DataFrame, as_of: Column, ttl_s: int = 3600) -> D
     return newest.where(F.timestamp_diff("SECOND", F.col("fetched_at"), as_of) <= ttl_s)
 
 
+def fresh_page_at(requests: DataFrame, fetches: DataFrame, ttl_s: int = 3600, keep: tuple[str, ...] = (), slice_s: int = 86400) -> DataFrame:
+    """``requests`` (url, requested_at) with the response that a cache held at the time of each request.
+
+    That is the newest successful fetch at or before the request, if it is no older than ``ttl_s``
+    seconds; fetched_at and the columns ``keep`` of it, null if there is none. Requests and fetches
+    are merged in order of time within slices of ``slice_s`` seconds, so that a hot URL is many
+    groups; the last success of each slice is carried on to later ones. Of fetches of one time, the
+    one of the greatest kept columns counts. Nulls in url or time have no page.
+    """
+    page = F.struct("fetched_at", *keep)
+    nth = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / F.lit(slice_s)).alias("__slice")
+    own = F.struct(*requests.columns)
+    ok = filter_successful_fetches(fetches).where("url is not null and fetched_at is not null").select("url", nth("fetched_at"), F.col("fetched_at").alias("__t"), page.alias("__page"))
+    asked = requests.select("url", nth("requested_at"), F.col("requested_at").alias("__t"), own.alias("__own"))
+    both = ok.unionByName(asked, allowMissingColumns=True)
+    # at one time, the fetch comes before the request, and of fetches the greatest comes last
+    order = Window.partitionBy("url", "__slice").orderBy("__t", F.col("__own").isNotNull(), "__page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("__seen", F.last("__page", ignorenulls=True).over(order)).where("__own is not null").select("url", "__slice", "__own", "__seen")
+    lasts = ok.groupBy("url", "__slice").agg(F.max("__page").alias("__last"))
+    slices = lasts.unionByName(asked.select("url", "__slice").distinct(), allowMissingColumns=True).groupBy("url", "__slice").agg(F.max("__last").alias("__last"))
+    earlier = Window.partitionBy("url").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).select(F.col("url").alias("__url"), F.col("__slice").alias("__of"), "__carried")
+    rows = seen.join(carried, (F.col("url") == F.col("__url")) & (F.col("__slice") == F.col("__of")), "left").withColumn("__seen", F.coalesce("__seen", "__carried"))
+    fresh = F.timestamp_diff("SECOND", F.col("__seen.fetched_at"), F.col("__own.requested_at")) <= ttl_s
+    return rows.select("__own.*", *(F.when(fresh, F.col(f"__seen.{c}")).alias(c) for c in ("fetched_at", *keep)))
+
+
 def enabled_sources(sources: DataFrame, source: str | None = None) -> DataFrame:
     """Enabled sources; or those of an id or, if no id fits, of a parser name."""
     if source is None:
