@@ -6,7 +6,7 @@ Spark's text writer, whose line separator is an empty gzip member: archives go t
 that Spark writes to and are valid gzip files. A payload that an earlier page (by id) has too becomes
 a revisit record, which keeps the HTTP headers and names the record it refers to.
 
-Each archive gives a run of index entries sorted by URL key, time and page. Runs are dealt to ranges
+Each task that reads archives gives one run of index entries sorted by URL key, time and page. Runs are dealt to ranges
 of the keys (whose bounds Spark samples), and a loser tree merges the pieces of each range; the ranges
 in their order are one globally ordered index, in which the captures of a URL stand together. The
 ranges are of key, time, page and place, so one URL may spread over many of them.
@@ -228,16 +228,17 @@ def _key(row: tuple) -> tuple:
     return (row[0], row[1], -1 if row[2] is None else row[2], row[7], row[8])
 
 
-_RUN = f"{_ENTRY}, run string, nth int"
 _MERGED = f"{_ENTRY}, part int, position int"
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort each batch of entries into a run."""
-    for batch in batches:
-        run = sorted(zip(*(batch.column(n).to_pylist() for n in _NAMES)), key=_key)
-        name = f"{run[0][7]}:{run[0][8]}" if run else ""
-        yield from _columns([(*row, name, nth) for nth, row in enumerate(run)], _RUN).to_batches()
+def sorted_runs(entries: DataFrame) -> DataFrame:
+    """``entries`` with the run that each is in, one for each task that has read archives, and its number there.
+
+    Spark sorts a task's entries, on disk if it has to, so that a run is as long as the task's share.
+    """
+    order = ["url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "offset"]
+    runs = entries.select(*_NAMES).sortWithinPartitions(*order)
+    return runs.withColumns({"run": F.spark_partition_id().cast("string"), "nth": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("int")})
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +259,7 @@ def merge_index(entries: DataFrame) -> DataFrame:
     """``entries`` with ``place``, their place in the global order by URL key, time and page."""
     scratch = Scratch(entries.sparkSession, "index")
     parts = max(1, -(-entries.count() // RANGE_ROWS))
-    runs = entries.select(*_NAMES).mapInArrow(_run_batches, _RUN)
-    ranged = runs.repartitionByRange(parts, "url_key", "captured", "page_id", "archive", "offset").withColumn("part", F.spark_partition_id())
+    ranged = sorted_runs(entries).repartitionByRange(parts, "url_key", "captured", "page_id", "archive", "offset").withColumn("part", F.spark_partition_id())
     with settings(entries.sparkSession, {"spark.sql.execution.rangeExchange.sampleSizePerPartition": str(SAMPLES)}):
         merged = scratch.keep(ranged.mapInArrow(_merge, _MERGED), "merged")
     # one row a range, so that a single window over them stays small

@@ -46,6 +46,22 @@ def _components(texts):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_runs_are_tasks_and_pieces_are_long(spark):
+    """One sorted run for each task, whatever the size of Arrow batches, and places that ascend in it."""
+    entries = spark.range(4000).repartition(3).select(*(F.concat(F.lit("k"), (F.col("id") * 7919 % 4000).cast("string")).alias(n) if n == "url_key" else (F.col("id") if n in ("page_id", "offset") else F.lit(None) if n != "captured" else F.lit("2024")).cast(t).alias(n) for n, t in (x.split() for x in warc._ENTRY.split(", "))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = warc.sorted_runs(entries).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    runs = defaultdict(list)
+    for r in rows:
+        runs[r["run"]].append((r["nth"], r["url_key"]))
+    assert len(runs) == 3 and len(rows) == 4000
+    for own in runs.values():
+        assert [k for _, k in sorted(own)] == sorted(k for _, k in own) and sorted(n for n, _ in own) == list(range(len(own)))
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates(docs, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
