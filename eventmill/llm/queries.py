@@ -51,7 +51,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import filter_urls, mine_rules
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, mine_rules(labelled_pages(spark, sf_dir)), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, mine_rules(labelled_pages(spark, sf_dir), false_rate=0.05, held_out=True), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ mines the baskets of labelled URLs, each with its label as one more token. A rul
 label ``block`` survives with enough support, a confidence above the share of all labelled URLs that
 are blocked by the factor ``MIN_LIFT``, and a lower bound of its confidence (Wilson, ``DEVIATIONS``)
 above that share; and it has to reach that confidence over the labelled URLs that no more confident
-rule decides, too. A rule is filed under its rarest token; a URL looks its tokens up and is blocked if
+rule decides, too.
+With ``false_rate`` the rules are those that stand when all candidates are tested at once (Benjamini
+and Hochberg), and with ``held_out`` they are mined on two thirds of the labelled URLs and have to
+reach the confidence on the third part, too. A rule is filed under its rarest token; a URL looks its tokens up and is blocked if
 it holds all tokens of a rule found.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no tokens, and is
@@ -16,6 +19,8 @@ result are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,13 +79,42 @@ def lower_bound(share: Column, n: Column, deviations: float = DEVIATIONS) -> Col
     return (share + z2 / (2 * n) - deviations * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
+def log_chance(share: Column, n: Column, base: float) -> Column:
+    """Logarithm of a bound (Chernoff) of the chance to see ``share`` or more in ``n`` cases that are blocked with chance ``base``."""
+    part = lambda x, y: F.when(x > 0, x * F.ln(x / F.lit(y))).otherwise(0.0)
+    return F.when(share > base, -n * (part(share, base) + part(1 - share, 1 - base))).otherwise(0.0)
+
+
+def _threshold(told: DataFrame, tested: int, rate: float) -> float:
+    """The greatest log chance at which no more than ``rate`` of the rules below it are expected to be false, of ``tested`` ones.
+
+    Rules are counted by hundredths of the logarithm, upwards, so that the driver gets a bounded number of rows.
+    """
+    steps = told.groupBy(F.ceil(F.greatest(F.col("chance"), F.lit(-1200.0)) * 100).alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect()
+    found, best = 0, float("-inf")
+    for r in steps:
+        found += r["n"]
+        if math.exp(r["step"] / 100) * tested <= rate * found:
+            best = r["step"] / 100
+    return best
+
+
+def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, false_rate: float | None = None, held_out: bool = False) -> DataFrame:
     """(antecedent, confidence, support, lookup) of the rules that lead to a block, with no superfluous tokens.
 
     ``support`` is the share of labelled URLs that hold the tokens and are blocked, ``lookup`` the
     antecedent's rarest token. A rule is dropped if a rule of one token less has no less confidence.
     """
     scratch = Scratch(labelled.sparkSession, "rules")
+    if held_out:
+        third = F.pmod(F.xxhash64(url_col), F.lit(3)) == 0  # rows of one URL stay together
+        rules = mine_rules(labelled.where(~third), url_col, block_col, min_support, min_lift, false_rate)
+        rest = scratch.keep(labelled.where(third).select(tokens(F.col(url_col)).alias("items"), F.coalesce(block_col, F.lit(False)).alias("block")), "held-out")
+        n, blocked = rest.agg(F.count("*"), F.count_if("block")).first()
+        base = blocked / max(1, n)
+        seen = _matches(rest, rules, "items").groupBy("antecedent").agg(F.count("*").alias("n"), F.count_if("block").alias("blocked"))
+        holds = seen.where((F.col("blocked") >= min_lift * base * F.col("n")) & (F.col("blocked") > 0)).select("antecedent")
+        return scratch.keep(rules.join(holds, "antecedent", "left_semi"), "rules-held-out")
     baskets = labelled.select(F.array_append(tokens(F.col(url_col)), F.when(F.col(block_col), "label:block").otherwise("label:allow")).alias("items"))
     baskets = scratch.keep(baskets, "baskets")
     n, blocked = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", "label:block"))).first()
@@ -89,6 +123,10 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "bloc
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min(1.0, min_lift * base)).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", "label:block") & (F.col("support") * n >= MIN_URLS - 0.5))
     rules = rules.where((F.col("confidence") >= min_lift * base) & (lower_bound(F.col("confidence"), F.col("support") * n / F.col("confidence")) > base))
+    if false_rate is not None and 0 < base < 1:
+        tested = model.freqItemsets.where(F.array_contains("items", "label:block") & (F.size("items") > 1)).count()
+        told = rules.withColumn("chance", log_chance(F.col("confidence"), F.col("support") * n / F.col("confidence"), base))
+        rules = told.where(F.col("chance") <= _threshold(told, tested, false_rate))
     rules = scratch.keep(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "mined")
     inner = rules.select(F.posexplode("antecedent"), "antecedent", F.col("confidence").alias("c")).select("antecedent", "c", F.array_remove(F.col("antecedent"), F.col("col")).alias("shorter"))
     better = inner.join(rules.select(F.col("antecedent").alias("shorter"), "confidence"), "shorter").where("confidence >= c").select("antecedent").distinct()
