@@ -27,6 +27,8 @@ from . import buffers as B
 DIMENSIONS = 1 << 12
 #: About so many rows of each language are learned from, and never more than twice that in all.
 SAMPLE = 400
+#: Languages that are learned, and rows of all of them (16 KB each at the driver).
+LANGUAGES, ROWS = 200, 8000
 ORDERS = (2, 3)
 #: Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -168,19 +170,25 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", row_key: Column | None = None) -> Model:
-    """Fit on about ``SAMPLE`` rows of each language; ``row_key`` only spreads the draw."""
+    """Fit on about ``SAMPLE`` rows of each language; ``row_key`` only spreads the draw.
+
+    No more than ``LANGUAGES`` values of ``lang_col`` are learned, the most frequent ones (a column with
+    more holds dirt; texts of the others are told as the learned language that they look like most),
+    and no more than about ``ROWS`` rows over all of them, so that what the driver holds is bounded.
+    """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.xxhash64(F.lit(1)) if row_key is None else row_key).alias("key"))
     rows = rows.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return Model({"": []}, {})
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1_000_000 * SAMPLE // n))).otherwise(share)
+    most = min(SAMPLE, max(1, ROWS // (2 * len(counts))))
+    shares = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_000, 1_000_000 * most // n))]
+    share = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang")), F.lit(0))
     # equal rows count once, and the limit has an order, so that the same rows are learned from however the table is cut
     drawn = rows.withColumn("key", F.xxhash64("key", "text")).where(F.pmod("key", F.lit(1_000_000)) < share)
     drawn = drawn.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text", "key")
-    got = drawn.mapInArrow(_feature_batches, "lang string, key long, at binary, count binary").orderBy("key", "lang").limit(2 * SAMPLE * len(counts)).drop("key").collect()
+    got = drawn.mapInArrow(_feature_batches, "lang string, key long, at binary, count binary").orderBy("key", "lang").limit(2 * most * len(counts)).drop("key").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["count"])))
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     langs = [r["lang"] for r in got]

@@ -30,6 +30,8 @@ CODE, ATTENTION = 32, 16
 PRIOR = 20.0
 #: About so many documents of each label are learned from, and never more than four times that.
 SAMPLE = 1000
+#: Bytes of the texts that are learned from.
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 12
 
 
@@ -186,7 +188,11 @@ def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on about ``SAMPLE`` labelled documents of each label."""
+    """Fit on about ``SAMPLE`` labelled documents of each label.
+
+    Texts are drawn in the order of a hash as far as they come to ``SAMPLE_BYTES`` together; one that is
+    longer by itself isn't drawn, none is cut. A bag has 1 KB for 64 words.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = lambda k: F.lit(min(1_000_000, 1_000_000 * SAMPLE // max(1, counts.get(k, 0))))
@@ -195,6 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = drawn.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(4 * SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
     texts = texts.groupBy("label", F.xxhash64("id", "text").alias("key")).agg(F.min("text").alias("text")).select("label", "text", "key")
+    sizes = texts.select("key", F.octet_length("text").alias("size")).where(F.col("size") <= SAMPLE_BYTES).orderBy("key").limit(4 * SAMPLE).collect()
+    whole, last = 0, None
+    for r in sizes:
+        whole += r["size"]
+        if whole > SAMPLE_BYTES:
+            break
+        last = r["key"]
+    texts = texts.where((F.octet_length("text") <= SAMPLE_BYTES) & (F.col("key") <= F.lit(last).cast("long")))
     bags = texts.mapInArrow(_bag_batches, "label int, key long, bag binary").where("length(bag) > 0")
     got = bags.orderBy("key").limit(4 * SAMPLE).select("label", "bag").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["bag"])))

@@ -156,3 +156,36 @@ def test_mined_rules_against_counting_all_sets(spark):
     assert {tuple(x["antecedent"]) for x in rules.collect()} == want and len(want) >= 2
     got = {x["page_id"]: x["verdict"] for x in url_rules.filter_urls(df, rules, []).collect()}
     assert {i for i, v in got.items() if v == "block"} == {i for (i, _, _), (t, _) in zip(rows, baskets) if any(set(s) <= t for s in want)}
+
+
+def test_only_planted_rules_survive_noise(spark):
+    """Hundreds of tokens that say nothing, and one that does: corrected and held out, only that one blocks."""
+    r = random.Random(8)
+    rows = []
+    for i in range(6000):
+        bad = r.random() < 0.2
+        word = "casino" if bad and r.random() < 0.5 or r.random() < 0.01 else r.choice("abcdefgh")
+        rows.append((i, f"https://h{r.randrange(40)}.example{r.randrange(9)}.org/{word}/p{r.choice('klmnop')}/{r.choice('uvwxyz')}x", bad))
+    df = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    kept = {tuple(x["antecedent"]) for x in url_rules.mine_rules(df, false_rate=0.05, held_out=True).collect()}
+    assert ("path:casino",) in kept and all("path:casino" in x for x in kept)
+    noise = spark.createDataFrame([(i, u, r.random() < 0.2) for i, u, _ in rows], "page_id long, url string, block boolean")
+    assert url_rules.mine_rules(noise).count() > 0 and url_rules.mine_rules(noise, false_rate=0.05, held_out=True).count() == 0
+
+
+def test_training_is_bounded_in_bytes_and_languages(spark, monkeypatch):
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["good", "fine", "well"] if i % 2 else ["spam", "buy", "now"]) for _ in range(40 if i else 40_000))) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality_mil, "SAMPLE_BYTES", 5000)
+    seen = []
+    fit = quality_mil.fit
+    monkeypatch.setattr(quality_mil, "fit", lambda bags, y: seen.append(sum(len(b) for b in bags)) or fit(bags, y))
+    quality_mil.score(docs, quality_mil.train(docs, labels)).count()
+    assert 0 < seen[0] <= 40  # texts of about 190 bytes; the long one isn't drawn
+    many = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.when(F.col("id") < 200, F.col("id") % 2).otherwise(F.col("id")).cast("string")).alias("lang"), F.concat(F.when(F.col("id") % 2 == 0, "alpha beta ").otherwise("gamma delta "), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(lang_id, "LANGUAGES", 2)
+    model = lang_id.train(many)
+    assert {str(x) for own in model.contests.values() for x in own if x} == {"l0", "l1"}
+    got = lang_id.identify(many.where("doc_id < 200"), model).collect()
+    assert sum(x["lang_pred"] == x["lang"] for x in got) > 190
