@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,21 @@ _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Let the system have what this worker has freed: workers live on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of at most ``most`` bytes: (first row, end row, bytes, offsets). Null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -30,7 +47,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

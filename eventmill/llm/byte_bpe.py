@@ -251,6 +251,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), values)], [*part.schema.names, "ids"])
+        known.cache.clear()  # the worker lives on when this task is done
+        B.give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

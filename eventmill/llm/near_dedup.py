@@ -205,6 +205,8 @@ def _verifier(percent: int):
                 parent[max(ru, rv)] = min(ru, rv)
                 out.append((u, v))
         ends = np.array(out, np.int64).reshape(-1, 2)
+        del sets, sides, a, b, same, union, hit
+        B.give_back()
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return links
