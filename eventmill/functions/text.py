@@ -28,6 +28,11 @@ PLAIN_ENTITIES = (
 LIGATURES = (("œ", "oe"), ("æ", "ae"), ("ß", "ss"), ("ø", "o"), ("đ", "d"), ("ł", "l"))
 
 
+# How letters of two other scripts are written in Latin ones, in alphabetical order; hard and soft signs aren't.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia".split()))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -100,9 +105,22 @@ def normalize_name(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), rf"[^{WORD}\s]", ""))
 
 
+def _latin(c: Column) -> Column:
+    """Cyrillic and Greek letters in Latin ones; a row without any isn't searched letter by letter."""
+    table = {k: "" if v == "-" else v for k, v in (CYRILLIC | GREEK).items()}
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    out = F.translate(c, "".join(single), "".join(single.values()))
+    for letter, latin in table.items():
+        if letter not in single:
+            out = F.replace(out, F.lit(letter), F.lit(latin))
+    return F.when(F.regexp_like(c, F.lit(r"[\u0370-\u03FF\u0400-\u04FF]")), out).otherwise(c)
+
+
 def slugify(c: Column) -> Column:
-    """ASCII words joined by hyphens. Covers Latin scripts; other letters fall out."""
-    folded = strip_accents(_ligatures(F.lower(c)))
+    """ASCII words joined by hyphens. Covers Latin, Cyrillic and Greek scripts; other letters fall out."""
+    # accents of Greek and Cyrillic letters are marks of their own once they are taken apart
+    apart = F.translate(F.lower(c), "άέήίόύώϊϋΐΰ", "αεηιουωιυιυ")
+    folded = strip_accents(_ligatures(_latin(apart)))
     plain = F.regexp_replace(F.regexp_replace(folded, r"(?<=[0-9]),(?=[0-9])", ""), r"[^a-z0-9]+", "-")
     return F.regexp_replace(plain, r"^-+|-+$", "")
 

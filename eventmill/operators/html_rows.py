@@ -144,10 +144,10 @@ def _rows(pages: DataFrame, schema: str, make: Callable[[str, Node], Iterator[tu
     return pages.select("url", "html").mapInPandas(run, schema)
 
 
-_RAW_EVENT = "url string, name string, link string, raw_date string, raw_time string, location string, description string, image string, category string, tags array<string>"
+RAW_EVENT = "url string, name string, link string, raw_date string, raw_time string, location string, description string, image string, category string, tags array<string>"
 
 
-def _raw_events(url: str, root: Node, selectors: dict[str, str]) -> Iterator[tuple]:
+def raw_events(url: str, root: Node, selectors: dict[str, str]) -> Iterator[tuple]:
     box = (find(root, selectors["container"]) if selectors.get("container") else []) or [root]
     items = [x for b in box for x in find(b, selectors.get("item", "") or ".event")]
     for fallback in ITEM_SELECTORS:
@@ -170,7 +170,7 @@ def extract_by_selectors(pages: DataFrame, selectors: dict[str, str]) -> DataFra
     An item needs a name and a link. Descriptions end at 160 characters; of the tags the first five
     under 50 characters are kept.
     """
-    return _rows(pages, _RAW_EVENT, lambda url, root: _raw_events(url, root, selectors))
+    return _rows(pages, RAW_EVENT, lambda url, root: raw_events(url, root, selectors))
 
 
 def extract_by_source_selectors(pages: DataFrame, selectors: DataFrame, default: dict[str, str] | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def extract_by_source_selectors(pages: DataFrame, selectors: DataFrame, default:
     own = selectors.where("source_id is not null and field is not null").groupBy("source_id", "field").agg(F.max("selector").alias("selector"))
     own = own.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "selector"))).alias("own"))
     rows = pages.select("source_id", "url", "html").join(own, "source_id", "left").select("source_id", "url", "html", F.to_json("own").alias("own"))
-    names = ["source_id", *(x.split()[0] for x in _RAW_EVENT.split(", "))]
+    names = ["source_id", *(x.split()[0] for x in RAW_EVENT.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str | None, dict[str, str]] = {None: common}
@@ -193,27 +193,30 @@ def extract_by_source_selectors(pages: DataFrame, selectors: DataFrame, default:
             for source, url, html, told in zip(frame["source_id"], frame["url"], frame["html"], frame["own"]):
                 if told not in known:
                     known[told] = common | {k: v for k, v in json.loads(told).items() if v}
-                out += [(source, *r) for r in _raw_events(url, parse(html), known[told])]
+                out += [(source, *r) for r in raw_events(url, parse(html), known[told])]
             yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, f"source_id string, {_RAW_EVENT}")
+    return rows.mapInPandas(run, f"source_id string, {RAW_EVENT}")
+
+
+CARD = "url string, name string, link string, start_date string, location string, image string"
+
+
+def cards(url: str, root: Node) -> Iterator[tuple]:
+    for card in find(root, "[itemscope]"):
+        kind = card.attrs.get("itemtype", "")
+        inner = {id(x) for sub in find(card, "[itemscope]") for x in sub.walk()}
+        prop = lambda name: next((x for x in find(card, f"[itemprop={name}]") if id(x) not in inner), None)  # noqa: B023, E731
+        value = lambda x: (x.attrs.get("content") or x.attrs.get("datetime") or x.attrs.get("href") or x.attrs.get("src") or x.text()) if x else None
+        name, link = prop("name"), prop("url")
+        if "Place" not in kind and "Event" in kind and name and link:
+            place = next(iter(find(card, "[itemprop=location] [itemprop=name]")), None) or prop("location")
+            yield url, value(name) if name.attrs.get("content") else name.text(), value(link), value(prop("startDate")), place.text() if place else None, value(prop("image"))
 
 
 def extract_microdata(pages: DataFrame) -> DataFrame:
     """Events of schema.org cards: name, link, startDate, location, image; cards of places are left out."""
-
-    def make(url: str, root: Node) -> Iterator[tuple]:
-        for card in find(root, "[itemscope]"):
-            kind = card.attrs.get("itemtype", "")
-            inner = {id(x) for sub in find(card, "[itemscope]") for x in sub.walk()}
-            prop = lambda name: next((x for x in find(card, f"[itemprop={name}]") if id(x) not in inner), None)  # noqa: B023, E731
-            value = lambda x: (x.attrs.get("content") or x.attrs.get("datetime") or x.attrs.get("href") or x.attrs.get("src") or x.text()) if x else None
-            name, link = prop("name"), prop("url")
-            if "Place" not in kind and "Event" in kind and name and link:
-                place = next(iter(find(card, "[itemprop=location] [itemprop=name]")), None) or prop("location")
-                yield url, value(name) if name.attrs.get("content") else name.text(), value(link), value(prop("startDate")), place.text() if place else None, value(prop("image"))
-
-    return _rows(pages, "url string, name string, link string, start_date string, location string, image string", make)
+    return _rows(pages, CARD, cards)
 
 
 def microdata_to_event(cards: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import audit as A
 from ..operators import extract as X
 from ..operators import html_rows as H
 from ..operators import rules as R
+from ..operators import table_functions as TF
 from ..sources import pages as S
 from .scalars import _url
 from .views import EVENTS, as_of, events, query, table
@@ -283,6 +284,13 @@ def extract_by_source_selectors(spark, d):
     return found.groupBy("source_id", "url").agg(F.count("*").alias("n"))
 
 
+@query("select page_id, h as link, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) as h from pages) where h <> '' group by all")
+def extract_page_function(spark, d):
+    """The links of every page by the table function, in a lateral join."""
+    TF.register(spark)
+    return spark.sql("select p.page_id, x.link, count(*) as n from {pages} p, lateral extract_page('links', p.url, p.html) x group by 1, 2", pages=_pages(spark, d))
+
+
 @query("select page_id, 'Concert ' || page_id as name, strftime(timestamp '2024-01-01 20:00:00' + to_days(cast(page_id % 300 as integer)), '%Y-%m-%d %H:%M') as start, 'Salle ' || (page_id % 9) as location from pages where page_id % 2 = 0")
 def microdata_to_event(spark, d):
     k = F.col("page_id")

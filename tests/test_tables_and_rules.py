@@ -3,9 +3,12 @@
 import datetime
 import random
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from eventmill.operators import automaton, calendar, html_rows, lifecycle, publish, rules, search_index
+from eventmill.functions import text
+from eventmill.operators import automaton, calendar, html_rows, lifecycle, publish, rules, search_index, table_functions
 from eventmill.sources import pages
 
 DAY = datetime.datetime(2026, 1, 27, 20)
@@ -101,3 +104,25 @@ def test_selectors_of_many_sources(spark):
     selectors = [("s1", "item", ".one"), ("s1", "name", ".n1"), ("s2", "item", ".two"), ("s2", "name", ".n2"), ("s2", "name", ".a"), ("s4", "item", "p"), (None, "item", "p"), ("s3", None, "x")]
     got = html_rows.extract_by_source_selectors(spark.createDataFrame(rows, "source_id string, url string, html string"), spark.createDataFrame(selectors, "source_id string, field string, selector string"), {"item": ".event", "name": ".title", "link": "a"})
     assert sorted((str(x["source_id"]), x["name"], x["link"]) for x in got.collect()) == [("None", "None", "/0"), ("s1", "First", "/1"), ("s2", "Second", "/2"), ("s2", "Second", "/2"), ("s3", "Third", "/3")]
+
+
+def test_extractors_as_table_functions(spark):
+    table_functions.register(spark)
+    card = '<div class="event"><h2>{}</h2><a href="/{}">x</a></div>'
+    rows = [("s1", "u1", card.format("A", 1)), ("s1", "u2", card.format("A", 1) + card.format("B", 2)), ("s2", "u3", card.format("A", 1)), ("s3", "u4", None)]
+    spark.createDataFrame(rows, "source_id string, url string, html string").createOrReplaceTempView("some_pages")
+    got = spark.sql("select p.source_id, x.name, x.link from some_pages p, lateral extract_page('listing', p.url, p.html) x").collect()
+    want = html_rows.extract_by_selectors(spark.table("some_pages"), table_functions.LISTING)
+    assert sorted((r["name"], r["link"]) for r in got) == sorted((r["name"], r["link"]) for r in want.collect()) and len(got) == 4
+    assert spark.sql("select * from some_pages p, lateral extract_page('links', p.url, p.html)").columns[-2:] == ["link", "label"]
+    told = spark.sql("select source_id, url, name, fresh from extract_pages('listing', table(some_pages) partition by source_id order by url)").collect()
+    assert sorted(map(tuple, told)) == [("s1", "u1", "A", True), ("s1", "u2", "A", False), ("s1", "u2", "B", True), ("s2", "u3", "A", True)]
+    for wrong in ("select * from some_pages p, lateral extract_page('nothing', p.url, p.html)", "select * from extract_pages('nothing', table(some_pages))", "select * from extract_pages('links', table(select 1 as x))"):
+        with pytest.raises(AnalysisException):
+            spark.sql(wrong).schema
+
+
+def test_slugs_of_other_scripts(spark):
+    texts = {"Вечер джаза": "vecher-dzhaza", "Щелкунчик, 3 часть": "shchelkunchik-3-chast", "Ξένος Ψυχή": "xenos-psukhe", "Été à Москва": "ete-a-moskva", "日本": "", "Ёлка": "iolka"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["s"] for r in df.select("t", text.slugify(F.col("t")).alias("s")).collect()} == texts
