@@ -247,6 +247,15 @@ def name_similarity(spark, d):
     return events(spark, d).select("event_id", F.round(ratio, 6).alias("ratio"))
 
 
+@query(f"with {EVENTS}, x as (select event_id, event_id % 9 + 1 as n, event_id % 7 as m, event_id % 5 as k from ev) select event_id, round(2.0 * n / (2 * n + m + k), 6)::double as ratio from x")
+def similarity_of_plain_names(spark, d):
+    """The same of names that begin alike and then have no letter in common, where SQL can say how alike they are."""
+    e, k = events(spark, d), F.col("event_id")
+    letters = lambda c, n: F.repeat(F.lit(c), n.cast("int"))
+    ratio = T.name_similarity(F.concat(letters("a", k % 9 + 1), letters("b", k % 7)), F.concat(letters("a", k % 9 + 1), letters("c", k % 5)))
+    return e.select("event_id", F.round(ratio, 6).alias("ratio"))
+
+
 @query(f"with {EVENTS}, x as (select event_id, {_name('name')} as a, {_name('description')} as b from ev) select event_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) as ratio from x")
 def edit_similarity(spark, d):
     """The built-in alternative over the same pairs."""
