@@ -77,8 +77,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, as digests beside those of the text they decode to."""
     small_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(encoded.drop("text"), vocabulary)
+    back = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     digests = F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), *digests)

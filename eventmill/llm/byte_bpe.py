@@ -14,11 +14,12 @@ along; columns named like a result are replaced.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -219,18 +220,12 @@ def _vocabulary(file: bytes) -> Vocabulary:
     return _vocabularies[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the token ids of each whole text.
-
-    The vocabulary file (base64 token and rank in each line) is read once and broadcast; its size is
-    that of the tokenizer and doesn't depend on the data.
-    """
-    spark = docs.sparkSession
+def _read(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
-        file = spark.sparkContext.broadcast(f.read())
-    docs = docs.drop("ids")
-    column = docs.columns.index(text_col)
+        return f.read()
 
+
+def _encoder(file: Broadcast, pattern: str, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -254,17 +249,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         known.cache.clear()  # the worker lives on when this task is done
         B.give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return run
 
 
-def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes that the ids stand for."""
-    spark = encoded.sparkSession
-    with open(vocabulary, "rb") as f:
-        file = spark.sparkContext.broadcast(f.read())
-    encoded = encoded.drop("decoded")
-    column = encoded.columns.index(ids_col)
-
+def _decoder(file: Broadcast, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(file.value)
         for batch in batches:
@@ -274,4 +262,38 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
             out = [known.decode(values[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return run
+
+
+_IDS, _DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, the token ids of each whole text.
+
+    The vocabulary file (base64 token and rank in each line) is read once and broadcast; its size is
+    that of the tokenizer and doesn't depend on the data.
+    """
+    file = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
+    docs = docs.drop("ids")
+    return docs.mapInArrow(_encoder(file, pattern, docs.columns.index(text_col)), T.StructType([*docs.schema.fields, _IDS]))
+
+
+def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``, the bytes that the ids stand for."""
+    file = encoded.sparkSession.sparkContext.broadcast(_read(vocabulary))
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(_decoder(file, encoded.columns.index(ids_col)), T.StructType([*encoded.schema.fields, _DECODED]))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and, decoded from them, ``decoded``: ``encode`` and ``decode`` in one worker a task instead of two, and without the text."""
+    file = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
+    docs = docs.drop("ids", "decoded")
+    column, others = docs.columns.index(text_col), [k for k, c in enumerate(docs.columns) if c != text_col]
+    encoder, decoder = _encoder(file, pattern, column), _decoder(file, len(others))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoder(batch.select([*others, len(batch.schema) - 1]) for batch in encoder(batches))
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in others), _IDS, _DECODED]))

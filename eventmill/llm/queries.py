@@ -64,11 +64,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .byte_bpe import decode, encode
+    from .byte_bpe import round_trip
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs, path, public_tokenizers.PATTERN).drop("text"), path)
+    back = round_trip(docs, path, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
