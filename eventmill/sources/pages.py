@@ -18,11 +18,16 @@ def filter_successful_fetches(fetches: DataFrame) -> DataFrame:
     return fetches.where("status_code >= 200 and status_code < 400 and error is null")
 
 
+def _no_older(fetched: Column, at: Column, ttl_s: int) -> Column:
+    """Whether a page was no older than ``ttl_s`` seconds; parts of a second count."""
+    return F.timestamp_diff("MICROSECOND", fetched, at) <= ttl_s * 1_000_000
+
+
 def latest_fresh_page(fetches: DataFrame, as_of: Column, ttl_s: int = 3600) -> DataFrame:
     """The newest successful response of each URL, if it is no older than ``ttl_s`` seconds."""
     w = Window.partitionBy("url").orderBy(F.desc("fetched_at"))
     newest = filter_successful_fetches(fetches).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return newest.where(F.timestamp_diff("SECOND", F.col("fetched_at"), as_of) <= ttl_s)
+    return newest.where(_no_older(F.col("fetched_at"), as_of, ttl_s))
 
 
 def fresh_page_at(requests: DataFrame, fetches: DataFrame, ttl_s: int = 3600, keep: tuple[str, ...] = (), slice_s: int = 86400) -> DataFrame:
@@ -48,7 +53,7 @@ def fresh_page_at(requests: DataFrame, fetches: DataFrame, ttl_s: int = 3600, ke
     earlier = Window.partitionBy("url").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).select(F.col("url").alias("__url"), F.col("__slice").alias("__of"), "__carried")
     rows = seen.join(carried, (F.col("url") == F.col("__url")) & (F.col("__slice") == F.col("__of")), "left").withColumn("__seen", F.coalesce("__seen", "__carried"))
-    fresh = F.timestamp_diff("SECOND", F.col("__seen.fetched_at"), F.col("__own.requested_at")) <= ttl_s
+    fresh = _no_older(F.col("__seen.fetched_at"), F.col("__own.requested_at"), ttl_s)
     return rows.select("__own.*", *(F.when(fresh, F.col(f"__seen.{c}")).alias(c) for c in ("fetched_at", *keep)))
 
 
