@@ -14,3 +14,24 @@ def test_age_of_a_page_counts_parts_of_a_second(spark):
     asked = [(k, "u", at + dt.timedelta(seconds=s)) for k, s in enumerate((10.1, 10.2, 10.9, 11.2))]
     got = pages.fresh_page_at(spark.createDataFrame(asked, "k int, url string, requested_at timestamp_ntz"), fetches, 10)
     assert {r["k"]: r["fetched_at"] is not None for r in got.collect()} == {0: True, 1: True, 2: False, 3: False}
+
+
+def _both(spark, name, folder, columns):
+    """Rows of a query and of its SQL, over a page table."""
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{folder}/pages.parquet/*.parquet')")
+    ours = [tuple(r) for r in entry.queries()[name](spark, str(folder)).select(*columns).collect()]
+    return sorted(ours), sorted(con.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall())
+
+
+def _page_table(spark, folder):
+    html = '<html lang="fr"><title>a &quot;b&quot;</title><h1>Jazz &quot;live&quot; &#8217;</h1>'
+    rows = [(k, "http://x.org/same" if k < 4 else f"http://x.org/{k}", html) for k in range(8)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+
+
+def test_linked_data_of_two_pages_of_one_url(spark, tmp_path):
+    _page_table(spark, tmp_path)
+    for name, columns in {"extract_json_ld": ["url", "n"], "pick_event_json_ld": ["url"], "coerce_polymorphic_field": ["url", "image"], "json_ld_to_venue": ["url", "name"]}.items():
+        ours, sql = _both(spark, name, tmp_path, columns)
+        assert len(ours) == 6 and ours == sql, name
