@@ -35,3 +35,11 @@ def test_linked_data_of_two_pages_of_one_url(spark, tmp_path):
     for name, columns in {"extract_json_ld": ["url", "n"], "pick_event_json_ld": ["url"], "coerce_polymorphic_field": ["url", "image"], "json_ld_to_venue": ["url", "name"]}.items():
         ours, sql = _both(spark, name, tmp_path, columns)
         assert len(ours) == 6 and ours == sql, name
+
+
+def test_all_plain_entities_in_code_and_sql(spark, tmp_path):
+    _page_table(spark, tmp_path)
+    ours, sql = _both(spark, "select_text_and_attr", tmp_path, ["page_id", "heading", "title", "lang"])
+    assert ours == sql and ours[0] == (0, "Jazz \"live\" '", 'a "b"', "fr")
+    ours, sql = _both(spark, "json_ld_to_event", tmp_path, ["url", "name", "start", "image"])
+    assert ours == sql and len(ours) == 6 and {r[1] for r in ours} == {"Jazz live"}
