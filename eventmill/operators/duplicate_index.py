@@ -49,7 +49,7 @@ class DuplicateIndex:
 
     def matches(self, new: DataFrame) -> DataFrame:
         """What the three matchers find; columns source_id, path, confidence, reason."""
-        url, slot, name = U.match_urls(new, self.entries("url")), U.match_slots(new, self.entries("slot")), U.match_names(new, self.entries("name"))
+        url, slot, name = U.match_urls(new, self.entries("url")), U.match_slots(new, self.entries("slot")), U.match_first_names(new, self.entries("name"))
         return url.unionByName(slot).unionByName(name)
 
     def detect(self, new: DataFrame) -> DataFrame:

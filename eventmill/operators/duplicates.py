@@ -75,9 +75,13 @@ def match_slots(new: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def match_names(new: DataFrame, entries: DataFrame) -> DataFrame:
-    """Matches of ``new`` with ``name_entries``, the least path of a name and day."""
-    least = entries.groupBy("key", "day").agg(F.min("path").alias("path"))
-    return _named(new, "source_id").join(least, ["key", "day"]).select("source_id", "path", F.lit(NAME).alias("confidence"), F.lit("name_date").alias("reason"))
+    """Matches of ``new`` with ``name_entries``: all paths of a name and day."""
+    return _named(new, "source_id").join(entries, ["key", "day"]).select("source_id", "path", F.lit(NAME).alias("confidence"), F.lit("name_date").alias("reason"))
+
+
+def match_first_names(new: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same, of a name and day only the least path, which is the one that counts among matches of one kind."""
+    return match_names(new, entries.groupBy("key", "day").agg(F.min("path").alias("path")))
 
 
 def match_by_url(new: DataFrame, published: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def match_by_date_time_location(new: DataFrame, published: DataFrame) -> DataFra
 
 
 def match_by_name_date(new: DataFrame, published: DataFrame) -> DataFrame:
-    """The same normalised name on the same day; the least path of those."""
+    """The same normalised name on the same day: every pair of events."""
     return match_names(new, name_entries(published))
 
 
@@ -109,7 +113,7 @@ def combine_matches(new: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def detect_duplicates(new: DataFrame, published: DataFrame) -> DataFrame:
-    matches = match_by_url(new, published).unionByName(match_by_date_time_location(new, published)).unionByName(match_by_name_date(new, published))
+    matches = match_by_url(new, published).unionByName(match_by_date_time_location(new, published)).unionByName(match_first_names(new, name_entries(published)))
     return combine_matches(new, matches)
 
 

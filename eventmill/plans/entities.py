@@ -132,7 +132,7 @@ def match_by_date_time_location(spark, d):
     return U.match_by_date_time_location(_coarse(_new(spark, d)), _coarse(_published(spark, d))).drop("reason")
 
 
-@query(f"with {EVENTS}, {_SPLIT} select n.source_id, min(p.path) as path, 0.75::double as confidence from new n join pub p on {_name('n.name')} = {_name('p.name')} and cast(n.start_ts as date) = cast(p.start_ts as date) group by 1")
+@query(f"with {EVENTS}, {_SPLIT} select n.source_id, p.path, 0.75::double as confidence from new n join pub p on {_name('n.name')} = {_name('p.name')} and cast(n.start_ts as date) = cast(p.start_ts as date)")
 def match_by_name_date(spark, d):
     return U.match_by_name_date(_new(spark, d), _published(spark, d)).drop("reason")
 
@@ -149,7 +149,7 @@ select n.source_id, b.path, coalesce(b.c, 0)::double as confidence, coalesce(b.c
 def combine_exact_matches(spark, d):
     """The combination over the two matchers that SQL can say too."""
     new, pub = _new(spark, d), _published(spark, d)
-    matches = U.match_by_url(new, pub).unionByName(U.match_by_name_date(new, pub))
+    matches = U.match_by_url(new, pub).unionByName(U.match_first_names(new, U.name_entries(pub)))
     return U.combine_matches(new, matches).select("source_id", "path", "confidence", "is_duplicate", "should_merge")
 
 
