@@ -59,18 +59,21 @@ def match_urls(new: DataFrame, entries: DataFrame) -> DataFrame:
 def match_slots(new: DataFrame, entries: DataFrame) -> DataFrame:
     """Matches of ``new`` with ``slot_entries``: the best name of the slot, the least path among equals.
 
-    Each pair of different names of a slot is rated once, whatever the events that bear them; pairs
-    whose letters alone keep them from being alike aren't rated. One row of each name meets.
+    Each pair of different names that meet is rated once, whatever the slots and events that bear
+    them; pairs whose letters alone keep them from being alike aren't rated. One row of each name
+    of a slot meets.
     """
     slot = ["day", "time", "place"]
     a = _slot(new, "source_id").withColumnRenamed("norm", "new_name")
     b = entries.groupBy(*slot, F.col("norm").alias("old_name")).agg(F.min("path").alias("path"))
-    pairs = a.select(*slot, "new_name").distinct().withColumn("x", T.letter_counts(F.col("new_name"))).join(b.withColumn("y", T.letter_counts(F.col("old_name"))), slot)
-    alike = F.coalesce(T.most_similarity(F.col("x"), F.col("y")) > NEAR, F.lit(False))
-    ratio = T.normalized_similarity(F.col("new_name"), F.col("old_name")).alias("ratio")
-    rated = pairs.where(alike).select(*slot, "new_name", "path", ratio).where(F.col("ratio") > NEAR)
-    confidence = F.when(F.col("ratio") > 0.7, SIMILAR).otherwise(MODERATE)
-    best = rated.withColumn("confidence", confidence).groupBy(*slot, "new_name").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "path")).alias("x"))
+    pairs = a.select(*slot, "new_name").distinct().join(b, slot)
+    # what is rated asks for the count, or the optimizer would rate the pairs before they are grouped
+    texts, once = pairs.groupBy("new_name", "old_name").agg(F.count("*").alias("n")), F.col("n") > 0
+    alike = F.coalesce(T.most_similarity(T.letter_counts(F.col("new_name")), T.letter_counts(F.col("old_name"))) > NEAR, F.lit(False))
+    ratio = T.normalized_similarity(F.col("new_name"), F.col("old_name"))
+    rated = texts.where(F.when(once, alike)).select("new_name", "old_name", F.when(once, ratio).alias("ratio")).where(F.col("ratio") > NEAR)
+    rated = rated.select("new_name", "old_name", F.when(F.col("ratio") > 0.7, SIMILAR).otherwise(MODERATE).alias("confidence"))
+    best = pairs.join(rated, ["new_name", "old_name"]).groupBy(*slot, "new_name").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "path")).alias("x"))
     return a.join(best, [*slot, "new_name"]).select("source_id", "x.path", (-F.col("x.minus")).alias("confidence"), F.lit("date_time_location").alias("reason"))
 
 

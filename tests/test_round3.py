@@ -3,8 +3,10 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from eventmill.operators import duplicates, publish, search_index
 from eventmill.sources import pages
 
 
@@ -43,3 +45,48 @@ def test_all_plain_entities_in_code_and_sql(spark, tmp_path):
     assert ours == sql and ours[0] == (0, "Jazz \"live\" '", 'a "b"', "fr")
     ours, sql = _both(spark, "json_ld_to_event", tmp_path, ["url", "name", "start", "image"])
     assert ours == sql and len(ours) == 6 and {r[1] for r in ours} == {"Jazz live"}
+
+
+def test_name_matches_are_all_pairs_of_a_name_and_day(spark):
+    at = dt.datetime(2024, 1, 1, 12)
+    side = lambda own, key, n: spark.createDataFrame([(f"{own}{k}", "Jazz!" if own == "n" else "jazz", at) for k in range(n)], f"{key} string, name string, start_ts timestamp_ntz")
+    got = duplicates.match_by_name_date(side("n", "source_id", 2), side("p", "path", 3)).collect()
+    assert sorted((r["source_id"], r["path"]) for r in got) == [(f"n{i}", f"p{j}") for i in range(2) for j in range(3)]
+
+
+def test_plain_heads_skip_the_yaml_machinery_and_agree_with_it(monkeypatch):
+    import yaml
+
+    fields = {"title": "hot bolt", "date": "1998-02-06T00:00:00", "draft": False, "eventURL": "https://x.org/a/1/", "startTime": "10:00", "sourceId": "s:1", "dates": ["jeudi-05-mars"], "expired": True}
+    odd = {"title": "yes", "name": "a: b", "image": "x #y", "description": "é " * 60, "dates": [], "startTime": "1e5"}
+    whole = [yaml.dump(f, Dumper=yaml.CSafeDumper, allow_unicode=True, sort_keys=False) for f in (fields, odd)]
+    assert [publish.front_matter_yaml(f, yaml.CSafeDumper) for f in (fields, odd)] == whole
+    assert pages._plain_head(whole[0]) == fields and pages._plain_head(whole[1]) is None
+    monkeypatch.setattr(yaml, "dump", None)
+    assert publish.front_matter_yaml(fields, yaml.CSafeDumper) == whole[0]
+
+
+def test_each_pair_of_names_is_rated_once(spark, tmp_path, monkeypatch):
+    """Two pairs of names that meet on ten days."""
+
+    def rated(a, b):
+        def note(x, y):
+            with open(tmp_path / "rated", "a") as f:
+                f.write("x\n")
+            return 0.9
+
+        return F.udf(note, "double").asNondeterministic()(a, b)
+
+    monkeypatch.setattr(duplicates.T, "normalized_similarity", rated)
+    side = lambda own, key, names: spark.createDataFrame([(f"{own}{d}{n}", n, dt.datetime(2024, 1, 1 + d, 12), "Salle") for d in range(10) for n in names], f"{key} string, name string, start_ts timestamp_ntz, location string")
+    got = duplicates.match_by_date_time_location(side("n", "source_id", ["jazz a"]), side("p", "path", ["jazz b", "jazz c"])).collect()
+    assert len(got) == 10 and {r["path"] for r in got} == {f"p{d}jazz b" for d in range(10)}
+    assert len((tmp_path / "rated").read_text().split()) == 2
+
+
+def test_runs_take_the_text_once(spark):
+    """The text isn't worked out anew for each of its runs, and runs are those of its places."""
+    df = spark.createDataFrame([("abcabcd",), ("é𝒜bc",), ("ab",), ("",)], "t string")
+    runs = search_index._runs(F.col("t"))
+    assert [r[0] for r in df.select(runs).collect()][::3] == [["abc", "bca", "cab", "bcd"], []]
+    assert str(runs).count("t,") + str(runs).count("(t") <= 1
