@@ -20,9 +20,8 @@ RUN = 3
 
 
 def _runs(text: Column) -> Column:
-    last = F.length(text) - (RUN - 1)
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, RUN)))
+    # one pass of a regular expression: a function over places would work the text out anew at each of them
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{RUN}}}))"), 1))
 
 
 def _text() -> Column:
