@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,8 +38,7 @@ def validate_event(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason = ''").drop("reason"), judged.where("reason <> ''")
 
 
-def to_front_matter(events: DataFrame, as_of: Column) -> DataFrame:
-    """(event_id, front_matter): ordered fields as JSON; optional ones only where they are filled."""
+def _front_matter(as_of: Column) -> Column:
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     fields = {
@@ -46,24 +47,60 @@ def to_front_matter(events: DataFrame, as_of: Column) -> DataFrame:
         "description": some("description"), "image": some("image"), "eventGroupId": some("event_group_id"), "dayOf": some("day_of"), "sourceId": some("source_id"),
         "dates": F.array(D.french_date_term(F.col("start_ts"))), "lastCrawled": iso(as_of), "expired": F.lit(False),
     }
-    return events.select("event_id", F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("front_matter"))
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
+def to_front_matter(events: DataFrame, as_of: Column) -> DataFrame:
+    """(event_id, front_matter): ordered fields as JSON; optional ones only where they are filled."""
+    return events.select("event_id", _front_matter(as_of).alias("front_matter"))
+
+
+# text that YAML writes as it is, unless it is one of the words: no sign that means anything, no space but single ones
+_PLAIN = re.compile(r"[A-Za-z/](?:[A-Za-z0-9_/.\-]|:(?=[A-Za-z0-9/])|(?<! )#| (?=[A-Za-z0-9_/]))*")
+_WORDS = frozenset("y n yes no on off true false null".split())
+# text that YAML quotes because it looks like a time, and that needs no escapes
+_TIME = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}|[0-9]{2}:[0-5][0-9]")
+
+_EARLY = re.compile(r"0[0-9]:[0-5][0-9]")  # one that doesn't look so
+
+
+def is_plain(text: str) -> bool:
+    """Whether YAML surely takes a text for itself."""
+    return _PLAIN.fullmatch(text) is not None and text.lower() not in _WORDS
+
+
+def front_matter_yaml(fields: dict[str, object], dumper: type) -> str:
+    """``yaml.dump`` of the fields in block style; plain values, which most are, without the dumper."""
+    import yaml
+
+    out = []
+    for key, value in fields.items():
+        if value is True or value is False:
+            out.append(f"{key}: {'true' if value else 'false'}\n")
+        elif isinstance(value, str) and len(key) + len(value) < 70 and (is_plain(value) or _EARLY.fullmatch(value)):
+            out.append(f"{key}: {value}\n")
+        elif isinstance(value, str) and _TIME.fullmatch(value) and value[0] in "12":
+            out.append(f"{key}: '{value}'\n")
+        elif isinstance(value, list) and value and all(isinstance(v, str) and len(v) < 70 and is_plain(v) for v in value):
+            out.append(f"{key}:\n" + "".join(f"- {v}\n" for v in value))
+        else:
+            out.append(yaml.dump({key: value}, Dumper=dumper, allow_unicode=True, sort_keys=False))
+    return "".join(out)
 
 
 def render_event_markdown(events: DataFrame, as_of: Column) -> DataFrame:
     """(event_id, path, page): YAML front matter and body; rendered in Arrow batches."""
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         import yaml
 
         dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
         for frame in batches:
-            head = [yaml.dump(json.loads(x), Dumper=dumper, allow_unicode=True, sort_keys=False) for x in frame["front_matter"]]
+            head = [front_matter_yaml(json.loads(x), dumper) for x in frame["front_matter"]]
             yield pd.DataFrame({"event_id": frame["event_id"], "path": frame["path"], "page": [f"---\n{h}---\n{b}" for h, b in zip(head, frame["body"])]})
 
     path = event_file_path(F.col("start_ts"), T.slugify(F.col("name")))
-    rows = to_front_matter(events, as_of).join(events.select("event_id", path.alias("path"), F.coalesce("description", F.lit("")).alias("body")), "event_id")
+    rows = events.select("event_id", _front_matter(as_of).alias("front_matter"), path.alias("path"), F.coalesce("description", F.lit("")).alias("body"))
     return rows.mapInPandas(render, "event_id long, path string, page string")
 
 

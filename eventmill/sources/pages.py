@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,6 +103,39 @@ def _listed(value: object) -> list[str]:
     return [str(v) for v in values if v is not None and v != ""]
 
 
+# a line of a head whose value is surely a text as it stands, quoted or not, or a truth value
+_LINE = re.compile(r"([A-Za-z]+): (?:(true|false)|'([^'\n]*)'|(0[0-9]:[0-5][0-9]|[A-Za-z/](?:[A-Za-z0-9_/.\-]|:(?=[A-Za-z0-9/])|(?<! )#| (?=[A-Za-z0-9_/]))*))")
+_WORDS = frozenset("y n yes no on off true false null".split())
+
+
+def _plain_head(text: str) -> dict[str, object] | None:
+    """The mapping of a head of plain lines; None if it takes a YAML parser to tell."""
+    head: dict[str, object] = {}
+    lines = text.split("\n")
+    if lines.pop() or not lines:
+        return None
+    listed: list[str] | None = None
+    for line in lines:
+        item = line.startswith("- ")
+        if item and listed is None:
+            return None
+        found = _LINE.fullmatch(f"x: {line[2:]}" if item else line)
+        if found is None:
+            if item or not re.fullmatch("[A-Za-z]+:", line):
+                return None
+            listed = head[line[:-1]] = []
+            continue
+        key, truth, quoted, plain = found.groups()
+        if truth and item or plain and plain.lower() in _WORDS or key.lower() in _WORDS:
+            return None
+        value = truth == "true" if truth else plain if quoted is None else quoted
+        if item:
+            listed.append(value)
+        else:
+            head[key], listed = value, None
+    return None if any(v == [] for v in head.values()) else head
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
@@ -113,7 +147,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = value.split("---\n", 2) if value.startswith("---\n") else []
             if len(parts) == 3:
                 try:
-                    head, body = yaml.load(parts[1], loader) or {}, parts[2]
+                    head, body = _plain_head(parts[1]) or yaml.load(parts[1], loader) or {}, parts[2]
                 except (yaml.YAMLError, ValueError):  # the loader lets dates such as 2026-13-45 through as errors of their own
                     parts = []
             if not isinstance(head, dict):  # a list or a bare word isn't front matter
