@@ -6,8 +6,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eventmill.operators import duplicates, publish, search_index
-from eventmill.sources import pages
+from eventmill.functions import text
+from eventmill.operators import duplicate_index, duplicates, publish, search_index
+from eventmill.sources import pages, snapshots
 
 
 def test_age_of_a_page_counts_parts_of_a_second(spark):
@@ -90,3 +91,24 @@ def test_runs_take_the_text_once(spark):
     runs = search_index._runs(F.col("t"))
     assert [r[0] for r in df.select(runs).collect()][::3] == [["abc", "bca", "cab", "bcd"], []]
     assert str(runs).count("t,") + str(runs).count("(t") <= 1
+
+
+def test_entities_alone_go_to_python(spark):
+    import html
+
+    texts = ["&amp;eacute;", "a&eacute b&#233;&notit;", "&&lt;\n&#10;", "x" * 50, "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    out = rows.select("k", text.unescape_entities(F.col("t")).alias("u"))
+    assert [r["u"] for r in out.orderBy("k").collect()] == [html.unescape(t) if t is not None else None for t in texts]
+    assert "regexp_extract_all" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_buckets_are_written_by_many_tasks(spark, tmp_path):
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"), buckets=2)
+    table.create(spark.range(1000).selectExpr("cast(id as string) as path", "id"))
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    assert len(files) > 2 and table.read().count() == 1000
+
+
+def test_buckets_of_an_index_grow_with_its_rows():
+    assert [duplicate_index.buckets_for(n) for n in (0, 100_000, 2_000_001, 36_000_000)] == [8, 8, 9, 144]
