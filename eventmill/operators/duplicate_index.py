@@ -17,6 +17,14 @@ from . import duplicates as U
 #: Table, its keys, and what else tells an entry.
 TABLES = {"url": (U.url_entries, ["url"], ["path"]), "slot": (U.slot_entries, ["day", "time", "place"], ["norm", "path"]), "name": (U.name_entries, ["key", "day"], ["path"])}
 
+#: Rows of a bucket, which one task sorts and groups.
+BUCKET_ROWS = 250_000
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for an index of so many published events, so that a task's share doesn't grow with them."""
+    return max(8, -(-rows // BUCKET_ROWS))
+
 
 class DuplicateIndex:
     """Tables ``name``_url, _slot and _name in ``folder``."""

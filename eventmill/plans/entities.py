@@ -184,7 +184,7 @@ def duplicate_index(spark, d):
     """The same from an index that was built from a part of the published events and refreshed twice."""
     new, pub = _lettered(_new(spark, d)), _lettered(_published(spark, d))
     folder = shared_folder(spark, "index")
-    index = I.DuplicateIndex(spark, folder, "index_" + folder.rpartition("-")[2], 8)
+    index = I.DuplicateIndex(spark, folder, "index_" + folder.rpartition("-")[2], I.buckets_for(pub.count()))
     k = F.col("event_id")
     wrong = pub.where(k % 4 > 0).withColumns({"event_url": F.when(k % 4 == 1, "https://old.example.com/").otherwise(F.col("event_url")), "location": F.when(k % 4 == 2, "Autre salle").otherwise(F.col("location"))})
     index.refresh(wrong)
