@@ -219,6 +219,10 @@ def merge_into_snapshots(spark, d):
     found = U.match_by_url(new, pub).select("source_id", "path").join(new, "source_id").select("path", F.col("event_id").alias("ord"), "description", "image", "event_url", "source_id")
     none = F.array().cast("array<string>")
     base = pub.withColumns({"alternate_sources": none, "source_ids": none, "last_crawled": F.lit(None).cast("timestamp_ntz")})
+    # the matches are found once, not for the buckets and the rows of each change
+    there = shared_folder(spark, "found")
+    found.write.parquet(there)
+    found = spark.read.parquet(there)
     table = SnapshotTable(spark, shared_folder(spark, "snapshots"), buckets=8)
     table.create(base)
     half = F.pmod(F.xxhash64("path"), F.lit(2))  # all rows of a path come at once

@@ -63,7 +63,10 @@ class SnapshotTable:
 
     def _write(self, rows: DataFrame) -> dict[int, str]:
         place = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("__bucket", self._bucket(self.key)).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.folder}/{place}")
+        # a bucket is dealt to several tasks, so that few buckets don't mean few tasks
+        parts = max(1, -(-2 * self.spark.sparkContext.defaultParallelism // self.buckets))
+        part = F.pmod(F.hash(F.col(self.key)), F.lit(parts))
+        rows.withColumn("__bucket", self._bucket(self.key)).repartition(self.buckets * parts, "__bucket", part).write.partitionBy("__bucket").parquet(f"{self.folder}/{place}")
         return {int(n.rpartition("=")[2]): f"{place}/{n}" for n in names(self.spark, f"{self.folder}/{place}") if n.startswith("__bucket=")}
 
     def create(self, rows: DataFrame) -> int:
