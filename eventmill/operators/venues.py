@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from . import similar
 
 DUPLICATE_RATIO = 0.85
 MIN_ADDRESS = 10
+LINKS = ("by_name", "by_address", "by_website")
 
 
 def build_venue_lookup(venues: DataFrame) -> DataFrame:
@@ -64,35 +68,24 @@ def append_venue_stubs(venues: DataFrame, slugs: DataFrame) -> DataFrame:
     return venues.unionByName(stubs, allowMissingColumns=True)
 
 
-def _least_runs(threshold: float) -> list[int]:
-    """For each length up to 40: the longest run of letters, 3 at most, that a text shares with every one alike.
-
-    Of two texts of s letters with m matched, s - 2m stay unmatched and part the matched ones into
-    at most s - 2m + 1 runs.
-    """
-    out = [1]
-    for x in range(1, 41):
-        least = 3
-        for y in range(1, 4 * x):
-            for m in range(1, min(x, y) + 1):
-                if 2 * m >= threshold * (x + y) - 1e-9:
-                    least = min(least, -(-m // (x + y - 2 * m + 1)))
-        out.append(least)
-    return out if threshold >= 0.5 else [1] * 41
+def _compared(venues: DataFrame) -> DataFrame:
+    """(ord, slug, name, place, domain): what venues are compared by, empty where there is nothing to compare."""
+    text = lambda c: T.normalize_venue_text(F.coalesce(c, F.lit("")))
+    place = text("address")
+    place = F.when(F.length(place) > MIN_ADDRESS, T.normalize_name(place)).otherwise("")
+    return venues.select("ord", "slug", T.normalize_name(text("title")).alias("name"), place.alias("place"), F.coalesce(U.extract_domain("website"), F.lit("")).alias("domain"))
 
 
 def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO, expand: bool = True) -> DataFrame:
     """(a, b, match, score) of venue pairs alike in name, else in address, else in website domain.
 
-    Distinct names and addresses are compared when they share a run of as many letters, 3 at most,
-    as the threshold implies for their lengths, and their letters alone don't keep them apart;
-    domains are joined. Without ``expand``, a venue stands for all that have its name, address or
-    domain: the first of each is paired with the firsts of those alike, and every other one with the
-    first of its own, so that the rows don't grow with the square of a group.
+    All pairs of distinct names and addresses are compared, in blocks; domains are joined. Without
+    ``expand``, a venue stands for all that have its name, address or domain: the first of each is
+    paired with the firsts of those alike, and every other one with the first of its own, so that
+    the rows don't grow with the square of a group of copies. Of venues that are nearly all alike
+    there are about as many pairs as there can be; ``count_duplicate_venues`` gives a row a venue.
     """
-    v = venues.select("ord", "slug", T.normalize_venue_text("title").alias("name"), T.normalize_venue_text(F.coalesce("address", F.lit(""))).alias("place"), U.extract_domain(F.coalesce("website", F.lit(""))).alias("domain"))
-    runs = F.array(*map(F.lit, _least_runs(threshold)))
-    beyond = F.lit(3 if threshold > 0.81 else 1)  # from 41 letters on
+    v = _compared(venues)
 
     def equals(own: DataFrame, col: str) -> DataFrame:
         """Pairs of venues with an equal value, or each venue but the first with the first of its value."""
@@ -101,31 +94,74 @@ def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO,
         first = own.groupBy(col).agg(F.min(F.struct("ord", "slug")).alias("f"), F.count("*").alias("n")).where("n > 1")
         return own.join(first, col).where("ord > f.ord").select(F.col("f.slug").alias("a"), F.col("slug").alias("b"))
 
-    def alike(col: str, least: int) -> DataFrame:
-        own = v.where(F.length(col) > least).select("ord", "slug", T.normalize_name(col).alias("t"))
-        firsts = own.groupBy("t").agg(F.min(F.struct("ord", "slug")).alias("f")).select("t", "f.ord", "f.slug")
-        g = firsts.select("t", "ord").withColumn("n", F.length("t"))
-        g = g.select("t", "ord", "n", F.explode(F.sequence(F.coalesce(F.get(runs, F.col("n")), beyond), F.lit(3))).alias("q")).where("q <= n")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring(F.col("t"), i, F.col("q"))))
-        g = g.select("t", "ord", "n", F.explode(grams).alias("gram"))
-        a, b = (g.select(F.col("t").alias(x), F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n{x}"), "gram") for x in "xy")
-        near = F.least("nx", "ny") * 2 >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - 1e-9
-        # matching blocks may depend on the order: where members of both texts pair up, both are scored
-        order = F.col("x") != F.col("y") if expand else F.col("ord_x") < F.col("ord_y")
-        texts = a.join(b, "gram").where(order).where(near).select("x", "y").distinct()
-        texts = texts.where(T.most_similarity(T.letter_counts(F.col("x")), T.letter_counts(F.col("y"))) >= threshold - 1e-9)
-        texts = texts.withColumn("score", T.name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= threshold)
+    def rated(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
+        """Pairs of texts in the orders in which their venues come, as matching blocks may depend on it."""
+        out = [(np.empty(0, object), np.empty(0, object), np.empty(0))]
+        for l, r in ((x, y),) if same else ((x, y), (y, x)):
+            l = l[l["ord"] < r["last"].max()]
+            (tl, tr), start, last = (s["t"].to_numpy(object) for s in (l, r)), l["ord"].to_numpy(), r["last"].to_numpy()
+            for i, j, score in similar.alike(tl.tolist(), tr.tolist(), threshold):
+                good = (start[i] < last[j]) & (tl[i] != tr[j])
+                out.append((tl[i[good]], tr[j[good]], score[good]))
+        return pd.DataFrame({k: np.concatenate(c) for k, c in zip(("x", "y", "score"), zip(*out))})
+
+    def alike(col: str) -> DataFrame:
+        own = v.where(F.col(col) != "").select("ord", "slug", F.col(col).alias("t"))
+        firsts = own.groupBy("t").agg(F.min(F.struct("ord", "slug")).alias("f"), F.max("ord").alias("last")).select("t", "f.ord", "f.slug", "last")
+        texts = similar.meet(firsts.select("t", "ord", "last" if expand else F.col("ord").alias("last")), "ord", rated, "x string, y string, score double")
         named = own if expand else firsts
         l, r = (named.select(F.col("ord").alias(f"ord_{k}"), F.col("slug").alias(k), F.col("t").alias(x)) for k, x in (("a", "x"), ("b", "y")))
         pairs = texts.join(l, "x").join(r, "y").where("ord_a < ord_b").select("a", "b", "score")
         return pairs.unionByName(equals(own, "t").withColumn("score", F.lit(1.0)))
 
     same = equals(v.where("domain <> ''").select("ord", "slug", "domain"), "domain").withColumn("score", F.lit(1.0))
-    found = alike("name", 0).withColumn("rank", F.lit(0)).unionByName(alike("place", MIN_ADDRESS).withColumn("rank", F.lit(1))).unionByName(same.withColumn("rank", F.lit(2)))
+    found = alike("name").withColumn("rank", F.lit(0)).unionByName(alike("place").withColumn("rank", F.lit(1))).unionByName(same.withColumn("rank", F.lit(2)))
     first = found.groupBy("a", "b").agg(F.min_by(F.struct("rank", "score"), "rank").alias("m"))
     return first.select("a", "b", F.get(F.array(F.lit("name"), F.lit("address"), F.lit("website")), F.col("m.rank")).alias("match"), F.col("m.score").alias("score"))
 
 
+def count_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO) -> DataFrame:
+    """(slug, class_id, by_name, by_address, by_website, links): a row a venue, with the numbers of venues it is linked to.
+
+    Venues of one name, address and domain are a class, whose id is the slug of its first. Two
+    venues are linked as in ``find_duplicate_venues`` with ``expand``, by name, else by address, else by domain, and
+    classes where a pair of their venues is; a link counts with all venues of the other class, and
+    venues of a class are linked to each other. All pairs of classes are compared, in blocks, but
+    only counts leave a task, so that rows don't grow with the square of the links.
+    """
+    v = _compared(venues)
+    keys = ["name", "place", "domain"]
+    classes = v.groupBy(*keys).agg(F.min(F.struct("ord", "slug")).alias("f"), F.max("ord").alias("last"), F.count("*").alias("n"))
+    classes = classes.select(*keys, "f.ord", F.col("f.slug").alias("class_id"), "last", "n")
+
+    def counted(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
+        # a venue of the class x is before one of y, and one of y before one of x
+        ahead, behind = x["ord"].to_numpy()[:, None] < y["last"].to_numpy(), x["last"].to_numpy()[:, None] > y["ord"].to_numpy()
+        if same:
+            ahead, behind = np.triu(ahead, 1), np.triu(behind, 1)
+        mixed = np.flatnonzero(behind.any(axis=1))
+
+        def alike(col: str) -> np.ndarray:
+            out = similar.are_alike(x[col].to_numpy(), y[col].to_numpy(), threshold) & ahead
+            if len(mixed):
+                out[mixed] |= similar.are_alike(y[col].to_numpy(), x[col].to_numpy()[mixed], threshold).T & behind[mixed]
+            return out
+
+        named = alike("name")
+        placed = alike("place") & ~named
+        sites = similar.are_equal(x["domain"].to_numpy(), y["domain"].to_numpy()) & (ahead | behind) & ~named & ~placed
+        n = {k: np.concatenate([m.astype(np.int64) @ y["n"].to_numpy(), m.T.astype(np.int64) @ x["n"].to_numpy()]) for k, m in zip(LINKS, (named, placed, sites))}
+        return pd.DataFrame({k: np.concatenate([x[k].to_numpy(object), y[k].to_numpy(object)]) for k in keys} | n)
+
+    links = similar.meet(classes.select(*keys, "ord", "last", "n"), "ord", counted, ", ".join([*(f"{k} string" for k in keys), *(f"{k} long" for k in LINKS)]))
+    links = links.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in LINKS))
+    # copies are linked by the first of the three that they have
+    has = [F.col(k) != "" for k in keys]
+    kinds = F.when(has[0], LINKS[0]).when(has[1], LINKS[1]).when(has[2], LINKS[2])
+    whole = classes.join(links, keys).select(*keys, "class_id", *(F.when(kinds == k, F.col(k) + F.col("n") - 1).otherwise(F.col(k)).alias(k) for k in LINKS))
+    return v.join(whole, keys).select("slug", "class_id", *LINKS, sum((F.col(k) for k in LINKS[1:]), F.col(LINKS[0])).alias("links"))
+
+
 def duplicate_domains(venues: DataFrame) -> DataFrame:
     """Venues that share a website's domain, each beside the first of them: linear, however many share it."""
     d = venues.select("ord", "slug", U.extract_domain(F.coalesce("website", F.lit(""))).alias("domain")).where("domain <> ''")

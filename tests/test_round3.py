@@ -1,13 +1,15 @@
 """Faults that a review of round 3 found."""
 
 import datetime as dt
+import difflib
+import random
 
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from eventmill.functions import text
-from eventmill.operators import duplicate_index, duplicates, publish, search_index
+from eventmill.operators import duplicate_index, duplicates, publish, search_index, similar, venues
 from eventmill.sources import pages, snapshots
 
 
@@ -113,3 +115,76 @@ def test_few_buckets_are_written_by_many_tasks(spark, tmp_path):
 
 def test_buckets_of_an_index_grow_with_its_rows():
     assert [duplicate_index.buckets_for(n) for n in (0, 100_000, 2_000_001, 36_000_000)] == [8, 8, 9, 144]
+
+
+def _words(r, letters, most):
+    return "".join(r.choice(letters) for _ in range(r.randint(1, most)))
+
+
+def test_pairs_rated_at_once_are_those_of_the_matcher():
+    """Short and long texts, few and many letters, in ratios too."""
+    r = random.Random(1)
+    for letters, most, n in (("ab", 12, 40), ("abcdé ", 25, 40), ("abc ", 260, 20), ("".join(map(chr, range(200, 600))), 30, 30)):
+        xs = [_words(r, letters, most) for _ in range(n)]
+        ys = ["".join(c + (r.choice(letters) if r.random() < 0.1 else "") for c in x) for x in xs]
+        for threshold in (0.85, 0.5):
+            ratios = ((i, j, difflib.SequenceMatcher(None, x, y).ratio()) for i, x in enumerate(xs) for j, y in enumerate(ys))
+            got = [(i, j, score) for lot in similar.alike(xs, ys, threshold) for i, j, score in zip(*(a.tolist() for a in lot))]
+            assert sorted(got) == [p for p in ratios if p[2] >= threshold]
+
+
+def _odd_places(spark):
+    r = random.Random(7)
+    names = [_words(r, "abc", 7) for _ in range(40)] + ["salle verte", "la salle verte", "abc" * 80, "abc" * 80 + "d", "", None]
+    places = ["", None, "rue", "12 rue verte", "13 rue verte", "12 quai vert"]
+    sites = ["", None, "http://x.org/a", "https://www.x.org", "http://y.org"]
+    rows = [(k, f"v{k}", r.choice(names), r.choice(places), r.choice(sites)) for k in range(150)]
+    return rows, spark.createDataFrame(rows, "ord long, slug string, title string, address string, website string")
+
+
+def _links_of(x, y):
+    """Whether two venues, the earlier first, are alike in name, in address and in domain."""
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a or "", b or "").ratio()
+    domain = [(v[4] or "").split("//")[-1].removeprefix("www.").split("/")[0] for v in (x, y)]
+    far = all(len(v[3] or "") > 10 for v in (x, y))
+    return bool(x[2] and y[2]) and ratio(x[2], y[2]) >= 0.85, far and ratio(x[3], y[3]) >= 0.85, domain[0] != "" and domain[0] == domain[1]
+
+
+def test_links_of_venues_are_counted_as_all_pairs_give_them(spark, monkeypatch):
+    """Copies, empty fields, and venues in many blocks; a class has the links of any of its venues."""
+    rows, df = _odd_places(spark)
+    key = lambda v: (v[2] or "", v[3] if len(v[3] or "") > 10 else "", (v[4] or "").split("//")[-1].removeprefix("www.").split("/")[0])
+    classes, found = {}, {}
+    for v in rows:
+        classes.setdefault(key(v), []).append(v)
+    for k, x in enumerate(rows):
+        for y in rows[k + 1 :]:
+            kinds, both = _links_of(x, y), frozenset((key(x), key(y)))
+            if any(kinds):
+                found[both] = min(found.get(both, 2), kinds.index(True))
+    want = {}
+    for own, members in classes.items():
+        n = [0, 0, 0]
+        for both, kind in found.items():
+            if own in both:
+                other = next(iter(both - {own}), own)
+                n[kind] += len(classes[other]) - (other == own)
+        want |= {v[1]: (members[0][1], *n, sum(n)) for v in members}
+    for small in (similar.SMALL, 9):
+        monkeypatch.setattr(similar, "SMALL", small)
+        got = venues.count_duplicate_venues(df).collect()
+        assert len(got) == len(rows) and {r["slug"]: tuple(r)[1:] for r in got} == want
+
+
+def test_pairs_of_venues_over_many_blocks(spark, monkeypatch):
+    rows, df = _odd_places(spark)
+    want = {(x[1], y[1]): ("name", "address", "website")[kinds.index(True)] for k, x in enumerate(rows) for y in rows[k + 1 :] if any(kinds := _links_of(x, y))}
+    monkeypatch.setattr(similar, "SMALL", 9)
+    got = venues.find_duplicate_venues(df).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["match"] for r in got} == want
+
+
+def test_venues_that_are_all_alike_give_a_row_each(spark, tmp_path):
+    spark.range(300).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = entry.queries()["find_duplicate_venues"](spark, str(tmp_path)).collect()
+    assert len(got) == 300 and {r["slug"] for r in got} == {f"salle-{k}" for k in range(300)} and min(r["links"] for r in got) > 50
