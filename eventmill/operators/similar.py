@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ TASKS, LONG = 2000, 200
 LETTERS, PAIRS, CELLS = 63, 1 << 20, 1 << 18
 
 
-def meet(rows: DataFrame, order: str, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
+def meet(rows: DataFrame, order: str, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pa.Table], schema: str) -> DataFrame:
     """What ``run`` gives for each two blocks of ``rows``, and for each block with itself.
 
     Blocks are ranges of ``order``. ``run`` gets the rows of the earlier and of the later block, each
@@ -31,15 +32,15 @@ def meet(rows: DataFrame, order: str, run: Callable[[pd.DataFrame, pd.DataFrame,
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     pair = F.least("own", "other") * blocks + F.greatest("own", "other")
 
-    def both(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        first, last = divmod(key[0], blocks)
-        group = group.sort_values(order, kind="stable")
+    def both(key: tuple, table: pa.Table) -> pa.Table:
+        first, last = divmod(key[0].as_py(), blocks)
+        group = table.to_pandas().sort_values(order, kind="stable")
         x, y = (group[group["own"] == b].reset_index(drop=True) for b in (first, last))
         return run(x, y, first == last)
 
     tasks = min(TASKS, blocks * (blocks + 1) // 2)
     # the count of tasks is fixed: little data may be much work here, so that it isn't put together by size
-    return dealt.withColumn("pair", pair).drop("other").repartition(tasks, "pair").groupBy("pair").applyInPandas(both, schema)
+    return dealt.withColumn("pair", pair).drop("other").repartition(tasks, "pair").groupBy("pair").applyInArrow(both, schema)
 
 
 def _codes(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,13 +141,13 @@ def alike(xs: list[str], ys: list[str], threshold: float) -> Iterator[tuple[np.n
             yield at_x[a[good]], at_y[b[good]], ratio[good]
 
 
-def are_alike(xs: np.ndarray, ys: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether each x is like each y, as a matrix; each pair of texts is rated once, and empty ones aren't alike."""
+def ratings(xs: np.ndarray, ys: np.ndarray, threshold: float) -> np.ndarray:
+    """The ratio of each x to each y as a matrix, -1 under ``threshold`` and for empty texts; each pair of texts is rated once."""
     (ix, tx), (iy, ty) = (pd.factorize(s) for s in (xs, ys))
     kx, ky = (np.flatnonzero(t != "") for t in (tx, ty))
-    out = np.zeros((len(tx), len(ty)), bool)
-    for i, j, _ in alike(tx[kx].tolist(), ty[ky].tolist(), threshold):
-        out[kx[i], ky[j]] = True
+    out = np.full((len(tx), len(ty)), -1.0)
+    for i, j, ratio in alike(tx[kx].tolist(), ty[ky].tolist(), threshold):
+        out[kx[i], ky[j]] = ratio
     return out[ix][:, iy]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,7 +14,8 @@ from . import similar
 
 DUPLICATE_RATIO = 0.85
 MIN_ADDRESS = 10
-LINKS = ("by_name", "by_address", "by_website")
+MATCHES = ("name", "address", "website")
+LINKS = tuple(f"by_{m}" for m in MATCHES)
 
 
 def build_venue_lookup(venues: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO,
         first = own.groupBy(col).agg(F.min(F.struct("ord", "slug")).alias("f"), F.count("*").alias("n")).where("n > 1")
         return own.join(first, col).where("ord > f.ord").select(F.col("f.slug").alias("a"), F.col("slug").alias("b"))
 
-    def rated(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def rated(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pa.Table:
         """Pairs of texts in the orders in which their venues come, as matching blocks may depend on it."""
         out = [(np.empty(0, object), np.empty(0, object), np.empty(0))]
         for l, r in ((x, y),) if same else ((x, y), (y, x)):
@@ -103,7 +105,8 @@ def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO,
             for i, j, score in similar.alike(tl.tolist(), tr.tolist(), threshold):
                 good = (start[i] < last[j]) & (tl[i] != tr[j])
                 out.append((tl[i[good]], tr[j[good]], score[good]))
-        return pd.DataFrame({k: np.concatenate(c) for k, c in zip(("x", "y", "score"), zip(*out))})
+        x, y, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"x": pa.array(x, pa.string()), "y": pa.array(y, pa.string()), "score": score})
 
     def alike(col: str) -> DataFrame:
         own = v.where(F.col(col) != "").select("ord", "slug", F.col(col).alias("t"))
@@ -117,49 +120,93 @@ def find_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO,
     same = equals(v.where("domain <> ''").select("ord", "slug", "domain"), "domain").withColumn("score", F.lit(1.0))
     found = alike("name").withColumn("rank", F.lit(0)).unionByName(alike("place").withColumn("rank", F.lit(1))).unionByName(same.withColumn("rank", F.lit(2)))
     first = found.groupBy("a", "b").agg(F.min_by(F.struct("rank", "score"), "rank").alias("m"))
-    return first.select("a", "b", F.get(F.array(F.lit("name"), F.lit("address"), F.lit("website")), F.col("m.rank")).alias("match"), F.col("m.score").alias("score"))
+    return first.select("a", "b", _match(F.col("m.rank")).alias("match"), F.col("m.score").alias("score"))
 
 
-def count_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO) -> DataFrame:
-    """(slug, class_id, by_name, by_address, by_website, links): a row a venue, with the numbers of venues it is linked to.
+def _match(rank: Column) -> Column:
+    return F.get(F.array(*map(F.lit, MATCHES)), rank)
+
+
+def link_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO) -> DataFrame:
+    """(slug, class_id, by_name, by_address, by_website, links, linked): a row a venue, with all links there are.
 
-    Venues of one name, address and domain are a class, whose id is the slug of its first. Two
-    venues are linked as in ``find_duplicate_venues`` with ``expand``, by name, else by address, else by domain, and
-    classes where a pair of their venues is; a link counts with all venues of the other class, and
-    venues of a class are linked to each other. All pairs of classes are compared, in blocks, but
-    only counts leave a task, so that rows don't grow with the square of the links.
+    Venues of one name, address and domain are a class, whose id is the slug of its first, and are
+    linked to each other. The row of the first holds the class's pairs: ``linked`` is an array of
+    (class_id, match, score), one for each class of which a venue comes after one of this class and
+    is linked to it; all such two venues are. So the pairs of ``find_duplicate_venues`` with ``expand``
+    are those of ``linked``, times the members of both classes of which the own comes first, and those
+    inside classes. Other members have no ``linked``; it is that of their class.
+
+    The numbers are of the venues that a venue is linked to by name, else by address, else by domain,
+    and in all; a link of two of their venues counts with all venues of the other class.
+    All pairs of classes are compared, in blocks, and leave a task as arrays, one for a class and block.
     """
     v = _compared(venues)
     keys = ["name", "place", "domain"]
     classes = v.groupBy(*keys).agg(F.min(F.struct("ord", "slug")).alias("f"), F.max("ord").alias("last"), F.count("*").alias("n"))
     classes = classes.select(*keys, "f.ord", F.col("f.slug").alias("class_id"), "last", "n")
+    none = len(MATCHES)
 
-    def counted(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def compared(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pa.Table:
         # a venue of the class x is before one of y, and one of y before one of x
         ahead, behind = x["ord"].to_numpy()[:, None] < y["last"].to_numpy(), x["last"].to_numpy()[:, None] > y["ord"].to_numpy()
         if same:
             ahead, behind = np.triu(ahead, 1), np.triu(behind, 1)
         mixed = np.flatnonzero(behind.any(axis=1))
-
-        def alike(col: str) -> np.ndarray:
-            out = similar.are_alike(x[col].to_numpy(), y[col].to_numpy(), threshold) & ahead
-            if len(mixed):
-                out[mixed] |= similar.are_alike(y[col].to_numpy(), x[col].to_numpy()[mixed], threshold).T & behind[mixed]
-            return out
-
-        named = alike("name")
-        placed = alike("place") & ~named
-        sites = similar.are_equal(x["domain"].to_numpy(), y["domain"].to_numpy()) & (ahead | behind) & ~named & ~placed
-        n = {k: np.concatenate([m.astype(np.int64) @ y["n"].to_numpy(), m.T.astype(np.int64) @ x["n"].to_numpy()]) for k, m in zip(LINKS, (named, placed, sites))}
-        return pd.DataFrame({k: np.concatenate([x[k].to_numpy(object), y[k].to_numpy(object)]) for k in keys} | n)
-
-    links = similar.meet(classes.select(*keys, "ord", "last", "n"), "ord", counted, ", ".join([*(f"{k} string" for k in keys), *(f"{k} long" for k in LINKS)]))
-    links = links.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in LINKS))
+        behind = behind[mixed]
+
+        def rated(col: str) -> tuple[np.ndarray, np.ndarray]:
+            forth = similar.ratings(x[col].to_numpy(), y[col].to_numpy(), threshold)
+            forth[~ahead] = -1
+            back = similar.ratings(y[col].to_numpy(), x[col].to_numpy()[mixed], threshold).T if len(mixed) else np.empty(behind.shape)
+            return forth, np.where(behind, back, -1)
+
+        (name, name_back), (place, place_back), domain = rated("name"), rated("place"), similar.are_equal(x["domain"].to_numpy(), y["domain"].to_numpy())
+
+        def listed(name: np.ndarray, place: np.ndarray, domain: np.ndarray, other: pd.DataFrame, block: int) -> dict[str, pa.Array]:
+            """The links of each row of a matrix to rows of the other block, and which block that is."""
+            match = np.select([name >= 0, place >= 0, domain], np.arange(none, dtype=np.int8), np.int8(none))
+            i, j = np.nonzero(match < none)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(match)))]), pa.int32())
+            match = match[i, j]
+            score = np.where(match == 0, name[i, j], np.where(match == 1, place[i, j], 1.0))
+            values = {"ids": pa.array(other["class_id"], pa.string()).take(pa.array(j)), "match": pa.array(match), "score": pa.array(score)}
+            return {k: pa.ListArray.from_arrays(ends, c) for k, c in values.items()} | {"block": pa.array(np.full(len(name), block))}
+
+        def counts(links: np.ndarray, other: pd.DataFrame) -> np.ndarray:
+            return links.astype(np.int64) @ other["n"].to_numpy()
+
+        both_name, both_place, met = name >= 0, place >= 0, ahead.copy()
+        both_name[mixed] |= name_back >= 0
+        both_place[mixed] |= place_back >= 0
+        met[mixed] |= behind
+        kinds = both_name, both_place & ~both_name, domain & met & ~both_name & ~both_place
+        blocks = [int(own["ord"].min()) if len(own) else 0 for own in (x, y)]
+        pairs = listed(name, place, domain & ahead, y, blocks[1]), listed(name_back.T, place_back.T, (domain[mixed] & behind).T, x.iloc[mixed], blocks[0])
+        out = []
+        for own, other, turned, linked in ((x, y, kinds, pairs[0]), (y, x, [m.T for m in kinds], pairs[1])):
+            rows = {k: pa.array(own[k], pa.string()) for k in [*keys, "class_id"]} | {k: pa.array(own[k], pa.int64()) for k in ("ord", "n")}
+            out.append(pa.table(rows | {k: counts(m, other) for k, m in zip(LINKS, turned)} | linked))
+        return pa.concat_tables(out)
+
+    schema = [*(f"{k} string" for k in [*keys, "class_id"]), *(f"{k} long" for k in ("ord", "n", *LINKS)), "ids array<string>", "match array<tinyint>", "score array<double>", "block long"]
+    met = similar.meet(classes.select(*keys, F.col("ord").cast("long"), "class_id", "last", "n"), "ord", compared, ", ".join(schema))
+    parts = F.sort_array(F.collect_list(F.when(F.size("ids") > 0, F.struct("block", "ids", "match", "score"))))
+    whole = met.groupBy(*keys).agg(*(F.first(k).alias(k) for k in ("class_id", "ord", "n")), *(F.sum(k).alias(k) for k in LINKS), parts.alias("parts"))
+    flat = F.arrays_zip(*(F.flatten(F.transform("parts", lambda p: p[k])).alias(k) for k in ("ids", "match", "score")))
+    linked = F.transform(flat, lambda z: F.struct(z["ids"].alias("class_id"), _match(z["match"].cast("int")).alias("match"), z["score"].alias("score")))
     # copies are linked by the first of the three that they have
     has = [F.col(k) != "" for k in keys]
     kinds = F.when(has[0], LINKS[0]).when(has[1], LINKS[1]).when(has[2], LINKS[2])
-    whole = classes.join(links, keys).select(*keys, "class_id", *(F.when(kinds == k, F.col(k) + F.col("n") - 1).otherwise(F.col(k)).alias(k) for k in LINKS))
-    return v.join(whole, keys).select("slug", "class_id", *LINKS, sum((F.col(k) for k in LINKS[1:]), F.col(LINKS[0])).alias("links"))
+    own = whole.select(*keys, "class_id", F.col("ord").alias("first"), *(F.when(kinds == k, F.col(k) + F.col("n") - 1).otherwise(F.col(k)).alias(k) for k in LINKS), linked.alias("linked"))
+    # the venues are the side that is kept, so that the arrays aren't sorted
+    rows = own.join(v.hint("shuffle_hash"), keys)
+    return rows.select("slug", "class_id", *LINKS, sum((F.col(k) for k in LINKS[1:]), F.col(LINKS[0])).alias("links"), F.when((F.col("ord") == F.col("first")) & (F.col("slug") == F.col("class_id")), F.col("linked")).alias("linked"))
+
+
+def count_duplicate_venues(venues: DataFrame, threshold: float = DUPLICATE_RATIO) -> DataFrame:
+    """``link_duplicate_venues`` without the links themselves."""
+    return link_duplicate_venues(venues, threshold).drop("linked")
 
 
 def duplicate_domains(venues: DataFrame) -> DataFrame:

@@ -53,9 +53,9 @@ def append_venue_stubs(spark, d):
 
 @query()
 def find_duplicate_venues(spark, d):
-    """A row a venue: its class and the number of its links."""
+    """A row a venue: its class, the number of its links, and all pairs of its class with later ones."""
     v = venues(spark, d).withColumn("address", F.when(F.col("ord") % 2 == 0, F.col("address")).otherwise(""))
-    return V.count_duplicate_venues(v)
+    return V.link_duplicate_venues(v)
 
 
 @query(f"""with {VENUES}, dm as (select ord, slug, split_part(regexp_replace(regexp_replace(lower(website), '^https?://', ''), '^www\\.', ''), '/', 1) as domain from ve where website <> '')

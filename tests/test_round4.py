@@ -1,9 +1,13 @@
 """Faults that a review of round 4 found."""
 
+import difflib
+
 import duckdb
 
 import __spark_entry__ as entry
-from eventmill.operators import extract
+from eventmill.operators import extract, similar, venues
+
+from .test_round3 import _links_of, _odd_places
 
 
 def test_events_of_headings_without_letters(spark, tmp_path):
@@ -23,3 +27,36 @@ def test_values_without_a_name_are_events_only_if_asked_for(spark):
     picked = extract.pick_event_json_ld(extract.extract_json_ld(spark.createDataFrame(html, "url string, html string")), ["Event"])
     assert [r["url"] for r in extract.json_ld_to_event(picked).collect()] == ["0"]
     assert sorted((r["url"], r["name"]) for r in extract.json_ld_to_event(picked, unnamed=True).collect()) == [("0", "A"), ("1", ""), ("2", "")]
+
+
+def test_links_of_venues_hold_every_pair(spark, monkeypatch):
+    """The pairs that difflib gives, each with its match and score, follow from the links of classes and their members."""
+    rows, df = _odd_places(spark)
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a or "", b or "").ratio()
+    want = {}
+    for k, x in enumerate(rows):
+        for y in rows[k + 1 :]:
+            kinds = _links_of(x, y)
+            if any(kinds):
+                kind = kinds.index(True)
+                want[x[1], y[1]] = (("name", "address", "website")[kind], ratio(x[2 + kind], y[2 + kind]) if kind < 2 else 1.0)
+    for small in (similar.SMALL, 9):
+        monkeypatch.setattr(similar, "SMALL", small)
+        got = venues.link_duplicate_venues(df).collect()
+        members, pairs = {}, {}
+        for r in got:
+            members.setdefault(r["class_id"], []).append(r["slug"])
+        at = lambda slug: int(slug[1:])
+        for r in got:
+            assert (r["linked"] is None) == (r["slug"] != r["class_id"])
+            for link in r["linked"] or []:
+                pairs |= {(a, b): (link["match"], link["score"]) for a in members[r["class_id"]] for b in members[link["class_id"]] if at(a) < at(b)}
+        inside = {(a, b) for own in members.values() for a in own for b in own if at(a) < at(b)}
+        assert not inside & set(pairs) and {k: x for k, x in want.items() if k not in inside} == pairs
+    assert len(pairs) > 100 and {m for m, _ in pairs.values()} == {"name", "address", "website"}
+
+
+def test_the_query_of_duplicate_venues_has_the_pairs(spark, tmp_path):
+    spark.range(300).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = entry.queries()["find_duplicate_venues"](spark, str(tmp_path)).collect()
+    assert sum(r["links"] for r in got) == 2 * sum(len(r["linked"]) for r in got) > 0
