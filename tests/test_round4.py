@@ -1,11 +1,13 @@
 """Faults that a review of round 4 found."""
 
+import datetime as dt
 import difflib
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eventmill.operators import extract, similar, venues
+from eventmill.operators import calendar, extract, search_index, similar, venues
 
 from .test_round3 import _links_of, _odd_places
 
@@ -60,3 +62,20 @@ def test_the_query_of_duplicate_venues_has_the_pairs(spark, tmp_path):
     spark.range(300).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     got = entry.queries()["find_duplicate_venues"](spark, str(tmp_path)).collect()
     assert sum(r["links"] for r in got) == 2 * sum(len(r["linked"]) for r in got) > 0
+
+
+def test_index_posts_a_text_once(spark, tmp_path):
+    """Events of one text share its postings, and two texts of one hash (nulls don't count in it) are both found."""
+    at = dt.datetime(2026, 1, 26, 20)
+    texts = [("Nuit jazz", "un", "Salle")] * 50 + [(None, "opéra", "Salle"), ("Opéra", None, "Salle"), ("opéra", None, "Salle"), (None, None, "jazz"), ("jazz", None, None), (None, None, None)]
+    rows = [(k, *t, at, False, False) for k, t in enumerate(texts)]
+    events = spark.createDataFrame(rows, "event_id long, name string, description string, location string, start_ts timestamp_ntz, expired boolean, draft boolean")
+    search_index.build(events, f"{tmp_path}/index", 4, 8)
+    runs = "nui uit it_ t_j _ja jaz azz zz_ z_u _un un_ n_s _sa sal all lle".split()
+    found = search_index.candidates(spark, f"{tmp_path}/index", "nuit").collect()
+    assert len(found) == 1 and spark.read.parquet(f"{tmp_path}/index/postings").where(F.col("__text") == found[0]["__text"]).count() == len(runs)
+    now = F.lit(at).cast("timestamp_ntz")
+    for query, n in (("jazz", 52), ("opera", 3), ("nuit jazz un salle", 50), ("zz", 52), ("zzz", 0)):
+        same = lambda df: sorted(r["event_id"] for r in df.collect())
+        got = search_index.search(spark, f"{tmp_path}/index", query, now)
+        assert same(got) == same(calendar.search_events(events, query, now)) and got.count() == n and got.columns == events.columns
