@@ -7,10 +7,12 @@ counts. Only automata, as arrays, are shuffled, and a range is a run of neighbou
 word: its bounds are quantiles of a drawn sample of n-grams (``SAMPLE``; it only balances ranges).
 
 What can't reach ``least`` never enters an automaton. Before that, each level of n-grams is counted
-by hash in a table of ``BUCKETS`` entries, which never counts too little: an n-gram goes on only if
-its bucket, and those of all its parts, reach ``least`` over the whole corpus. That is exact at any
-size; a table that has filled up lets more n-grams through. Tables and marks have a fixed size, in
-tasks and at the driver (``BUCKETS`` counters of one byte for counts up to 255, ``BUCKETS`` bits).
+by hash in a table, which never counts too little: an n-gram goes on only if its bucket, and those of
+all its parts, reach ``least`` over the whole corpus. That is exact at any size; a table that has
+filled up lets more n-grams through. So tables have ``BUCKETS`` entries, and from two words on more
+where the corpus has more than ``least`` / 2 words a bucket, up to ``MOST``: that many counters (of one
+byte for counts up to 255) a level and task, and bits a level at the driver. A task hands on what it
+counted, in blocks of counters or, where few of a block were met, the places of those.
 
 Null text is empty, null languages are ``und``. Rows are read one by one: repeated rows and ids count
 each. Texts are read in chunks of ``CHUNK`` bytes, a longer one alone, at about 15 bytes a byte.
@@ -34,8 +36,8 @@ from . import buffers as B
 from .scratch import Scratch
 from .transducer import FIELDS, Key, Transducer, union
 
-#: Counters of a level, a power of two.
-BUCKETS = 1 << 22
+#: Counters of a level, a power of two, and how far they grow.
+BUCKETS, MOST = 1 << 22, 1 << 26
 #: Counters of a row.
 BLOCK = 1 << 14
 #: Bytes of text that are cut into words at once.
@@ -70,7 +72,7 @@ class _Words:
         prefix = B.prefix_hash(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))
         self.hashes = B.mix(B.range_hash(prefix, at[:-1], at[1:]) ^ np.uint64(zlib.crc32(lang.encode("utf-8", "replace"))), 7)
 
-    def windows(self, marks: dict[int, np.ndarray], upto: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def windows(self, marks: dict[int, np.ndarray], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, places, hashes) of the n-grams of k words, up to ``upto``, whose parts, and which themselves as far as they are known, are marked."""
         valid = self.ids >= 0
         own = self.hashes[self.ids]  # that of id -1 is never used
@@ -81,16 +83,16 @@ class _Words:
                 hashes = B.mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :], k)
             places = np.flatnonzero(valid)
             if k in marks:
-                bucket = _bucket(hashes[places], buckets)
+                bucket = _bucket(hashes[places], 8 * len(marks[k]))
                 kept = (marks[k][bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
                 valid = np.zeros(len(valid), bool)
                 valid[places := places[kept]] = True
             yield k, places, hashes[places]
 
-    def grams(self, marks: dict[int, np.ndarray], upto: int, buckets: int) -> Iterator[tuple[Key, int]]:
+    def grams(self, marks: dict[int, np.ndarray], upto: int) -> Iterator[tuple[Key, int]]:
         """(n-gram, count) of all that are marked in full."""
         number = self.ids.copy()  # of the n-gram that starts at a place
-        for k, places, _ in self.windows(marks, upto, buckets):
+        for k, places, _ in self.windows(marks, upto):
             if k > 1:
                 number[places] = number[places] * len(self.words) + self.ids[places + k - 1]
             _, first, again, counts = np.unique(number[places], return_index=True, return_inverse=True, return_counts=True)
@@ -120,6 +122,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[_Words]:
         yield _Words(own, waiting.pop(own))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A block of counters, or its places that were met and their counters if that is shorter."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].tobytes() if len(at) * (2 + counts.itemsize) < counts.nbytes else counts.tobytes()
+
+
+def _add(own: np.ndarray, data: bytes, kind: np.dtype) -> None:
+    """Add a packed block."""
+    if len(data) == len(own) * kind.itemsize:
+        own += np.frombuffer(data, kind)
+    else:
+        n = len(data) // (2 + kind.itemsize)
+        own[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, kind, n, 2 * n)
+
+
 def _count(levels: range, least: int, marks: Broadcast, longest: int, buckets: int, chunk: int):  # noqa: ANN202
     """Task: counts by bucket of the n-grams of ``levels``, and n-grams drawn for the bounds of ranges."""
     kind = np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
@@ -127,8 +144,10 @@ def _count(levels: range, least: int, marks: Broadcast, longest: int, buckets: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {k: np.zeros(buckets, kind) for k in levels}
         drawn: list[tuple[str, list[bytes]]] = []
+        words = 0
         for part in _chunks(batches, chunk):
-            for k, places, hashes in part.windows(marks.value, levels[-1], buckets):
+            words += part.n
+            for k, places, hashes in part.windows(marks.value, levels[-1]):
                 if k in tables:
                     bucket, n = np.unique(_bucket(hashes, buckets), return_counts=True)
                     tables[k][bucket] = np.minimum(tables[k][bucket] + n, least).astype(kind)  # more than enough is enough
@@ -137,12 +156,15 @@ def _count(levels: range, least: int, marks: Broadcast, longest: int, buckets: i
                     some = places[first[:: max(1, len(first) // DRAWN)]]
                     drawn += [(part.lang, [part.words[i] for i in part.ids[p : p + k].tolist()]) for p in some.tolist()]
             if len(drawn) > 10_000:
-                yield _batch(_COUNTED, [(0, 0, None, lang, key) for lang, key in drawn])
+                yield _batch(_COUNTED, [(0, 0, None, lang, key, 0) for lang, key in drawn])
                 drawn = []
-        yield _batch(_COUNTED, [(0, 0, None, lang, key) for lang, key in drawn])
+        yield _batch(_COUNTED, [(0, 0, None, lang, key, 0) for lang, key in drawn])
+        yield _batch(_COUNTED, [(-1, 0, None, None, None, words)])
         for k, table in tables.items():
             blocks = table.reshape(-1, BLOCK)
-            yield _batch(_COUNTED, [(k, int(b), blocks[b].tobytes(), None, None) for b in np.flatnonzero(blocks.any(1))])
+            met = np.flatnonzero(blocks.any(1))
+            for some in range(0, len(met), 256):
+                yield _batch(_COUNTED, [(k, int(b), _packed(blocks[b]), None, None, 0) for b in met[some : some + 256]])
 
     return run, kind
 
@@ -156,30 +178,36 @@ def _batch(ddl: str, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(schema.types)], schema=schema)
 
 
-_COUNTED = "level int, block int, counts binary, lang string, drawn array<binary>"
+_COUNTED = "level int, block int, counts binary, lang string, drawn array<binary>, words long"
 _MARKED = "level int, block int, bits binary"
 _SHARD = f"rng int, lang string, n long, {FIELDS}"
 
 
 def _marks(counted: DataFrame, levels: range, least: int, kind: type, buckets: int) -> dict[int, np.ndarray]:
-    """Bits of the buckets that reach ``least`` in all; their size is fixed, whatever the input."""
+    """Bits of the buckets that reach ``least`` in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        at, own = None, np.zeros(BLOCK, np.int64)
+        bits = lambda: _batch(_MARKED, [(*at, np.packbits(own >= least, bitorder="little").tobytes())])
         for batch in batches:
             for level, block, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = total.setdefault((level, block), np.zeros(BLOCK, np.int64))
-                own += np.frombuffer(data, kind)
-        yield _batch(_MARKED, [(level, block, np.packbits(own >= least, bitorder="little").tobytes()) for (level, block), own in total.items()])
-
-    rows = counted.where("level > 0").select("level", "block", "counts").repartition("level", "block").mapInArrow(run, _MARKED).collect()
+                if (level, block) != at:
+                    if at and (own >= least).any():
+                        yield bits()
+                    at = level, block
+                    own[:] = 0
+                _add(own, data, np.dtype(kind))
+        if at and (own >= least).any():
+            yield bits()
+
+    found = counted.where("level > 0").select("level", "block", "counts").repartition("level", "block").sortWithinPartitions("level", "block")
     out = {k: np.zeros(buckets // 8, np.uint8) for k in levels}
-    for r in rows:
+    for r in found.mapInArrow(run, _MARKED).collect():
         out[r["level"]][r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _shard_automata(marks: Broadcast, bounds: list[tuple[str, Key]], longest: int, buckets: int, chunk: int, most: int):  # noqa: ANN202
+def _shard_automata(marks: Broadcast, bounds: list[tuple[str, Key]], longest: int, chunk: int, most: int):  # noqa: ANN202
     """Task: automata of the task's n-grams by language and range, and each language's number of words."""
 
     def automata(held: dict[str, dict[Key, int]]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +228,7 @@ def _shard_automata(marks: Broadcast, bounds: list[tuple[str, Key]], longest: in
         for part in _chunks(batches, chunk):
             size[part.lang] = size.get(part.lang, 0) + part.n
             own = held.setdefault(part.lang, {})
-            for key, count in part.grams(marks.value, longest, buckets):
+            for key, count in part.grams(marks.value, longest):
                 own[key] = own.get(key, 0) + count
             if sum(map(len, held.values())) > most:
                 yield from automata(held)
@@ -290,11 +318,15 @@ def candidates(docs: DataFrame, least: int = 100, longest: int = 5, text_col: st
         task, kind = _count(levels, least, spark.sparkContext.broadcast(dict(marks)), max(longest, 2), buckets, chunk)
         counted = scratch.keep(texts.mapInArrow(task, _COUNTED), "counted")
         marks |= _marks(counted, levels, least, kind, buckets)
+        if levels[0] == 1:
+            words = counted.where("level = -1").agg(F.sum("words")).first()[0] or 0
+            while buckets < MOST and 2 * words > buckets * least:
+                buckets *= 2
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = counted.where("level = 0").select("lang", "drawn").distinct().orderBy(F.xxhash64("lang", "drawn"), "lang", "drawn").limit(SAMPLE).collect()
     keys = sorted((r["lang"], tuple(map(bytes, r["drawn"]))) for r in drawn)
     bounds = sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
-    shards = scratch.keep(texts.mapInArrow(_shard_automata(spark.sparkContext.broadcast(marks), bounds, longest, buckets, chunk, held), _SHARD), "shards")
+    shards = scratch.keep(texts.mapInArrow(_shard_automata(spark.sparkContext.broadcast(marks), bounds, longest, chunk, held), _SHARD), "shards")
     scratch.drop("counted")
     words = shards.where("rng < 0").groupBy("lang").agg(F.sum("n").alias("n"))
     by_range = shards.where("rng >= 0").repartition("rng", "lang").sortWithinPartitions("rng", "lang")

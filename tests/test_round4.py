@@ -2,11 +2,14 @@
 
 import datetime as dt
 import difflib
+import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from eventmill.llm import collocations
 from eventmill.operators import calendar, extract, search_index, similar, venues
 
 from .test_round3 import _links_of, _odd_places
@@ -79,3 +82,26 @@ def test_index_posts_a_text_once(spark, tmp_path):
         same = lambda df: sorted(r["event_id"] for r in df.collect())
         got = search_index.search(spark, f"{tmp_path}/index", query, now)
         assert same(got) == same(calendar.search_events(events, query, now)) and got.count() == n and got.columns == events.columns
+
+
+def test_tables_of_counters_grow_with_the_corpus(spark, monkeypatch):
+    """Rare pairs don't pass because a table has filled up."""
+    r = random.Random(1)
+    rows = [(" ".join(f"w{r.randrange(300)}" for _ in range(1000)) + ". a b" * 5, "en") for _ in range(50)]
+    seen, before = [], collocations._marks
+
+    def marks(counted, levels, least, kind, buckets):
+        out = before(counted, levels, least, kind, buckets)
+        seen.append((buckets, {k: int(np.unpackbits(v).sum()) for k, v in out.items()}))
+        return out
+
+    monkeypatch.setattr(collocations, "_marks", marks)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), 5, 2, buckets=1 << 14).collect()
+    assert [b for b, _ in seen] == [1 << 14, 1 << 15] and ("a b", 250) in {(r["phrase"], r["a"]) for r in got}
+    few, many = np.zeros(1 << 14, np.uint8), np.arange(1 << 14).astype(np.uint8)
+    few[[3, 16_383]] = 100, 7
+    for counts, size in ((few, 6), (many, 1 << 14)):
+        assert len(data := collocations._packed(counts)) == size
+        own = np.ones(1 << 14, np.int64)
+        collocations._add(own, data, np.dtype(np.uint8))
+        assert (own == counts.astype(np.int64) + 1).all()
