@@ -89,16 +89,57 @@ class _Words:
                 valid[places := places[kept]] = True
             yield k, places, hashes[places]
 
-    def grams(self, marks: dict[int, np.ndarray], upto: int) -> Iterator[tuple[Key, int]]:
-        """(n-gram, count) of all that are marked in full."""
+    def grams(self, marks: dict[int, np.ndarray], upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, counts) of all that are marked in full, by length: a row an n-gram, -1 after its end."""
         number = self.ids.copy()  # of the n-gram that starts at a place
         for k, places, _ in self.windows(marks, upto):
             if k > 1:
                 number[places] = number[places] * len(self.words) + self.ids[places + k - 1]
             _, first, again, counts = np.unique(number[places], return_index=True, return_inverse=True, return_counts=True)
             number[places] = again
-            for at, count in zip(places[first].tolist(), counts.tolist()):
-                yield tuple(self.words[i] for i in self.ids[at : at + k].tolist()), count
+            ids = np.full((len(first), upto), -1, np.int64)
+            ids[:, :k] = self.ids[places[first][:, None] + np.arange(k)]
+            yield ids, counts
+
+
+class _Held:
+    """N-grams of one language with their counts, as rows of numbers of words."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        """``ids`` are places in ``words``."""
+        used, at = np.unique(ids, return_inverse=True)
+        own = np.array([-1 if w < 0 else self.known.setdefault(words[w], len(self.known)) for w in used.tolist()], np.int32)
+        self.ids.append(own[at.reshape(ids.shape)])
+        self.counts.append(counts)
+        self.n += len(counts)
+
+    def fold(self) -> None:
+        """Each n-gram once."""
+        if self.n:
+            ids, counts = np.concatenate(self.ids), np.concatenate(self.counts)
+            order = np.lexsort(ids.T[::-1])
+            ids = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+            self.ids, self.counts, self.n = [ids[first]], [np.add.reduceat(counts[order], first)], len(first)
+
+    def items(self) -> list[tuple[Key, int]]:
+        """All n-grams in order, each once."""
+        if not self.n:
+            return []
+        words = sorted(self.known)
+        rank = np.empty(len(words) + 1, np.int32)
+        rank[[self.known[w] for w in words]], rank[-1] = np.arange(len(words)), -1
+        self.ids = [rank[ids] for ids in self.ids]
+        self.known = dict(zip(words, range(len(words))))
+        self.fold()
+        sizes = (self.ids[0] >= 0).sum(axis=1).tolist()
+        return [(tuple([words[i] for i in row[:k]]), n) for row, k, n in zip(self.ids[0].tolist(), sizes, self.counts[0].tolist())]
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -210,9 +251,9 @@ def _marks(counted: DataFrame, levels: range, least: int, kind: type, buckets: i
 def _shard_automata(marks: Broadcast, bounds: list[tuple[str, Key]], longest: int, chunk: int, most: int):  # noqa: ANN202
     """Task: automata of the task's n-grams by language and range, and each language's number of words."""
 
-    def automata(held: dict[str, dict[Key, int]]) -> Iterator[pa.RecordBatch]:
+    def automata(held: dict[str, _Held]) -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
-            found = sorted(own.items())
+            found = own.items()
             lo = 0
             while lo < len(found):
                 rng = bisect_right(bounds, (lang, found[lo][0]))
@@ -223,16 +264,19 @@ def _shard_automata(marks: Broadcast, bounds: list[tuple[str, Key]], longest: in
                 lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[Key, int]] = {}
+        held: dict[str, _Held] = {}
         size: dict[str, int] = {}
         for part in _chunks(batches, chunk):
             size[part.lang] = size.get(part.lang, 0) + part.n
-            own = held.setdefault(part.lang, {})
-            for key, count in part.grams(marks.value, longest):
-                own[key] = own.get(key, 0) + count
-            if sum(map(len, held.values())) > most:
-                yield from automata(held)
-                held.clear()
+            own = held.setdefault(part.lang, _Held())
+            for ids, counts in part.grams(marks.value, longest):
+                own.add(part.words, ids, counts)
+            if sum(x.n for x in held.values()) > 2 * most:
+                for x in held.values():
+                    x.fold()
+                if sum(x.n for x in held.values()) > most:
+                    yield from automata(held)
+                    held.clear()
         yield from automata(held)
         yield _rows([(-1, lang, n, Transducer.build([])) for lang, n in size.items()])
 
